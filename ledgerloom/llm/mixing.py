@@ -99,7 +99,7 @@ def mix_sources(
         order = Window.partitionBy("slot").orderBy("finish", "source_rank", "cum").rowsBetween(Window.unboundedPreceding, 0)
         last = copies.where(F.col("slot") == over[0].slot).withColumn("upto", F.sum("size").over(order) + over[0].before).where(F.col("upto") <= budget)
         last = last.agg(F.max(F.struct("finish", "source_rank", "cum")).alias("last")).first().last
-        cut = F.struct(*[F.lit(x) for x in last]) if last else None
+        cut = F.struct(F.lit(last.finish), F.lit(last.source_rank).cast("int"), F.lit(last.cum).cast("long")) if last else None
         slot_of = lambda e: F.least(F.floor(finish(e) * TIME_BUCKETS), F.lit(2 * TIME_BUCKETS))
         taken = [(slot_of(e) < over[0].slot) | ((F.struct(finish(e), "source_rank", "cum") <= cut) if cut is not None else F.lit(False)) for e in range(max_epochs)]
     else:

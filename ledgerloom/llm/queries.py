@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality_rules import judge_quality
+from .simhash import simhash_groups
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", *[F.col(f"_qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many were removed, and the MD5 of what is left (empty for null)."""
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op5_best_fit_packing, op7_line_dedup, op10_source_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
