@@ -8,6 +8,8 @@ when its posterior probability of being good is at least one half.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,23 @@ from .common import Scratch, let, words
 #: Function words of the four languages, as whole lower-case words.
 FUNCTION_WORDS = ("the", "of", "and", "to", "in", "is", "that", "der", "die", "und", "das", "den", "le", "la", "de", "les", "et", "des", "el", "los", "que", "y", "en")
 
-#: Votes: (rule, good if, bad if) over the columns of document_features().
+#: Votes: (rule, good if, bad if) over the columns of document_features(). Most rules know a fault and
+#: abstain where they do not find it; that a fault is absent says little.
 RULES: tuple[tuple[str, str, str], ...] = (
-    ("symbols", "n_symbols <= 0.02 * n_words", "n_symbols > 0.2 * n_words"),
-    ("repeats", "n_repeat_words <= 0.1 * n_words", "n_repeat_words > 0.3 * n_words"),
-    ("capitals", "n_upper <= 0.15 * word_chars", "n_upper > 0.5 * word_chars"),
-    ("exclaims", "n_exclaims <= 0.02 * n_words", "n_exclaims > 0.2 * n_words"),
-    ("dup_lines", "n_lines >= 3 AND n_dup_lines = 0", "n_dup_lines > 0.3 * n_lines"),
-    ("variety", "n_words >= 20 AND n_distinct > 0.35 * n_words", "n_distinct < 0.2 * n_words"),
+    ("symbols", "false", "n_symbols > 0.2 * n_words"),
+    ("symbol_runs", "false", "n_symbols > 0.8 * n_words"),
+    ("repeats", "false", "n_repeat_words > 0.3 * n_words"),
+    ("capitals", "false", "n_upper > 0.5 * word_chars"),
+    ("exclaims", "false", "n_exclaims > 0.2 * n_words"),
+    ("dup_lines", "false", "n_dup_lines > 0.3 * n_lines"),
+    ("variety", "false", "n_words >= 50 AND n_distinct < 0.2 * n_words"),
     ("function_words", "n_function >= 0.03 * n_words", "n_words >= 20 AND n_function < 0.005 * n_words"),
     ("word_length", "word_chars BETWEEN 2.5 * n_words AND 12 * n_words", "word_chars < 1.5 * n_words OR word_chars > 20 * n_words"),
 )
 #: The start of expectation-maximisation: how a rule votes on good and on bad documents.
-START = {"prior": 0.8, "good": {1: 0.7, 0: 0.25, -1: 0.05}, "bad": {1: 0.3, 0: 0.3, -1: 0.4}}
+START_PRIOR = 0.8
+START_FAULT = {"good": {1: 0.0, 0: 0.98, -1: 0.02}, "bad": {1: 0.0, 0: 0.7, -1: 0.3}}
+START_BOTH = {"good": {1: 0.7, 0: 0.28, -1: 0.02}, "bad": {1: 0.4, 0: 0.3, -1: 0.3}}
 
 
 def _without(text: Column, letters: str) -> Column:
@@ -90,8 +96,6 @@ def document_features(docs: DataFrame, text_col: str = "text", prefix: str = "")
 
 def rule_votes(featured: DataFrame, rules=RULES, prefix: str = "") -> DataFrame:
     """featured with one vote column per rule (prefix vote_<rule>): 1, -1, or 0 to abstain."""
-    import re
-
     put = lambda rule: F.expr(re.sub(r"\b(n_\w+|word_chars)\b", rf"`{prefix}\1`", rule))
     votes = {f"{prefix}vote_{name}": F.when(F.col(f"{prefix}n_words") == 0, 0).when(put(bad), -1).when(put(good), 1).otherwise(0) for name, good, bad in rules}
     return featured.withColumns(votes)
@@ -111,7 +115,7 @@ def _posterior(names: list[str], model: dict) -> Column:
     return good / (good + bad)
 
 
-def fit_votes(voted: DataFrame, names: list[str], scratch: Scratch, rounds: int = 12) -> dict:
+def fit_votes(voted: DataFrame, names: list[str], scratch: Scratch, rules=RULES, rounds: int = 12) -> dict:
     """Expectation-maximisation over the vote patterns of all rows.
 
     A round is one aggregation of the histogram; its result is one row. Each probability is smoothed
@@ -119,7 +123,8 @@ def fit_votes(voted: DataFrame, names: list[str], scratch: Scratch, rounds: int
     because good documents start as the more common ones that rules vote good on.
     """
     histogram = scratch.save(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")))
-    model = {"prior": START["prior"], "good": {n: START["good"] for n in names}, "bad": {n: START["bad"] for n in names}}
+    first = {n: START_FAULT if rule[1] == "false" else START_BOTH for n, rule in zip(names, rules)}
+    model = {"prior": START_PRIOR} | {side: {n: first[n][side] for n in names} for side in ("good", "bad")}
     for _ in range(rounds):
         weighed = histogram.withColumn("g", F.col("n") * _posterior(names, model)).withColumn("b", F.col("n") - F.col("g"))
         sums = [F.sum(side).alias(side) for side in ("g", "b")]
