@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embeddings import link_vectors
+from .line_crf import classify_quality
 from .line_dedup import dedup_lines
+from .lm_scoring import cross_entropy_difference
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality_rules import judge_quality
 from .simhash import simhash_groups
+from .site_style_tree import extract_main_text
+from .token_counts import count_section_tokens
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_vectors(table(spark, sf_dir, "embeddings"))
+    return linked.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +28,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", F.col("_sst_text").alias("text"), F.length("_sst_text").cast("long").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *[F.col(f"_qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -27,17 +42,34 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many were removed, and the MD5 of what is left (empty for null)."""
     cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target model is that of the documents labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return cross_entropy_difference(docs, F.col("target"))
+
+
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op5_best_fit_packing, op7_line_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_lm_scoring, op9_line_crf_quality, op10_source_mixing)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
