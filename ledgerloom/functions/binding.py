@@ -1,0 +1,13 @@
+"""Binding a value in an expression, so that it is evaluated once however often it is used."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value): the value becomes a lambda's variable, and the plan holds it once."""
+    return F.element_at(F.transform(F.array(value), body), 1)

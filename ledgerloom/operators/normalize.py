@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.dates import date_struct
 from ..functions.money import EMPTY_CELLS, MONEY, money_currency, money_struct
 
@@ -58,45 +59,64 @@ def resolve_amount(amount_cell: Column, signed_cell: Column, credit_cell: Column
     A signed amount counts before split columns count before a plain amount. An unsigned positive
     amount never means income. split: whether the layout has credit or debit columns.
     """
-    plain, signed = money_struct(amount_cell), money_struct(signed_cell)["amount"]
-    credit, debit = money_struct(credit_cell)["amount"], money_struct(debit_cell)["amount"]
-    shown = plain["amount"].isNotNull() & (signed_format | (plain["amount"] < 0) | plain["sign"].isNotNull())
-    by_plain = F.when(shown, _sign_direction(plain["amount"]))
-    by_signed = _sign_direction(signed)
-    after_signed = F.coalesce(signed, plain["amount"])
-    both = split & (F.coalesce(credit, F.lit(0)) != 0) & (F.coalesce(debit, F.lit(0)) != 0)
-    some = split & ~both & (credit.isNotNull() | debit.isNotNull())
-    split_amount = F.when(F.coalesce(credit, F.lit(0)) != 0, credit).when(F.coalesce(debit, F.lit(0)) != 0, debit).otherwise(F.lit(0).cast(MONEY))
-    split_direction = F.when(F.coalesce(credit, F.lit(0)) != 0, "in").when(F.coalesce(debit, F.lit(0)) != 0, "out").otherwise("none")
-    amount = F.when(both, F.lit(None).cast(MONEY)).when(some, split_amount).otherwise(after_signed)
-    derived = F.when(some, split_direction).otherwise(F.coalesce(by_signed, F.when(amount.isNotNull(), by_plain)))
-    raw = F.trim(F.coalesce(direction_cell, F.lit("")))
-    stated = direction_of(raw)
+    read = F.struct(*[money_struct(c).alias(n) for n, c in (("plain", amount_cell), ("signed", signed_cell), ("credit", credit_cell), ("debit", debit_cell))], F.trim(F.coalesce(direction_cell, F.lit(""))).alias("raw"))
+
+    def sides(r: Column) -> Column:
+        plain, signed, credit, debit = r["plain"], r["signed"]["amount"], r["credit"]["amount"], r["debit"]["amount"]
+        shown = plain["amount"].isNotNull() & (signed_format | (plain["amount"] < 0) | plain["sign"].isNotNull())
+        has_credit, has_debit = F.coalesce(credit, F.lit(0)) != 0, F.coalesce(debit, F.lit(0)) != 0
+        both = split & has_credit & has_debit
+        return F.struct(
+            plain["amount"].alias("plain"),
+            signed.alias("signed"),
+            F.when(shown, _sign_direction(plain["amount"])).alias("by_plain"),
+            _sign_direction(signed).alias("by_signed"),
+            F.coalesce(both, F.lit(False)).alias("both"),
+            F.coalesce(split & ~both & (credit.isNotNull() | debit.isNotNull()), F.lit(False)).alias("some"),
+            F.when(has_credit, credit).when(has_debit, debit).otherwise(F.lit(0).cast(MONEY)).alias("split_amount"),
+            F.when(has_credit, "in").when(has_debit, "out").otherwise("none").alias("split_direction"),
+            F.coalesce(split & ((credit < 0) | (debit < 0)), F.lit(False)).alias("negative"),
+            r["raw"].alias("raw"),
+            direction_of(r["raw"]).alias("stated"),
+            (filled(amount_cell, plain["amount"]) | filled(signed_cell, signed) | filled(credit_cell, credit) | filled(debit_cell, debit)).alias("invalid"),
+        )
+
     filled = lambda cell, value: ~F.trim(F.coalesce(cell, F.lit(""))).isin(*EMPTY_CELLS) & value.isNull()
-    invalid = filled(amount_cell, plain["amount"]) | filled(signed_cell, signed) | filled(credit_cell, credit) | filled(debit_cell, debit)
-    earlier = F.coalesce(by_signed, by_plain)
-    direction = F.when(amount.isNotNull(), F.coalesce(stated, derived)).otherwise(stated)
-    flags = [
-        (invalid, "AMOUNT_INVALID"),
-        ((F.abs(plain["amount"]) != F.abs(signed)) | (some & (F.abs(after_signed) != F.abs(split_amount))), "AMOUNT_CONFLICT"),
-        ((by_plain != by_signed) | (some & (earlier != split_direction)) | (amount.isNotNull() & (stated != derived) & (stated != "none")), "DIRECTION_CONFLICT"),
-        (split & ((credit < 0) | (debit < 0)), "SPLIT_AMOUNT_NEGATIVE"),
-        (both, "BOTH_DIRECTIONS"),
-        ((raw != "") & stated.isNull(), "DIRECTION_UNKNOWN"),
-        (direction.isNull(), "DIRECTION_MISSING"),
-        (amount.isNull(), "AMOUNT_MISSING"),
-    ]
-    issues = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda x: x.isNotNull())
-    return F.struct(F.abs(amount).alias("amount"), direction.alias("direction"), issues.alias("issues"))
+
+    def chosen(s: Column) -> Column:
+        amount = F.when(s["both"], F.lit(None).cast(MONEY)).when(s["some"], s["split_amount"]).otherwise(F.coalesce(s["signed"], s["plain"]))
+        derived = F.when(s["some"], s["split_direction"]).otherwise(F.coalesce(s["by_signed"], F.when(amount.isNotNull(), s["by_plain"])))
+        return F.struct(s.alias("s"), amount.alias("amount"), derived.alias("derived"), F.when(amount.isNotNull(), F.coalesce(s["stated"], derived)).otherwise(s["stated"]).alias("direction"))
+
+    def outcome(x: Column) -> Column:
+        s, amount, direction = x["s"], x["amount"], x["direction"]
+        flags = [
+            (s["invalid"], "AMOUNT_INVALID"),
+            ((F.abs(s["plain"]) != F.abs(s["signed"])) | (s["some"] & (F.abs(F.coalesce(s["signed"], s["plain"])) != F.abs(s["split_amount"]))), "AMOUNT_CONFLICT"),
+            ((s["by_plain"] != s["by_signed"]) | (s["some"] & (F.coalesce(s["by_signed"], s["by_plain"]) != s["split_direction"])) | (amount.isNotNull() & (s["stated"] != x["derived"]) & (s["stated"] != "none")), "DIRECTION_CONFLICT"),
+            (s["negative"], "SPLIT_AMOUNT_NEGATIVE"),
+            (s["both"], "BOTH_DIRECTIONS"),
+            ((s["raw"] != "") & s["stated"].isNull(), "DIRECTION_UNKNOWN"),
+            (direction.isNull(), "DIRECTION_MISSING"),
+            (amount.isNull(), "AMOUNT_MISSING"),
+        ]
+        issues = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda i: i.isNotNull())
+        return F.struct(F.abs(amount).alias("amount"), direction.alias("direction"), issues.alias("issues"))
+
+    return let(let(let(read, sides), chosen), outcome)
 
 
 def resolve_currency(currency_cell: Column, *money_cells: Column) -> Column:
     """struct(currency, issue) from the currency cell and the marks in the money cells."""
     stated = currency_of(F.coalesce(currency_cell, F.lit("")))
     evidence = F.array_distinct(F.filter(F.array(stated, *[money_currency(c) for c in money_cells]), lambda x: x.isNotNull()))
-    found = F.when(F.size(evidence) > 1, stated).when(F.size(evidence) == 1, F.element_at(evidence, 1)).otherwise(F.lit("CNY"))
-    issue = F.when(F.size(evidence) > 1, "CURRENCY_CONFLICT").when(F.size(evidence) == 0, "CURRENCY_DEFAULTED")
-    return F.struct(found.alias("currency"), issue.alias("issue"))
+
+    def outcome(e: Column) -> Column:
+        found = F.when(F.size(e) > 1, stated).when(F.size(e) == 1, F.element_at(e, 1)).otherwise(F.lit("CNY"))
+        issue = F.when(F.size(e) > 1, "CURRENCY_CONFLICT").when(F.size(e) == 0, "CURRENCY_DEFAULTED")
+        return F.struct(found.alias("currency"), issue.alias("issue"))
+
+    return let(evidence, outcome)
 
 
 def normalize_rows(rows: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
     "ocr_views": (
         "lineitem",
         "true",
-        {"page_id": "l_orderkey", "row": "l_linenumber", "v0": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END", "v1": "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'x' ELSE CAST(l_partkey % 9 AS STRING) END", "v2": "CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END"},
+        {"page_id": "l_orderkey * 100000 + l_partkey * 10 + l_suppkey % 10", "row": "l_linenumber", "v0": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END", "v1": "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'x' ELSE CAST(l_partkey % 9 AS STRING) END", "v2": "CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END"},
     ),
 }
 
