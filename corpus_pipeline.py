@@ -42,7 +42,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """As many copies of each document as the mix takes: none to three."""
     taken = mix_sources(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
     taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnsRenamed({"doc_id": "_mx_id", "copies": "_mx_copies"})
-    joined = docs.join(taken, docs["doc_id"] == taken["_mx_id"]).withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies"))))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mx_id"])).withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies"))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
