@@ -26,7 +26,7 @@ from .vocab import chunks, encoder, word_bpe
 BEGIN, CONTEXT = 65534, 65535
 SMOOTHING = 0.1
 #: Characters in a chunk.
-CHUNK = 12_000_000
+CHUNK = 3_000_000
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ WORD_END = "</w>"
 #: Characters on which Python's case or white-space rules may differ from the tokenizer library's.
 _RARE = regex.compile("[\x1c-\x1f\x85İΣ᠎​-‏⁠-⁤﻿]")
 #: Distinct words kept per task; a full table is started anew, so memory stays bounded.
-_KEPT = 1_000_000
+_KEPT = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
