@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -54,6 +55,11 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count}"
 
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose result is saved: nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *numbers: int) -> None:
         """Remove earlier tables of a loop that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, let
 from .linking import link_components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -20,8 +20,8 @@ RADIUS = 3
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, with runs of other characters than letters and digits made one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, with runs of ASCII characters other than letters and digits made one space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-/:-`{-\x7F]+", " "))
 
 
 def block_keys(sketch: Column) -> Column:
@@ -31,9 +31,10 @@ def block_keys(sketch: Column) -> Column:
 
 
 def line_simhash(lines: DataFrame) -> DataFrame:
-    """(line, sketch) of distinct lines (line, norm): majority bits of the words' XXH64.
+    """(line, sketch) of lines (line, norm), copies included: majority bits of the words' XXH64.
 
-    Two bits are counted in one long, 32 bits apart, so a line may have up to 2**31 words.
+    Copies of a line vote alike and leave the majority as it is, so only sums are shuffled, no text.
+    Two bits are counted in one long, 32 bits apart, so a line may have up to 2**31 words in all.
     """
     two = 0x0000000100000001
     hashed = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("h"))
@@ -49,10 +50,34 @@ def line_simhash(lines: DataFrame) -> DataFrame:
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
-    """Whether 1 - edit distance / greater length is at least so much."""
-    longest = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
-    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
+    """Whether 1 - edit distance / greater length is at least so much.
+
+    Lines with as many words are within the sum of their differing words' lengths of each other; if
+    that is too much, or the words are not as many, the equal words at either end are taken off, which
+    leaves the edit distance as it is, and the rest is compared.
+    """
+
+    def judged(x: Column) -> Column:
+        n, m = F.size(x["a"]), F.size(x["b"])
+        longest = F.greatest(F.length(a), F.length(b))
+        allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
+        gap = lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.length(p), F.length(q)))
+        by_words = F.aggregate(F.zip_with(x["a"], x["b"], gap), F.lit(0), lambda s, v: s + v)
+
+        def rest(y: Column) -> Column:
+            middle = lambda ws, k: F.array_join(F.slice(ws, y["head"] + 1, F.greatest(k - y["head"] - y["tail"], F.lit(0))), " ")
+            within = F.call_function("levenshtein", middle(x["a"], n), middle(x["b"], m), allowed)
+            return within >= 0  # -1 beyond the limit; the limit also bounds the work
+
+        equal = lambda p, q: F.zip_with(p, q, lambda v, w: F.coalesce(v == w, F.lit(False)))
+        first = lambda flags: F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.least(n, m)).cast("int")
+        head = first(equal(x["a"], x["b"]))
+        tail = first(equal(F.reverse(x["a"]), F.reverse(x["b"])))
+        ends = let(head, lambda h: F.struct(h.alias("head"), F.least(tail, F.least(n, m) - h).alias("tail")))
+        near = F.abs(F.length(a) - F.length(b)) <= allowed
+        return F.when(~near, False).when((n == m) & (by_words <= allowed), True).otherwise(let(ends, rest))
+
+    return let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), judged)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -66,36 +91,44 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession)
 
     def lines() -> DataFrame:
-        text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("at", "raw"))
-        norm = text.select("id", "text_hash", "at", normalised(F.col("raw")).alias("norm"))
-        counted = norm.where(F.length("norm") - F.length(F.translate("norm", " ", "")) >= min_words - 1).where("norm <> ''")
+        # Normalised inside the array, so that the regular expression runs once a line.
+        norms = F.transform(F.split(text_col, "\n"), normalised)
+        text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(norms).alias("at", "norm"))
+        counted = text.where((F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1) & (F.col("norm") != ""))
         return counted.select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
 
     place = F.struct("id", "text_hash", "at")
-    sketched = scratch.save(line_simhash(lines().groupBy("line").agg(F.first("norm").alias("norm"))))
-    places = scratch.save(lines().groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    sketched = scratch.save(line_simhash(lines().select("line", "norm")))
+    scratch.tidy()
+    spots = scratch.save(lines().select("line", place.alias("spot")))
     keys = sketched.select(F.explode(block_keys(F.col("sketch"))).alias("bucket"), F.col("line").alias("id"), "sketch")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        needed = pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct()
+    def confirmer(needed: DataFrame):
+        needed = needed.withColumnRenamed("id", "line")
         texts = scratch.save(lines().select("line", "norm").join(needed, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")))
+        scratch.tidy()
         named = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"{end}_norm"))
-        both = pairs.join(named("src"), "src").join(named("dst"), "dst")
-        return both.where(similar(F.col("src_norm"), F.col("dst_norm"), similarity)).select("src", "dst")
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(named("src"), "src").join(named("dst"), "dst")
+            return both.where(similar(F.col("src_norm"), F.col("dst_norm"), similarity)).select("src", "dst")
+
+        return confirm
 
     near = lambda bucket, a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-    linked = link_components(keys, near, scratch, confirm).withColumnRenamed("node", "line")
+    linked = link_components(keys, near, scratch, confirmer).withColumnRenamed("node", "line")
+    places = spots.groupBy("line").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     groups = places.join(linked, "line", "left").select("line", F.coalesce("component", "line").alias("component"), "first", "n")
     kept = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1")
     repeated = scratch.save(groups.join(kept, "component").select("line", "kept"))
-    spots = lines().select("line", place.alias("spot")).join(repeated, "line").where(F.col("spot") != F.col("kept"))
+    spots = spots.join(repeated, "line").where(F.col("spot") != F.col("kept"))
     dropped = spots.select("spot.id", "spot.text_hash", "spot.at").groupBy("id", "text_hash").agg(F.collect_set("at").alias("_ld_at"))
 
     d = docs.withColumns({"_ld_id": F.col(id_col), "_ld_hash": F.xxhash64(text_col)})
     dropped = dropped.withColumnsRenamed({"id": "_ld_i", "text_hash": "_ld_h"})
     joined = d.join(dropped, F.col("_ld_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_hash") == F.col("_ld_h")), "left")
-    stays = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_ld_at", i))
+    at = lambda xs: F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col("_ld_at"))
+    stays = let(F.split(text_col, "\n"), lambda xs: F.transform(at(xs), lambda i: F.get(xs, i)))
     text = F.when(F.col("_ld_at").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
     counts = {"_ld_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long"), "_ld_removed": F.when(F.col("_ld_at").isNull(), 0).otherwise(F.size("_ld_at")).cast("long")}
     return joined.withColumns(counts).withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns], "_ld_lines", "_ld_removed")

@@ -3,8 +3,8 @@
 A blocking puts items into buckets so that any two items that link share a bucket. Two steps find
 the connected components of the links exactly:
 
-1. each item is compared with two leaders of each of its buckets (the least and the greatest item),
-   which joins a dense group by as many links as it has members;
+1. each item is compared with the leader of each of its buckets, its least item, which joins a dense
+   group by as many links as it has members;
 2. items of one bucket that are still in different components are compared with each other.
 
 A pair inside one component is never emitted, so the rows made stay in proportion to the items.
@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import Scratch
 
@@ -50,19 +51,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(found.select(F.col("src").alias("node"), "component"))
 
 
-def link_components(keys: DataFrame, close: Callable[[Column, Column, Column], Column], scratch: Scratch, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(keys: DataFrame, close: Callable[[Column, Column, Column], Column], scratch: Scratch, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """(node, component) of the items that link with another one.
 
-    keys: (bucket, id, sketch), whole numbers. close(bucket, a, b) says whether two sketches may link;
-    confirm keeps those of the candidate pairs (src, dst) that do (None: all).
+    keys: (bucket, id, sketch), whole numbers. close(bucket, a, b) says whether two sketches may link.
+    confirmer gets the items (id) that share a bucket at all and gives a function that keeps those of
+    the candidate pairs (src, dst) that do link (None: all).
     """
-    confirm = confirm or (lambda pairs: pairs)
-    ends = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("sketch", "id").alias("low_sketch"), F.max("id").alias("high"), F.max_by("sketch", "id").alias("high_sketch"))
-    shared = scratch.save(keys.join(ends.where("n > 1").drop("n"), "bucket"))
-    stars = None
-    for end in ("low", "high"):
-        star = shared.where((F.col("id") != F.col(end)) & close(F.col("bucket"), F.col("sketch"), F.col(f"{end}_sketch"))).select(F.greatest("id", end).alias("src"), F.least("id", end).alias("dst"))
-        stars = star if stars is None else stars.union(star)
+    # One shuffle: a row is alone in its bucket if it has no neighbour there, and the first one leads.
+    # Items are distinct, so a bucket's rows are sorted and streamed, never held together.
+    in_bucket = Window.partitionBy("bucket").orderBy("id")
+    upto = in_bucket.rowsBetween(Window.unboundedPreceding, 0)
+    led = keys.withColumns({"_before": F.lag("id").over(in_bucket), "_after": F.lead("id").over(in_bucket), "low": F.first("id").over(upto), "low_sketch": F.first("sketch").over(upto)})
+    shared = scratch.save(led.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after"))
+    scratch.tidy()
+    confirm = confirmer(shared.select("id").distinct()) if confirmer else lambda pairs: pairs
+    stars = shared.where((F.col("id") != F.col("low")) & close(F.col("bucket"), F.col("sketch"), F.col("low_sketch"))).select(F.col("id").alias("src"), F.col("low").alias("dst"))
     edges = scratch.save(confirm(stars.distinct()))
     components = connected_components(edges, scratch)
     named = shared.select("bucket", "id", "sketch").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
