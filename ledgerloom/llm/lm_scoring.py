@@ -29,10 +29,12 @@ SMOOTHING = 0.1
 CHUNK = 3_000_000
 
 
-def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: Column | DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Per row: id, n_tokens long, target_loss, background_loss, score (double, nats per token).
 
-    target marks the documents of the target model (null: not); the background is all documents.
+    target marks the documents of the target model: a condition (null: not), or a table whose first
+    column holds their ids. The background is all documents. Ids meet the chunks' lists of ids, so a
+    table of them never makes Spark move the texts.
     A text without tokens has n_tokens 0 and score 0. Rows that share an id are scored alone. Counts
     come from whole texts of all rows; an empty table gives an empty result.
     """
@@ -49,29 +51,40 @@ def cross_entropy_difference(docs: DataFrame, target: Column, id_col: str = "doc
             for a, b in chunks(texts, CHUNK):
                 ids = [x for start, end in chunks(texts[a:b]) for x in codec.batch(texts[a:b][start:end])]
                 flat = np.concatenate(ids).astype("<u2")
-                yield pd.DataFrame([{"docs": batch["id"].iloc[a:b].tolist(), "lengths": [len(x) for x in ids], "flags": batch["target"].iloc[a:b].tolist(), "ids": flat.tobytes()}])
+                yield pd.DataFrame([{"docs": batch["id"].iloc[a:b].tolist(), "lengths": [len(x) for x in ids], "marked": np.flatnonzero(batch["target"].iloc[a:b].to_numpy(bool)).tolist(), "ids": flat.tobytes()}])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(target.cast("boolean"), F.lit(False)).alias("target"))
-    held = source.mapInPandas(encode, f"docs array<{kind}>, lengths array<long>, flags array<boolean>, ids binary")
+    condition = F.lit(False) if isinstance(target, DataFrame) else target
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(condition.cast("boolean"), F.lit(False)).alias("target"))
+    held = source.mapInPandas(encode, f"docs array<{kind}>, lengths array<long>, marked array<long>, ids binary")
     held = scratch.save(held.withColumn("chunk", F.monotonically_increasing_id()))
-
-    def grams_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    scratch.tidy()
+    marked = held
+    if isinstance(target, DataFrame):
+        wanted = target.select(F.col(target.columns[0]).alias("id")).distinct()
+        places = held.select("chunk", F.posexplode("docs").alias("at", "id")).join(wanted, "id").groupBy("chunk").agg(F.collect_list(F.col("at").cast("long")).alias("marked"))
+        # Saved, so that Spark knows how small it is: a number for each target document.
+        marked = held.drop("marked").join(scratch.save(places), "chunk", "left")
+
+    def grams_of(row) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.asarray(row.lengths, np.int64)
         ids = np.frombuffer(row.ids, "<u2").astype(np.int64)
         before = np.concatenate([[BEGIN], ids[:-1]]) if len(ids) else ids
         starts = np.cumsum(lengths) - lengths
         before[starts[lengths > 0]] = BEGIN
-        return before << 16 | ids, before << 16 | CONTEXT, np.repeat(np.asarray(row.flags, bool), lengths)
+        return before << 16 | ids, before << 16 | CONTEXT
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                pairs, contexts, flags = grams_of(row)
+                pairs, contexts = grams_of(row)
+                of_target = np.zeros(len(row.lengths), bool)
+                of_target[np.asarray(row.marked if row.marked is not None else (), np.int64)] = True
+                flags = np.repeat(of_target, np.asarray(row.lengths, np.int64))
                 for keys in (pairs, contexts):
                     unique, at = np.unique(keys, return_inverse=True)
                     yield pd.DataFrame({"chunk": row.chunk, "gram": unique, "n": np.bincount(at, minlength=len(unique)), "t": np.bincount(at, weights=flags, minlength=len(unique)).astype(np.int64)})
 
-    asked = held.select("chunk", "lengths", "flags", "ids").mapInPandas(ask, "chunk long, gram long, n long, t long")
+    asked = marked.select("chunk", "lengths", "marked", "ids").mapInPandas(ask, "chunk long, gram long, n long, t long")
     asked = scratch.save(asked.select("chunk", F.col("gram"), F.col("n").cast("int").alias("n"), F.col("t").cast("int").alias("t")))
     model = asked.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     vocabulary = float(len(encoder(path).n_bytes))
@@ -90,7 +103,7 @@ def _scored(held: DataFrame, asked: DataFrame, model: DataFrame, grams_of, kind:
         known = right["gram"].to_numpy()
         losses = right[["target", "background"]].to_numpy(np.float64)
         for row in left.itertuples():
-            pairs, contexts, _ = grams_of(row)
+            pairs, contexts = grams_of(row)
             lengths = np.asarray(row.lengths, np.int64)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             per_token = losses[np.searchsorted(known, pairs)] + losses[np.searchsorted(known, contexts)] if len(pairs) else np.zeros((0, 2))

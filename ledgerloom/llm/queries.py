@@ -54,9 +54,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target model is that of the documents labelled as of good quality."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return cross_entropy_difference(docs, F.col("target"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
