@@ -1,22 +1,24 @@
 """Fuzzy line dedup, in DataFrame operations only.
 
-Equal normalised lines are one item. Items get a 64-bit SimHash of their words and are bucketed by
-pairs of equal blocks: with five blocks and at most three differing bits, two blocks are equal.
-Candidates are verified by edit similarity, and one occurrence of each connected group stays.
+Equal normalised lines are one item. Items get 24 weighted MinHashes of their pairs of neighbouring
+words, in twelve bands of two, which are the bucket keys: a pair whose weighted Jaccard similarity is
+J shares a band with probability 1 - (1 - J ** 2) ** 12, 0.97 at 0.5. Candidates that agree in enough
+MinHashes are verified by edit similarity, and one occurrence of each connected group stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, let
 from .linking import link_components
 
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-RADIUS = 3
+BANDS, ROWS = 12, 2
+#: Of the first 16 MinHashes, kept as four bits each, so many have to agree.
+SKETCHED, LEAST_EQUAL = 16, 6
+#: Longer words, as of scripts without spaces, count as their character trigrams.
+LONGEST_WORD = 20
 
 
 def normalised(line: Column) -> Column:
@@ -24,29 +26,42 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-/:-`{-\x7F]+", " "))
 
 
-def block_keys(sketch: Column) -> Column:
-    """The ten bucket keys of a SimHash: each pair of its five blocks."""
-    block = lambda i: F.call_function("shiftrightunsigned", sketch, F.lit(BLOCKS[i][0])).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1))
-    return F.array(*[F.lit(n << 26).bitwiseOR(F.shiftleft(block(i), 13)).bitwiseOR(block(j)) for n, (i, j) in enumerate(combinations(range(5), 2))])
+def features(norm: Column) -> Column:
+    """A line's pairs of neighbouring words, and its last word; of long words, character trigrams."""
+
+    def pieces(word: Column) -> Column:
+        doubles = lambda cs: F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs) - 1), lambda a, b: F.concat(a, b))
+        return F.when(F.length(word) <= LONGEST_WORD, F.array(word)).otherwise(let(F.split(word, ""), doubles))
+
+    words = F.split(norm, " ")
+    words = F.when(norm.rlike(f"[^ ]{{{LONGEST_WORD + 1}}}"), F.flatten(F.transform(words, pieces))).otherwise(words)
+    return let(words, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def line_simhash(lines: DataFrame) -> DataFrame:
-    """(line, sketch) of lines (line, norm), copies included: majority bits of the words' XXH64.
+def line_minhash(lines: DataFrame) -> DataFrame:
+    """(line, sketch, keys) of lines (line, norm), copies included, which leave the minima as they are.
 
-    Copies of a line vote alike and leave the majority as it is, so only sums are shuffled, no text.
-    Two bits are counted in one long, 32 bits apart, so a line may have up to 2**31 words in all.
+    A feature weighs its length, as edit similarity counts characters: the least of -log(u) / weight.
+    sketch has four bits of each of the first MinHashes, keys the hash of each band.
     """
-    two = 0x0000000100000001
-    hashed = lines.select("line", F.explode(F.split("norm", " ")).alias("word")).select("line", F.xxhash64("word").alias("h"))
-    shifted = lambda k: F.call_function("shiftrightunsigned", F.col("h"), F.lit(k)).bitwiseAND(F.lit(two))
-    sums = hashed.groupBy("line").agg(F.count("*").alias("n"), *[F.sum(shifted(k)).alias(f"s{k}") for k in range(32)])
+    n = BANDS * ROWS
+    hashed = lines.select("line", F.explode(features(F.col("norm"))).alias("f")).select("line", F.xxhash64("f").alias("h"), F.length("f").alias("weight"))
+    uniform = lambda k: (F.call_function("shiftrightunsigned", F.xxhash64("h", F.lit(k)), F.lit(11)) + 1) / float(1 << 53)
+    least = hashed.groupBy("line").agg(*[F.min((-F.log(uniform(k)) / F.col("weight")).cast("float")).alias(f"m{k}") for k in range(n)])
     sketch = F.lit(0).cast("long")
-    for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.call_function("shiftrightunsigned", F.col(f"s{k}"), F.lit(32))
-        for bit, count in ((k, low), (k + 32, high)):
-            value = 1 << bit
-            sketch = sketch.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(value - (1 << 64) if bit == 63 else value)).otherwise(F.lit(0)).cast("long"))
-    return sums.select("line", sketch.alias("sketch"))
+    for k in range(SKETCHED):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return least.select("line", sketch.alias("sketch"), keys.alias("keys"))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether two sketches have enough MinHashes in common."""
+    x = a.bitwiseXOR(b)
+    folded = x
+    for k in (1, 2, 3):
+        folded = folded.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(k)))
+    return F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111))) <= SKETCHED - LEAST_EQUAL
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
@@ -94,14 +109,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Normalised inside the array, so that the regular expression runs once a line.
         norms = F.transform(F.split(text_col, "\n"), normalised)
         text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(norms).alias("at", "norm"))
-        counted = text.where((F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1) & (F.col("norm") != ""))
-        return counted.select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
+        return text.where((F.col("norm") != "") & long_enough).select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
 
+    long_enough = (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1)
     place = F.struct("id", "text_hash", "at")
-    sketched = scratch.save(line_simhash(lines().select("line", "norm")))
+    sketched = scratch.save(line_minhash(lines().select("line", "norm")))
     scratch.tidy()
     spots = scratch.save(lines().select("line", place.alias("spot")))
-    keys = sketched.select(F.explode(block_keys(F.col("sketch"))).alias("bucket"), F.col("line").alias("id"), "sketch")
+    keys = sketched.select(F.explode("keys").alias("bucket"), F.col("line").alias("id"), "sketch")
 
     def confirmer(needed: DataFrame):
         needed = needed.withColumnRenamed("id", "line")
@@ -115,8 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return confirm
 
-    near = lambda bucket, a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-    linked = link_components(keys, near, scratch, confirmer).withColumnRenamed("node", "line")
+    linked = link_components(keys, lambda bucket, a, b: agree(a, b), scratch, confirmer).withColumnRenamed("node", "line")
     places = spots.groupBy("line").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     groups = places.join(linked, "line", "left").select("line", F.coalesce("component", "line").alias("component"), "first", "n")
     kept = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1")

@@ -272,6 +272,22 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [8, 12, 20, 40, 80])
+def test_line_dedup_finds_lines_with_a_changed_word(spark, n):
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 9))))
+    rows = []
+    for i in range(100):
+        line = [word() for _ in range(n)]
+        near = list(line)
+        at = int(rng.integers(0, n))
+        near[at] = near[at][::-1][:-1] + "q"
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
+    removed = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("_ld_removed = 1")
+    gone = [r.doc_id for r in removed.select("doc_id").collect()]
+    assert all(i % 2 for i in gone) and len(gone) >= 90
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 16))
