@@ -95,10 +95,11 @@ def similar(a: Column, b: Column, least: float) -> Column:
     return let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), judged)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, similarity: float = 0.8, min_chars: int = 20) -> DataFrame:
     """docs with repeated lines taken out of text_col, and columns _ld_lines and _ld_removed (long).
 
-    Lines are split at line feeds. Lines with fewer than min_words normalised words always stay. Of a
+    Lines are split at line feeds. Every line with a letter or digit is judged: all for equal lines,
+    those with min_words normalised words or min_chars characters for similar ones too. Of a
     group of equal or similar lines, the one with the least (id, text hash, position) stays. A null
     text stays null; a text all of whose lines go becomes empty, its row stays. Rows with equal id
     and text lose the same lines. Two different lines with one 64-bit hash would count as equal.
@@ -109,11 +110,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Normalised inside the array, so that the regular expression runs once a line.
         norms = F.transform(F.split(text_col, "\n"), normalised)
         text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(norms).alias("at", "norm"))
-        return text.where((F.col("norm") != "") & long_enough).select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
+        return text.where(F.col("norm") != "").select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
 
-    long_enough = (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1)
+    long_enough = (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1) | (F.length("norm") >= min_chars)
     place = F.struct("id", "text_hash", "at")
-    sketched = scratch.save(line_minhash(lines().select("line", "norm")))
+    sketched = scratch.save(line_minhash(lines().where(long_enough).select("line", "norm")))
     scratch.tidy()
     spots = scratch.save(lines().select("line", place.alias("spot")))
     keys = sketched.select(F.explode("keys").alias("bucket"), F.col("line").alias("id"), "sketch")

@@ -288,6 +288,13 @@ def test_line_dedup_finds_lines_with_a_changed_word(spark, n):
     assert all(i % 2 for i in gone) and len(gone) >= 90
 
 
+def test_line_dedup_of_short_lines_and_lines_without_spaces(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电视节目直到深夜才睡觉"
+    texts = ["Read more", chinese, "yes\n--", "read  MORE!", chinese, chinese.replace("晚饭", "午饭"), "yes\n--", "no"]
+    found = {r.doc_id: (r.text, r._ld_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: (texts[0], 0), 1: (chinese, 0), 2: (texts[2], 0), 3: ("", 1), 4: ("", 1), 5: ("", 1), 6: ("--", 1), 7: ("no", 0)}
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 16))
