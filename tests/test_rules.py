@@ -94,6 +94,17 @@ def test_field_union_keeps_every_value(spark):
     assert fields["payment_method"].multiple_values is False
 
 
+def test_combined_payment_searches_pools_of_any_size(spark):
+    from itertools import combinations
+
+    orders = [(i, i * 7 % 23 + 1, "ab"[i % 5 == 0]) for i in range(20)] + [(90 + i, 900, "a") for i in range(5)]
+    pool = spark.createDataFrame([(1, Decimal(40), i, Decimal(a), s, i % 3 > 0) for i, a, s in orders], "bank_id long, bank_amount decimal(18,2), order_id long, order_amount decimal(18,2), order_source string, referred boolean")
+    for size in (2, 3, 4):
+        want = {(*[i for i, _, _ in c], all(i % 3 for i, _, _ in c)) for c in combinations(orders, size) if sum(a for _, a, _ in c) == 40 and len({s for *_, s in c}) == 1}
+        found = pairing.combined_candidates(pool, size).drop("bank_id", "bank_amount").collect()
+        assert want and sorted(map(tuple, found)) == sorted(want)
+
+
 def test_combined_payment(spark):
     pool = spark.createDataFrame([(1, Decimal("58"), i, Decimal(a), "s", True) for i, a in enumerate(("20", "38", "50"))], "bank_id long, bank_amount decimal(18,2), order_id long, order_amount decimal(18,2), order_source string, referred boolean")
     assert [(r.o1, r.o2, r.automatic) for r in pairing.combined_candidates(pool, 2).collect()] == [(0, 1, True)]
