@@ -30,19 +30,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """docs, saved, with a number of its own for each row: ids may be null or shared."""
+    return Scratch(docs.sparkSession).save(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
-    groups = Scratch(spark).save(simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")))
-    d, g = docs.alias("d"), groups.alias("g")
-    kept = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if groups.where("rows > 1").limit(1).count() else kept
+    """Of each group of linked documents one row stays: the least doc_id, null last, then text hash."""
+    rows = with_rows(docs, "_sd_row")
+    groups = simhash_groups(rows, "_sd_row").select("_sd_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_sd_row")
+    least = rows.select("_sd_row", order.alias("place")).join(groups, "_sd_row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return rows.join(least.select("place._sd_row"), "_sd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes: none to three."""
-    taken = mix_sources(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnsRenamed({"doc_id": "_mx_id", "copies": "_mx_copies"})
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mx_id"])).withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies"))))
+    rows = with_rows(docs, "_mx_row")
+    taken = mix_sources(rows, row_col="_mx_row").where("taken > 0").select("_mx_row", (F.col("taken") / F.col("size")).cast("int").alias("_mx_copies"))
+    joined = rows.join(taken, "_mx_row").withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies"))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

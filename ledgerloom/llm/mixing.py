@@ -55,6 +55,7 @@ def mix_sources(
     size: Column | None = None,
     weights: tuple[float, ...] = (1, 2, 3),
     max_epochs: int = 3,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Per row of docs: id, source, size, source_size, target, taken (tokens, repeats counted).
 
@@ -62,7 +63,7 @@ def mix_sources(
     source is a source of its own, the last one. Rows that share an id are documents of their own.
     Copies of a document beyond the first are queued after the whole source, one epoch each. The
     order within a source is that of md5(id), so reruns and retried tasks agree. An empty table
-    gives an empty result.
+    gives an empty result. row_col, a number of each row's own, is carried along and breaks ties.
 
     A source's running total is a prefix sum over 16**KEY_DIGITS key ranges plus one inside each, so
     that a source with a third of all rows is spread over thousands of groups; the global cut is
@@ -71,20 +72,21 @@ def mix_sources(
     scratch = Scratch(docs.sparkSession)
     size = n_words(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key.alias("key")))
+    row = ["row"] if row_col else []
+    sized = scratch.save(docs.select(*[F.col(row_col).alias(r) for r in row], F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key.alias("key")))
     sized = sized.withColumn("range", F.substring("key", 1, KEY_DIGITS))
     sources = source_targets(sized, weights, max_epochs)
 
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")).withColumn("range_before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     ranges = ranges.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.source", "range", "range_before", "source_rank", "source_size", "target")
-    within = Window.partitionBy("source_rank", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_rank", "range").orderBy("key", "id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         sized.alias("d")
         .join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-        .select("d.id", "d.source", "d.size", "d.key", "d.range", "range_before", "source_rank", "source_size", "target")
+        .select(*[f"d.{r}" for r in row], "d.id", "d.source", "d.size", "d.key", "d.range", "range_before", "source_rank", "source_size", "target")
         .withColumn("cum", F.sum("size").over(within) + F.col("range_before"))
-        .select("id", "source", "size", "source_rank", "source_size", "target", "cum")
+        .select(*row, "id", "source", "size", "source_rank", "source_size", "target", "cum")
     )
     queued = scratch.save(queued)
 
@@ -105,4 +107,4 @@ def mix_sources(
     else:
         taken = [F.lit(True)] * max_epochs
     times = sum((t.cast("long") for t in taken), F.lit(0))
-    return queued.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"))
+    return queued.select(*[F.col(r).alias(row_col) for r in row], F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long").alias("taken"))
