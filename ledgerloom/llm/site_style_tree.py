@@ -22,6 +22,8 @@ from .common import Scratch
 
 #: Elements of the HTML standard by what they mean for a text.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video")
+#: Of these, those that run to the page's end if nothing closes them; the others are only their tag then.
+TO_THE_END = frozenset(("script", "style", "noscript", "template"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -38,10 +40,11 @@ TOLD, UNTOLD = 400, 20
 LEAST_IMPORTANCE = 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -59,7 +62,8 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 out.append(("/".join(name for _, name in stack), block))
             text.clear()
 
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
@@ -67,6 +71,15 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         if tag is None:
             if m["raw"]:
                 flush()
+                raw = m["raw"].lower()
+                if raw in ("svg", "math") and m[0].endswith("/>") or raw in unclosed:
+                    continue
+                if closed := _CLOSED[raw].search(page, at):
+                    at = closed.end()
+                elif raw in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(raw)
             continue
         tag = tag.lower()
         if tag == "br":

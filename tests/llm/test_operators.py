@@ -379,3 +379,11 @@ def test_held_out_quality(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
     none = line_crf.classify_quality(spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string"), labels.where("false"), F.lit(True))
     assert {r.score for r in none.collect()} == {0.5}
+
+
+@pytest.mark.parametrize(
+    "odd", ['<svg-icon name="x"></svg-icon>', '<svg class="i"/>', '<math/>', '<video-player>', '<template-x></template-x>', '<video src="a">', '<iframe src="b">', '<svg><text>no</text></svg>', '<VIDEO title="a>b">no</Video >']
+)
+def test_text_after_raw_elements_stays(odd):
+    blocks = site_style_tree.blocks_of(f"<article>{odd}<p>first</p><p>second</p></article>")
+    assert [text for _, text in blocks] == ["first", "second"]
