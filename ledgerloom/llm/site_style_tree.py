@@ -2,8 +2,9 @@
 
 The DOMs of a host are merged: nodes are the same when their chains of tags and classes are. A
 node's importance is one minus the mean entropy of its contents over the host's pages: a content
-that stands on many pages tells little. Hosts with few pages lean on a prior from the tag and class
-names, which the evidence of a large host outweighs. Nodes of low importance go from every page.
+that stands on many pages tells little. Copies of a page count once. Hosts with few pages lean on a
+prior from the tag and class names; names that tell something are never outweighed, whatever the
+host's size. Nodes of low importance go from every page.
 """
 
 from __future__ import annotations
@@ -35,19 +36,27 @@ OUTSIDE_WORDS = frozenset(
 )
 MAIN_TAGS = frozenset(("article", "main"))
 
-#: Pages that the names of a branch weigh as much as, if they tell something and if they don't.
-TOLD, UNTOLD = 400, 20
+#: Pages that the names of a branch weigh as much as, if they tell something and if they don't, and
+#: the most that the host's pages weigh against names that tell something.
+TOLD, UNTOLD, EVIDENCE = 400, 20, 300
 LEAST_IMPORTANCE = 0.5
+#: The importance that a name of furniture gives.
+OUTSIDE = 0.05
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _WORDS = re.compile(r"[a-z]+")
 
 
+def told_by(kind: str, value: str) -> list[str]:
+    """The names in an attribute; of an id, which may be one page's own, only the words that tell something."""
+    return [w for w in _WORDS.findall(value) if w in OUTSIDE_WORDS] if kind.lower() == "id" else value.split()
+
+
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(node, text) of the text blocks of a page in order; a node is its chain of tags and classes."""
     out: list[tuple[str, str]] = []
@@ -98,7 +107,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             continue
         if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
             stack.pop()
-        names = " ".join(sorted({w for x in _NAMES.findall(m["attrs"]) for w in "".join(x).lower().split()})) if m["attrs"] else ""
+        names = " ".join(sorted({w for kind, *x in _NAMES.findall(m["attrs"]) for w in told_by(kind, "".join(x).lower())})) if m["attrs"] else ""
         if not m["attrs"].rstrip().endswith("/") or tag not in ("path", "rect", "circle"):
             stack.append((tag, f"{tag}.{names}" if names else tag))
     if at < len(page):
@@ -114,15 +123,22 @@ def prior(node: str) -> tuple[float, int]:
     for step in node.split("/"):
         tag, _, names = step.partition(".")
         if tag in OUTSIDE_TAGS and not (tag == "header" and inside):
-            return 0.05, TOLD
+            return OUTSIDE, TOLD
         if names and not OUTSIDE_WORDS.isdisjoint(_WORDS.findall(names)) and tag not in ("html", "body"):
-            return 0.05, TOLD
+            return OUTSIDE, TOLD
         inside = inside or tag in MAIN_TAGS
     if inside:
         return 0.95, TOLD
     return (0.6, UNTOLD) if node else (0.1, UNTOLD)
 
 
+def importance_of(node: str, pages: int, found: float) -> float:
+    """The names' importance and that found on so many pages, each by its weight."""
+    guess, weight = prior(node)
+    n = min(pages, EVIDENCE) if weight == TOLD else pages
+    return (guess * weight + found * n) / (weight + n)
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -130,35 +146,41 @@ def _key(text: str) -> int:
 def node_importance(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """The merged trees: (host, node key, pages, importance) for each node that holds text.
 
+    Pages with equal blocks, but for those whose names put them outside the main text, count as one.
     A content's entropy over the m pages that have the node, of which c hold the content, is
     log(c) / log(m); each distinct content counts once, so copied pages do not weigh more.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        outside: dict[str, bool] = {}
         for batch in batches:
-            counts: dict[tuple, int] = {}
-            named: dict[tuple, str] = {}
+            rows: set[tuple] = set()
             for site, page in zip(batch["host"], batch["html"]):
-                seen = set()
+                blocks = []
+                whole = xxhash.xxh64()
                 for node, text in blocks_of(page):
-                    key = _key(node)
-                    named[site, key] = node
-                    seen.add((site, key, _key(text)))
-                    seen.add((site, key, None))
-                for x in seen:
-                    counts[x] = counts.get(x, 0) + 1
-            rows = [(s, k, c, n, named[s, k] if c is None else None) for (s, k, c), n in counts.items()]
-            out = pd.DataFrame(rows, columns=["host", "node", "content", "n", "path"])
+                    if node not in outside:
+                        if len(outside) > 100_000:
+                            outside.clear()
+                        outside[node] = prior(node) == (OUTSIDE, TOLD)
+                    key, content = _key(node), _key(text)
+                    blocks.append((key, content))
+                    if not outside[node]:
+                        whole.update(f"{key} {content} ")
+                page_key = whole.intdigest() - (1 << 63)
+                for key, content in blocks:
+                    rows.add((site, key, content, page_key))
+                    rows.add((site, key, None, page_key))
+            out = pd.DataFrame(list(rows), columns=["host", "node", "content", "page"])
             yield out.assign(content=out["content"].astype("Int64"))
 
-    found = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(run, "host string, node long, content long, n long, path string")
-    contents = found.groupBy("host", "node", "content").agg(F.sum("n").alias("n"), F.max("path").alias("path"))
+    found = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInPandas(run, "host string, node long, content long, page long").distinct()
+    contents = found.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
     nodes = contents.groupBy("host", "node").agg(
         F.max(F.when(F.col("content").isNull(), F.col("n"))).alias("pages"),
-        F.max("path").alias("path"),
         F.avg(F.when(F.col("content").isNotNull(), F.log("n"))).alias("log_n"),
     )
-    return nodes.select("host", "node", "path", "pages", F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("log_n") / F.log("pages")).alias("importance"))
+    return nodes.select("host", "node", "pages", F.when(F.col("pages") < 2, 1.0).otherwise(1 - F.col("log_n") / F.log("pages")).alias("importance"))
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -193,9 +215,8 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
                 parts = []
                 for node, text in blocks_of(page):
                     if (wanted := keep.get((site, node))) is None:
-                        guess, weight = prior(node)
-                        n, found = known[site].get(_key(node), (0, guess))
-                        wanted = keep[site, node] = (guess * weight + found * n) / (weight + n) >= LEAST_IMPORTANCE
+                        n, found = known[site].get(_key(node), (0, 0.0))
+                        wanted = keep[site, node] = importance_of(node, n, found) >= LEAST_IMPORTANCE
                     if wanted:
                         parts.append(text)
                 texts.append(" ".join(parts))

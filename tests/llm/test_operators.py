@@ -387,3 +387,15 @@ def test_held_out_quality(spark):
 def test_text_after_raw_elements_stays(odd):
     blocks = site_style_tree.blocks_of(f"<article>{odd}<p>first</p><p>second</p></article>")
     assert [text for _, text in blocks] == ["first", "second"]
+
+
+def test_host_size_does_not_turn_the_verdict(spark):
+    """Comments of each page's own and articles that are copied, told by names and not, on two hosts."""
+    def page(i, articles, tag):
+        return f'<body><div class="menu2">home</div><{tag} id="post-{i}"><p>article {i % articles} says {i % articles * 7}</p></{tag}><div class="comments"><p>reader {i} says {i * i}</p></div></body>'
+
+    for tag, articles in (("article", 50), ("article", 1), ("div", 50)):
+        rows = [(i, f"http://h{n}.example/", page(i, articles, tag)) for n in (100, 10_000) for i in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        got = {(r.url, r.page_id, r._sst_text) for r in site_style_tree.extract_main_text(pages).collect()}
+        assert got == {(u, i, f"article {i % articles} says {i % articles * 7}") for i, u, _ in rows} if articles > 1 else {t.removeprefix("home ") for *_, t in got} == {"article 0 says 0"}
