@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..llm.common import Scratch
 from ..shipping import ship
 
 
@@ -53,7 +54,17 @@ def fold_reviews(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return the rows in memory (tests and small queries)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now and return its rows.
+
+    Appended rows go to a table in the shared folder. The other modes keep their rows in memory, which
+    is for tests and small queries.
+    """
+    writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        writer.format("memory").start().awaitTermination()
+        return stream.sparkSession.table(name)
+    spark, scratch = stream.sparkSession, Scratch(stream.sparkSession)
+    out = scratch.path()
+    spark.createDataFrame([], stream.schema).write.parquet(out)  # there even if the stream has no rows
+    writer.format("parquet").option("path", out).option("checkpointLocation", scratch.path()).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

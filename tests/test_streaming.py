@@ -19,3 +19,13 @@ def test_review_fold_replays_requests_once(spark, tmp_path):
     stream = ledger.read_stream(spark, str(tmp_path / "in"), "relation_id string, revision long, action string, request_id string")
     found = ledger.run_to_end(ledger.fold_reviews(stream), "folded", "update")
     assert sorted(map(tuple, found.collect())) == [("a", 2, "reject"), ("b", 3, "defer")]
+
+
+def test_appended_rows_do_not_pass_through_memory(spark, sf_dir, tmp_path):
+    path = f"{sf_dir}/events.parquet"
+    stream = ledger.read_stream(spark, f"{path}*", spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = ledger.run_to_end(ledger.once(stream, "ts", ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), "appended")
+    assert not spark.catalog.tableExists("appended")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, spark.read.parquet(path).select("user_id", "event_type").distinct().collect()))
+    spark.createDataFrame([], "k long, at timestamp").write.parquet(str(tmp_path / "none"))
+    assert ledger.run_to_end(ledger.once(ledger.read_stream(spark, str(tmp_path / "none"), "k long, at timestamp"), "at", ["k"]), "nothing").count() == 0
