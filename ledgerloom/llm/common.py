@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only a session without that setting (a test) gets a folder of its own.
+    A session of this machine alone may do without; on a cluster the setting is needed.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -31,8 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("spark-warehouse/checkpoints")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -83,6 +84,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def id_text(df: DataFrame, name: str) -> Column:
+    """A column of ids as the text by which Python tasks carry them: pandas would turn whole numbers
+    beside a null into doubles."""
+    kind, column = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.BinaryType):
+        return F.base64(column)
+    return F.to_json(column) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else column.cast("string")
+
+
+def id_back(df: DataFrame, name: str, column: Column) -> Column:
+    """What id_text() made of the column name of df, turned back."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(column)
+    return F.from_json(column, kind) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else column.cast(kind)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

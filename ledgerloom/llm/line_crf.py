@@ -17,16 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import id_back, id_text
 from .quality_rules import FUNCTION_WORDS
 
 _FUNCTION = frozenset(FUNCTION_WORDS)
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>@^~=+{}[]\\_")
 #: Features of a line, then of the document.
 OWN, WHOLE = 12, 4
+#: Lines, padding counted, that are scored together unless one document alone has more.
+MOST_CELLS = 200_000
 
 
-def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x features, characters of each line) of a whole text; a text has one line at least."""
+def line_parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines x own features, features of the whole, characters of each line) of a whole text.
+
+    A text has one line at least. All lines are read, however many they are.
+    """
     lines = text.split("\n")
     own = np.zeros((len(lines), OWN))
     seen: dict[str, int] = {}
@@ -56,9 +62,14 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
             line.rstrip()[-1:] in (".", "?", ":", '"'),
         )
     whole = np.array([len(distinct) / max(total, 1), again / len(lines), np.log1p(total), np.log1p(len(lines))])
+    return own, whole, np.array([max(len(line), 1) for line in lines], np.float64)
+
+
+def line_features(text: str) -> np.ndarray:
+    """Lines x features: a line's own, those of the line before and after it, the whole's, and one."""
+    own, whole, _ = line_parts(text)
     pad = np.zeros((1, OWN))
-    x = np.concatenate([own, np.concatenate([pad, own[:-1]]), np.concatenate([own[1:], pad]), np.repeat(whole[None], len(lines), 0), np.ones((len(lines), 1))], axis=1)
-    return x, np.array([max(len(line), 1) for line in lines], np.float64)
+    return np.concatenate([own, np.concatenate([pad, own[:-1]]), np.concatenate([own[1:], pad]), np.repeat(whole[None], len(own), 0), np.ones((len(own), 1))], axis=1)
 
 
 @dataclass
@@ -70,8 +81,14 @@ class LineField:
     weights: np.ndarray
     moves: np.ndarray
 
-    def unary(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+    def unary(self, own: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The lines' scores of the two states, without a table of all features in memory."""
+        pull = self.weights / self.scale[:, None]
+        mine, before, after, of_all = pull[:OWN], pull[OWN : 2 * OWN], pull[2 * OWN : 3 * OWN], pull[3 * OWN : 3 * OWN + WHOLE]
+        out = own @ mine + (whole @ of_all + pull[-1] - self.mean @ pull)
+        out[1:] += own[:-1] @ before
+        out[:-1] += own[1:] @ after
+        return out
 
 
 def _messages(unary: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +173,20 @@ def document_scores(field: LineField, texts: list[str]) -> np.ndarray:
         parts, weights, size = [], [], 0
         end = start
         while end < len(texts) and size < 2_000_000:
-            x, chars = line_features(texts[end])
-            parts.append(field.unary(x))
+            own, whole, chars = line_parts(texts[end])
+            parts.append(field.unary(own, whole))
             weights.append(chars)
             size += len(texts[end])
             end += 1
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for at in range(0, len(order), 128):
-            rows = order[at : at + 128]
+        at = 0
+        while at < len(order):
+            # Padding makes each document as long as the longest of its group, so long ones go alone.
+            stop = at + 1
+            while stop < len(order) and stop - at < 128 and (stop + 1 - at) * len(parts[order[stop]]) <= MOST_CELLS:
+                stop += 1
+            rows = order[at:stop]
+            at = stop
             padded, lengths = _padded([parts[i] for i in rows])
             good = marginals(padded, lengths, field.moves)
             for i, g in zip(rows, good):
@@ -191,7 +214,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str =
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [line_features("" if t is None else t)[0] for t in batch["text"]]
+            made = [line_features("" if t is None else t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["_crf_id"].astype(str), "label": batch["_crf_label"], "lines": [len(x) for x in made], "x": [x.astype("<f4").tobytes() for x in made]})
 
     rows = sample.mapInPandas(features, "id string, label int, lines int, x binary").collect()
@@ -201,13 +224,13 @@ def fit_field(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str =
 
 def score_documents(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and score in 0..1. A null text is an empty one, which is a single empty line."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "score": document_scores(field, ["" if t is None else t for t in batch["text"]])})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    scored = docs.select(id_text(docs, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, score double")
+    return scored.select(id_back(docs, id_col, F.col("id")).alias(id_col), "score")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

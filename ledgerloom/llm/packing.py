@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..shipping import ship
-from .common import Scratch
+from .common import Scratch, id_back, id_text
 from .vocab import chunks, encoder, word_bpe
 
 #: Ranges over which the pieces of one length are ranked.
@@ -111,9 +111,8 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, tok
                 out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
                 yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(encode, schema)
+    schema = "id string, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
+    return docs.select(id_text(docs, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(encode, schema)
 
 
 def pack_documents(
@@ -148,7 +147,7 @@ def pack_documents(
     nth = F.col("rank") - F.col("first_rank")
     placed = ranked.join(runs, "length").where((nth >= 0) & (nth < F.col("n_run")))
     return placed.select(
-        F.col("id").alias(id_col),
+        id_back(docs, id_col, F.col("id")).alias(id_col),
         "piece",
         "start",
         "length",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch
+from .common import Scratch, id_back, id_text
 from .linking import link_components
 
 BITS, SEGMENTS, RADIUS = 64, 5, 4
@@ -53,8 +53,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             found = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).astype(np.int64)
             yield pd.DataFrame({"id": batch["id"], "fp": found})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    made = docs.select(id_text(docs, id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, fp long")
+    return made.select(id_back(docs, id_col, F.col("id")).alias("id"), "fp")
 
 
 def _shift(x: Column, by) -> Column:

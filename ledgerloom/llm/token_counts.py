@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import id_back, id_text
 from .vocab import chunks, encoder, word_bpe
 
 
@@ -59,8 +60,8 @@ def count_section_tokens(
     """Per document and section: id, section (from 0), start, end, n_tokens, n_crossing (long).
 
     sections_col holds array<struct<start, end>> of code-point spans, in order and apart; without it
-    a section is a line, cut at multiples of longest code points. A null text has no section, an
-    empty one a single empty section. Rows that share an id are told apart by nothing in the result.
+    a section is a line, cut at multiples of longest code points. A null text counts as empty, which is
+    a single empty section. Rows that share an id are told apart by nothing in the result.
     """
     ship(docs.sparkSession)
     path = tokenizer or word_bpe()
@@ -68,7 +69,7 @@ def count_section_tokens(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = encoder(path)
         for batch in batches:
-            names, texts, given = batch["id"].to_numpy(), batch["text"].tolist(), batch["sections"] if sections_col else None
+            names, texts, given = batch["id"].to_numpy(), ["" if t is None else t for t in batch["text"]], batch["sections"] if sections_col else None
             for a, b in chunks(texts):
                 parts = []
                 for i, ids in zip(range(a, b), codec.batch(texts[a:b])):
@@ -82,7 +83,6 @@ def count_section_tokens(
                 columns = [np.concatenate(x) for x in zip(*parts)]
                 yield pd.DataFrame(dict(zip(("id", "section", "start", "end", "n_tokens", "n_crossing"), columns)))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(sections_col).alias("sections")] if sections_col else [])]
-    held = docs.select(*columns).where("text IS NOT NULL")
-    return held.mapInPandas(run, f"id {kind}, section long, start long, end long, n_tokens long, n_crossing long").withColumnRenamed("id", id_col)
+    columns = [id_text(docs, id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(sections_col).alias("sections")] if sections_col else [])]
+    counted = docs.select(*columns).mapInPandas(run, "id string, section long, start long, end long, n_tokens long, n_crossing long")
+    return counted.select(id_back(docs, id_col, F.col("id")).alias(id_col), "section", "start", "end", "n_tokens", "n_crossing")

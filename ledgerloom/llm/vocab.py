@@ -1,7 +1,7 @@
 """Encoding with a public vocabulary file, a distinct word at a time.
 
 The vocabulary drops white space before any merge, so a word between white space has the same ids
-wherever it stands. A task therefore encodes each distinct word once and looks the others up.
+wherever it stands. A task therefore encodes each word once while it is in use and looks it up after.
 """
 
 from __future__ import annotations
@@ -13,16 +13,25 @@ import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Fixed value: the split pattern that the vocabulary file states.
 WORD_BPE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the mark that the vocabulary puts on the last token of a pre-token.
 WORD_END = "</w>"
 
-#: Characters on which Python's case or white-space rules may differ from the tokenizer library's.
-_RARE = regex.compile("[\x1c-\x1f\x85İΣ᠎​-‏⁠-⁤﻿]")
-#: Distinct words kept per task; a full table is started anew, so memory stays bounded.
-_KEPT = 400_000
+#: Code points whose case, class and white space are old enough that Python's tables and the tokenizer
+#: library's agree. A text with any other one goes through the library as a whole.
+_AGREED = (
+    "\t-\r\x20-\x7e\xa0-\xffĀ-įĲ-ňŊ-žΑ-ΡΤ-ωА-яא-תء-غف-ي"
+    "‐-‧‰-⁞₠-₵、-〃〈-】ぁ-ゖァ-ヺ一-龥가-힣！-／：-＠"
+)
+_OTHER = regex.compile(f"[^{_AGREED}]")
+#: Words in each of the two generations of the table. A full younger one takes the place of the older;
+#: words that are still met come over, so frequent words are never learned again and memory is bounded.
+GENERATION = 700_000
+#: Words learned in one call of the library.
+_TOGETHER = 20_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,60 +44,66 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids(text) as Tokenizer.encode(text, add_special_tokens=False) gives them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, generation: int = GENERATION) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.split = regex.compile(WORD_BPE_SPLIT)
+        self.generation = generation
+        self.merges = Tokenizer(self.tokenizer.model)  # the merges alone, for pre-tokens between spaces
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.split = regex.compile(WORD_BPE_SPLIT).findall
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.ends = np.zeros(len(self.n_bytes), bool)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token.removesuffix(WORD_END))
-        self._start()
-
-    def _start(self) -> None:
-        self.index: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begin = np.zeros(1, np.int64)
+            self.ends[i] = token.endswith(WORD_END)
+        #: word: its ids, as unsigned 16- or 32-bit numbers
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if len(self.n_bytes) <= 1 << 16 else "<u4")
 
     def plain(self, text: str) -> bool:
-        """Whether words alone decide the ids: no special token's string, no rare character."""
-        if any(s in text for s in self.special) or _RARE.search(text):
+        """Whether words alone decide the ids: no special token's string, no disputed character."""
+        if any(s in text for s in self.special) or _OTHER.search(text):
             return False
         return text.isascii() or unicodedata.is_normalized("NFC", text)
 
+    def _missing(self, words: set[str]) -> list[str]:
+        """Those words that neither generation has; those of the older one come over."""
+        old, young, new = self.old, self.young, []
+        for word in words.difference(young):
+            if (found := old.get(word)) is None:
+                new.append(word)
+            else:
+                young[word] = found
+        return new
+
     def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.index)
-        if len(self.index) + len(new) > _KEPT and self.index:
-            self._start()
-            new = words
-        merge, split, letters, known = self.merge, self.split.findall, self.letters, self.parts
-        ids: list[int] = []
-        ends: list[int] = []
-        for word in new:
-            for part in (word,) if word.isalpha() else split(word):
-                if (found := known.get(part)) is None:
-                    found = known[part] = [t.id for t in merge(part if part.isascii() else part.encode().decode("latin-1").translate(letters))]
-                ids += found
-            ends.append(len(ids))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.array(ends, np.int64)])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin = self.begin[which]
-        count = self.begin[which + 1] - begin
-        before = np.cumsum(count) - count
-        return self.flat[np.repeat(begin - before, count) + np.arange(int(count.sum()))]
+        new = self._missing(words)
+        parts = {w: self.split(w) for w in new if not w.isalpha()}
+        pieces = self._missing({w for w in new if w not in parts}.union(*parts.values()))
+        for at in range(0, len(pieces), _TOGETHER):
+            some = pieces[at : at + _TOGETHER]
+            line = " ".join(some)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.letters | {32: " "})
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()]  # a marked token ends a pre-token
+            raw = ids.tobytes()
+            self.young.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        known = self.young.__getitem__
+        self.young.update({w: b"".join(map(known, ps)) for w, ps in parts.items()})
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
+        if len(self.young) >= self.generation:
+            self.old, self.young = self.young, {}
         words = [t.lower().split() if self.plain(t) else None for t in texts]
         self._learn(set().union(*(ws for ws in words if ws)))
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if ws is None else self._ids(ws) for t, ws in zip(texts, words)]
+        known = self.young.__getitem__
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return [whole(t) if ws is None else np.frombuffer(b"".join(map(known, ws)), self.kind).astype(np.uint32) for t, ws in zip(texts, words)]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character, and the one after the last, of each token; ids are those of batch().
