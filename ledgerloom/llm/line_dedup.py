@@ -1,9 +1,13 @@
 """Fuzzy line dedup, in DataFrame operations only.
 
-Equal normalised lines are one item. Items get 24 weighted MinHashes of their pairs of neighbouring
-words, in twelve bands of two, which are the bucket keys: a pair whose weighted Jaccard similarity is
-J shares a band with probability 1 - (1 - J ** 2) ** 12, 0.97 at 0.5. Candidates that agree in enough
-MinHashes are verified by edit similarity, and one occurrence of each connected group stays.
+Equal normalised lines are one item. Candidates are lines that share a block of their sketch, are
+about as long and agree in enough of the sketch; they are verified by edit similarity, and one
+occurrence of each connected group stays.
+
+The sketch is MinHash of pairs of neighbouring words rather than SimHash: blocks of a SimHash that
+find nine of ten similar lines match thousands of unlike ones a line (figures in the README). One hash
+per feature gives all minima: the k-th is the least hash from the k-th of evenly spaced points on, so
+that two lines agree in it with the probability of their Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 from .linking import link_components
 
-BANDS, ROWS = 12, 2
-#: Of the first 16 MinHashes, kept as four bits each, so many have to agree.
-SKETCHED, LEAST_EQUAL = 16, 6
+#: Blocks, and minima in a block, for lines of few and of many features; lines between get both.
+BLOCKS, SHORT, LONG = 12, 2, 3
+SHORT_TO, LONG_FROM = 14, 10
+#: Of the first 16 minima, kept as four bits each, so many have to agree.
+SKETCHED, LEAST_EQUAL = 16, 4
 #: Longer words, as of scripts without spaces, count as their character trigrams.
 LONGEST_WORD = 20
 
@@ -38,30 +44,37 @@ def features(norm: Column) -> Column:
     return let(words, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def line_minhash(lines: DataFrame) -> DataFrame:
-    """(line, sketch, keys) of lines (line, norm), copies included, which leave the minima as they are.
-
-    A feature weighs its length, as edit similarity counts characters: the least of -log(u) / weight.
-    sketch has four bits of each of the first MinHashes, keys the hash of each band.
-    """
-    n = BANDS * ROWS
-    hashed = lines.select("line", F.explode(features(F.col("norm"))).alias("f")).select("line", F.xxhash64("f").alias("h"), F.length("f").alias("weight"))
-    uniform = lambda k: (F.call_function("shiftrightunsigned", F.xxhash64("h", F.lit(k)), F.lit(11)) + 1) / float(1 << 53)
-    least = hashed.groupBy("line").agg(*[F.min((-F.log(uniform(k)) / F.col("weight")).cast("float")).alias(f"m{k}") for k in range(n)])
-    sketch = F.lit(0).cast("long")
-    for k in range(SKETCHED):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return least.select("line", sketch.alias("sketch"), keys.alias("keys"))
-
-
-def agree(a: Column, b: Column) -> Column:
-    """Whether two sketches have enough MinHashes in common."""
-    x = a.bitwiseXOR(b)
+def minima(hashes: Column) -> list[Column]:
+    """For each of evenly spaced points the least hash from there on, the least of all if there is none."""
+    n = BLOCKS * LONG
+    points = [-(1 << 63) + k * ((1 << 64) // n) for k in range(n)]
+    return [F.coalesce(F.array_min(F.filter(hashes, lambda h, p=p: h >= F.lit(p))), F.array_min(hashes)) for p in points]
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """lines (with a column norm) and sketch (struct of minima, four bits each, and length) and keys,
+    the hash of each block. Lines of no use to a fuzzy comparison have null in both."""
+    hashed = lines.withColumn("_h", F.transform(features(F.col("norm")), lambda f: F.xxhash64(f)))
+    found = hashed.withColumn("_m", F.array(*minima(F.col("_h"))))
+    m = lambda k: F.element_at("_m", k + 1)
+    folded = F.lit(0).cast("long")
+    for k in range(SKETCHED):  # spread over the points, so that short lines' repeated minima weigh less
+        folded = folded.bitwiseOR(F.shiftleft(F.xxhash64(m(k * 9 % (BLOCKS * LONG))).bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    # A block's minima stand far apart: neighbouring points often have the same one.
+    block = lambda rows: F.array(*[F.xxhash64(F.lit(rows), F.lit(b), *[m(b + r * BLOCKS) for r in range(rows)]) for b in range(BLOCKS)])
+    n = F.size("_h")
+    keys = F.when(n < LONG_FROM, block(SHORT)).when(n > SHORT_TO, block(LONG)).otherwise(F.concat(block(SHORT), block(LONG)))
+    return found.withColumns({"sketch": F.struct(folded.alias("bits"), F.length("norm").alias("length")), "keys": keys}).drop("_h", "_m")
+
+
+def agree(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sketches have enough minima in common and lengths near enough for the similarity."""
+    x = a["bits"].bitwiseXOR(b["bits"])
     folded = x
     for k in (1, 2, 3):
         folded = folded.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(k)))
-    return F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111))) <= SKETCHED - LEAST_EQUAL
+    near = F.least(a["length"], b["length"]) >= similarity * F.greatest(a["length"], b["length"]) - 1e-9
+    return near & (F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111))) <= SKETCHED - LEAST_EQUAL)
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
@@ -102,7 +115,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those with min_words normalised words or min_chars characters for similar ones too. Of a
     group of equal or similar lines, the one with the least (id, text hash, position) stays. A null
     text stays null; a text all of whose lines go becomes empty, its row stays. Rows with equal id
-    and text lose the same lines. Two different lines with one 64-bit hash would count as equal.
+    and text lose the same lines. Lines are equal if two 64-bit hashes are. An empty table gives an
+    empty result. Columns named like those made here, id, line or norm, do no harm.
     """
     scratch = Scratch(docs.sparkSession)
 
@@ -110,18 +124,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Normalised inside the array, so that the regular expression runs once a line.
         norms = F.transform(F.split(text_col, "\n"), normalised)
         text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(norms).alias("at", "norm"))
-        return text.where(F.col("norm") != "").select("id", "text_hash", "at", "norm", F.xxhash64("norm").alias("line"))
+        return text.where(F.col("norm") != "").withColumns({"line": F.xxhash64("norm"), "check": F.xxhash64("norm", F.lit(1))})
 
     long_enough = (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1) | (F.length("norm") >= min_chars)
     place = F.struct("id", "text_hash", "at")
-    sketched = scratch.save(line_minhash(lines().where(long_enough).select("line", "norm")))
+    judged = sketched(lines().withColumn("fuzzy", long_enough))
+    fuzzy = lambda c: F.when(F.col("fuzzy"), F.col(c)).alias(c)
+    spots = scratch.save(judged.select("line", "check", place.alias("spot"), fuzzy("sketch"), fuzzy("keys")))
     scratch.tidy()
-    spots = scratch.save(lines().select("line", place.alias("spot")))
-    keys = sketched.select(F.explode("keys").alias("bucket"), F.col("line").alias("id"), "sketch")
 
     def confirmer(needed: DataFrame):
-        needed = needed.withColumnRenamed("id", "line")
-        texts = scratch.save(lines().select("line", "norm").join(needed, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm")))
+        needed = scratch.save(needed.withColumnRenamed("id", "line"))
+        texts = scratch.save(lines().select("line", "norm").join(needed, "line", "left_semi").dropDuplicates(["line"]))
         scratch.tidy()
         named = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"{end}_norm"))
 
@@ -131,16 +145,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return confirm
 
-    linked = link_components(keys, lambda bucket, a, b: agree(a, b), scratch, confirmer).withColumnRenamed("node", "line")
-    places = spots.groupBy("line").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
-    groups = places.join(linked, "line", "left").select("line", F.coalesce("component", "line").alias("component"), "first", "n")
-    kept = groups.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1")
-    repeated = scratch.save(groups.join(kept, "component").select("line", "kept"))
-    spots = spots.join(repeated, "line").where(F.col("spot") != F.col("kept"))
-    dropped = spots.select("spot.id", "spot.text_hash", "spot.at").groupBy("id", "text_hash").agg(F.collect_set("at").alias("_ld_at"))
+    keys = spots.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), F.col("line").alias("id"))
+    sketches = spots.where("keys IS NOT NULL").select(F.col("line").alias("id"), "sketch")
+    linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer).withColumnRenamed("node", "line")
+    scratch.tidy()
+    places = spots.groupBy("line", "check").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
+    # Lines that link with no other are told apart by both hashes.
+    own = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
+    groups = places.join(linked, "line", "left").select("line", "check", own.alias("group"), "first", "n").where("n > 1 OR `group`.check IS NULL")
+    groups = scratch.save(groups)
+    kept = groups.groupBy("group").agg(F.min("first").alias("kept"))
+    repeated = scratch.save(groups.join(kept.withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g"))).select("line", "check", "kept"))
+    # A line found very often is split on the occurrences' side by Spark: repeated has one row per line.
+    gone = spots.select("line", "check", "spot").join(repeated, ["line", "check"]).where(F.col("spot") != F.col("kept"))
+    dropped = gone.select("spot.id", "spot.text_hash", "spot.at").groupBy("id", "text_hash").agg(F.collect_set("at").alias("_ld_at"))
+    # Saved, so that Spark knows whether it is small enough to go to the documents.
+    dropped = scratch.save(dropped.withColumnsRenamed({"id": "_ld_i", "text_hash": "_ld_h"}))
 
     d = docs.withColumns({"_ld_id": F.col(id_col), "_ld_hash": F.xxhash64(text_col)})
-    dropped = dropped.withColumnsRenamed({"id": "_ld_i", "text_hash": "_ld_h"})
     joined = d.join(dropped, F.col("_ld_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_hash") == F.col("_ld_h")), "left")
     at = lambda xs: F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col("_ld_at"))
     stays = let(F.split(text_col, "\n"), lambda xs: F.transform(at(xs), lambda i: F.get(xs, i)))

@@ -1,13 +1,14 @@
 """Linking without listing a group's pairs, in DataFrame operations only.
 
-A blocking puts items into buckets so that any two items that link share a bucket. Two steps find
-the connected components of the links exactly:
+A blocking puts items into buckets so that any two items that link share a bucket. The connected
+components of the links come out exactly, in rounds:
 
 1. each item is compared with the leader of each of its buckets, its least item, which joins a dense
-   group by as many links as it has members;
-2. items of one bucket that are still in different components are compared with each other.
+   group by as many links as it has members; the leader has then met its whole bucket and leaves it;
+2. buckets whose items are all in one component are done; the others elect a new leader.
 
-A pair inside one component is never emitted, so the rows made stay in proportion to the items.
+A round is as long as the rows that are left. Once the pairs that remain are few for the rows there
+are, they are compared in one join. A pair inside one component is never made.
 """
 
 from __future__ import annotations
@@ -16,27 +17,30 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import Scratch
 
+#: Rounds of leaders at most, and the pairs for each row with which they may end before.
+ROUNDS, PAIRS_PER_ROW = 12, 2
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of edges (src, dst): component is the least node reachable.
 
     Alternating stars: each node's greater neighbours move to its least neighbour (large star), then
     the lesser ones do (small star), until nothing changes. Each round is two aggregations with
-    partial sums and two joins, written to the shared folder.
+    partial sums and two joins, written to the shared folder. Null nodes are not allowed; no edge
+    gives no row.
     """
     ordered = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
     current, state = scratch.save(ordered), None
     while True:
         around = current.select("src", "dst").union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = around.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = around.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        large = around.where("dst > src").join(least.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         # every edge of the large star points from the greater node to the lesser
         lower = large.groupBy("src").agg(F.min("dst").alias("low"))
-        moved = large.join(lower, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        moved = large.join(lower.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         small = moved.union(lower.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
         number = scratch.count
         current = scratch.save(small)
@@ -51,30 +55,58 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(found.select(F.col("src").alias("node"), "component"))
 
 
-def link_components(keys: DataFrame, close: Callable[[Column, Column, Column], Column], scratch: Scratch, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def link_components(
+    keys: DataFrame,
+    close: Callable[[Column, Column, Column], Column],
+    scratch: Scratch,
+    sketches: DataFrame | None = None,
+    confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
+) -> DataFrame:
     """(node, component) of the items that link with another one.
 
-    keys: (bucket, id, sketch), whole numbers. close(bucket, a, b) says whether two sketches may link.
-    confirmer gets the items (id) that share a bucket at all and gives a function that keeps those of
-    the candidate pairs (src, dst) that do link (None: all).
+    keys: (bucket, id), whole numbers; repeated rows count once. close(bucket, a, b) says whether two sketches may
+    link; sketches: (id, sketch), rows of one id alike (None: the id is its own sketch). confirmer
+    gets the items (id) that share a bucket at all and gives a function that keeps those of the
+    candidate pairs (src, dst) that do link (None: all).
     """
-    # One shuffle: a row is alone in its bucket if it has no neighbour there, and the first one leads.
-    # Items are distinct, so a bucket's rows are sorted and streamed, never held together.
-    in_bucket = Window.partitionBy("bucket").orderBy("id")
-    upto = in_bucket.rowsBetween(Window.unboundedPreceding, 0)
-    led = keys.withColumns({"_before": F.lag("id").over(in_bucket), "_after": F.lead("id").over(in_bucket), "low": F.first("id").over(upto), "low_sketch": F.first("sketch").over(upto)})
-    shared = scratch.save(led.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after"))
+    # Partial minima come before the shuffle, so that one bucket with very many items is no hot group.
+    shared = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
+    rest = scratch.save(keys.join(scratch.save(shared), "bucket", "left_semi").distinct())
     scratch.tidy()
-    confirm = confirmer(shared.select("id").distinct()) if confirmer else lambda pairs: pairs
-    stars = shared.where((F.col("id") != F.col("low")) & close(F.col("bucket"), F.col("sketch"), F.col("low_sketch"))).select(F.col("id").alias("src"), F.col("low").alias("dst"))
-    edges = scratch.save(confirm(stars.distinct()))
-    components = connected_components(edges, scratch)
-    named = shared.select("bucket", "id", "sketch").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    left = scratch.save(named.join(split, "bucket", "left_semi"))
+    if sketches is None:
+        rest = rest.withColumn("sketch", F.col("id"))
+    else:
+        needed = scratch.save(rest.select("id").distinct())
+        rest = scratch.save(rest.join(sketches.join(needed, "id", "left_semi").dropDuplicates(["id"]), "id"))
+    rest = rest.withColumn("component", F.col("id"))
+    confirm = confirmer(rest.select("id").distinct()) if confirmer else lambda pairs: pairs
+    known, total = None, rest.count()
+    for _ in range(ROUNDS):
+        leaders = rest.groupBy("bucket").agg(F.min(F.struct("id", "sketch", "component")).alias("low"))
+        stars = rest.join(leaders, "bucket").where((F.col("component") != F.col("low.component")) & close(F.col("bucket"), F.col("sketch"), F.col("low.sketch")))
+        found = confirm(stars.select(F.col("id").alias("src"), F.col("low.id").alias("dst")).distinct())
+        known, rest, pairs = _contract(known, found, rest.join(leaders.select("bucket", "low.id"), ["bucket", "id"], "left_anti"), scratch)
+        if pairs <= PAIRS_PER_ROW * total:
+            break
     apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & close(F.col("a.bucket"), F.col("a.sketch"), F.col("b.sketch"))
-    pairs = left.alias("a").join(left.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
-    found = scratch.save(confirm(pairs))
+    left = rest.alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
     # Every pair of a bucket is now in one component or has been compared.
-    known = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    return connected_components(known.union(found.select("src", "dst")), scratch)
+    return connected_components(_edges(known).union(confirm(left).select("src", "dst")), scratch)
+
+
+def _edges(known: DataFrame) -> DataFrame:
+    return known.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+
+
+def _contract(known: DataFrame | None, found: DataFrame, rest: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The components with the links found, what is left of the buckets, and the pairs in that."""
+    edges = found.select("src", "dst") if known is None else _edges(known).union(found.select("src", "dst"))
+    known = connected_components(edges, scratch)
+    named = rest.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = scratch.save(named)
+    split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+    left = scratch.save(named.join(split, "bucket", "left_semi"))
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    pairs = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
+    scratch.tidy()
+    return known, left, int(pairs or 0)

@@ -105,10 +105,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark)
     found = scratch.save(fingerprints(docs, id_col, text_col, shingle))
     distinct = scratch.save(found.groupBy("fp").agg(F.min("id").alias("least")))
-    keys = distinct.select(F.explode(ring_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("id"), F.col("fp").alias("sketch"))
+    keys = distinct.select(F.explode(ring_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("id"))
     linked = link_components(keys, in_chain, scratch)
     group = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     group = scratch.save(group)
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    # One row per fingerprint: a fingerprint with very many documents is split on their side by Spark.
     named = scratch.save(group.join(least, "component").select("fp", "component_id"))
     return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
