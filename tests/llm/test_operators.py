@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import re
+import time
 import zlib
 
 import numpy as np
@@ -438,8 +439,8 @@ def test_held_out_quality(spark):
     "odd", ['<svg-icon name="x"></svg-icon>', '<svg class="i"/>', '<math/>', '<video-player>', '<template-x></template-x>', '<video src="a">', '<iframe src="b">', '<svg><text>no</text></svg>', '<VIDEO title="a>b">no</Video >']
 )
 def test_text_after_raw_elements_stays(odd):
-    blocks = site_style_tree.blocks_of(f"<article>{odd}<p>first</p><p>second</p></article>")
-    assert [text for _, text in blocks] == ["first", "second"]
+    blocks, _ = site_style_tree.walk(f"<article>{odd}<p>first</p><p>second</p></article>")
+    assert [text for *_, text in blocks] == ["first", "second"]
 
 
 def test_host_size_does_not_turn_the_verdict(spark):
@@ -452,3 +453,28 @@ def test_host_size_does_not_turn_the_verdict(spark):
         pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
         got = {(r.url, r.page_id, r._sst_text) for r in site_style_tree.extract_main_text(pages).collect()}
         assert got == {(u, i, f"article {i % articles} says {i % articles * 7}") for i, u, _ in rows} if articles > 1 else {t.removeprefix("home ") for *_, t in got} == {"article 0 says 0"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p '", '<div "', "<!-- ", "<svg ", "<script>", "< ", "<i>"])
+def test_walk_is_linear(piece):
+    began = time.perf_counter()
+    site_style_tree.walk(piece * 200_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_tree_decides_without_names(spark):
+    """Elements and classes that tell nothing give the same text as those that do; the tree decides it."""
+    def page(i, names):
+        menu = "".join(f"<li>{w}</li>" for w in ("home", "about", "contact"))
+        texts = "".join(f"<p>story {i * 31 % 997} of {i * 7 + k} and {i * i + k} more</p>" for k in range(2 + i % 4))
+        nav, ad, main, foot = names
+        return f"<body><{nav}><ul>{menu}</ul></{nav.split()[0]}><{ad}>buy now</{ad.split()[0]}><{main}><h1>title {i * 13} of {i + 5}</h1>{texts}</{main.split()[0]}><{foot}>&copy; site &middot; word{i} and{i * 3}</{foot.split()[0]}></body>"
+
+    told, untold = ("nav", 'div class="ad"', "article", "footer"), ('div class="x1"', 'div class="x2"', 'div class="x3"', 'div class="q"')
+    rows = [(i, f"http://{host}.example/", page(i, names)) for host, names in (("told", told), ("untold", untold)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r.url, r.page_id): r._sst_text for r in site_style_tree.extract_main_text(pages).collect()}
+    assert all(found["http://told.example/", i] == found["http://untold.example/", i] != "" for i in range(40))
+    assert found["http://told.example/", 1].startswith("title 13 of 6 story 31 of 7") and "site" not in found["http://told.example/", 1]
+    tree = site_style_tree.style_tree(pages.select(F.col("url").alias("host"), "html")).where("state = 0 AND host LIKE '%untold%'").collect()
+    assert sum(r.odds < 0 for r in tree) == 3 and sum(r.odds >= 0 for r in tree) == 2
