@@ -22,7 +22,7 @@ from .linking import link_components
 BLOCKS, SHORT, LONG = 12, 2, 3
 SHORT_TO, LONG_FROM = 14, 10
 #: Of the first 16 minima, kept as four bits each, so many have to agree.
-SKETCHED, LEAST_EQUAL = 16, 4
+SKETCHED, LEAST_EQUAL = 16, 5
 #: Longer words, as of scripts without spaces, count as their character trigrams.
 LONGEST_WORD = 20
 
@@ -47,8 +47,8 @@ def features(norm: Column) -> Column:
 def minima(hashes: Column) -> list[Column]:
     """For each of evenly spaced points the least hash from there on, the least of all if there is none."""
     n = BLOCKS * LONG
-    points = [-(1 << 63) + k * ((1 << 64) // n) for k in range(n)]
-    return [F.coalesce(F.array_min(F.filter(hashes, lambda h, p=p: h >= F.lit(p))), F.array_min(hashes)) for p in points]
+    from_on = lambda point: F.array_min(F.filter(hashes, lambda h: h >= F.lit(point)))
+    return [F.coalesce(from_on(-(1 << 63) + k * ((1 << 64) // n)), F.array_min(hashes)) for k in range(n)]
 
 
 def sketched(lines: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
 """Linking without listing a group's pairs, in DataFrame operations only.
 
 A blocking puts items into buckets so that any two items that link share a bucket. The connected
-components of the links come out exactly, in rounds:
+components of the links come out exactly, in two steps:
 
 1. each item is compared with the leader of each of its buckets, its least item, which joins a dense
    group by as many links as it has members; the leader has then met its whole bucket and leaves it;
-2. buckets whose items are all in one component are done; the others elect a new leader.
+2. what is left of buckets whose items are in several components is compared with each other, behind
+   a sketch that the join itself checks.
 
-A round is as long as the rows that are left. Once the pairs that remain are few for the rows there
-are, they are compared in one join. A pair inside one component is never made.
+A pair inside one component is never made.
 """
 
 from __future__ import annotations
@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rounds of leaders at most, and the pairs for each row with which they may end before.
-ROUNDS, PAIRS_PER_ROW = 12, 2
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of edges (src, dst): component is the least node reachable.
 
@@ -61,13 +57,15 @@ def link_components(
     scratch: Scratch,
     sketches: DataFrame | None = None,
     confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """(node, component) of the items that link with another one.
 
-    keys: (bucket, id), whole numbers; repeated rows count once. close(bucket, a, b) says whether two sketches may
-    link; sketches: (id, sketch), rows of one id alike (None: the id is its own sketch). confirmer
-    gets the items (id) that share a bucket at all and gives a function that keeps those of the
-    candidate pairs (src, dst) that do link (None: all).
+    keys: (bucket, id), whole numbers; repeated rows count once. close(bucket, a, b) says whether two
+    sketches may link; sketches: (id, sketch), rows of one id alike (None: the id is its own sketch).
+    confirmer gets the items (id) that share a bucket at all and gives a function that keeps those of
+    the candidate pairs (src, dst) that do link (None: all). More rounds of leaders find dense groups
+    that no single item links with; the result is the same.
     """
     # Partial minima come before the shuffle, so that one bucket with very many items is no hot group.
     shared = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
@@ -80,14 +78,12 @@ def link_components(
         rest = scratch.save(rest.join(sketches.join(needed, "id", "left_semi").dropDuplicates(["id"]), "id"))
     rest = rest.withColumn("component", F.col("id"))
     confirm = confirmer(rest.select("id").distinct()) if confirmer else lambda pairs: pairs
-    known, total = None, rest.count()
-    for _ in range(ROUNDS):
+    known = None
+    for _ in range(rounds):
         leaders = rest.groupBy("bucket").agg(F.min(F.struct("id", "sketch", "component")).alias("low"))
         stars = rest.join(leaders, "bucket").where((F.col("component") != F.col("low.component")) & close(F.col("bucket"), F.col("sketch"), F.col("low.sketch")))
         found = confirm(stars.select(F.col("id").alias("src"), F.col("low.id").alias("dst")).distinct())
-        known, rest, pairs = _contract(known, found, rest.join(leaders.select("bucket", "low.id"), ["bucket", "id"], "left_anti"), scratch)
-        if pairs <= PAIRS_PER_ROW * total:
-            break
+        known, rest = _contract(known, found, rest.join(leaders.select("bucket", "low.id"), ["bucket", "id"], "left_anti"), scratch)
     apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & close(F.col("a.bucket"), F.col("a.sketch"), F.col("b.sketch"))
     left = rest.alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
     # Every pair of a bucket is now in one component or has been compared.
@@ -98,15 +94,13 @@ def _edges(known: DataFrame) -> DataFrame:
     return known.select(F.col("node").alias("src"), F.col("component").alias("dst"))
 
 
-def _contract(known: DataFrame | None, found: DataFrame, rest: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """The components with the links found, what is left of the buckets, and the pairs in that."""
+def _contract(known: DataFrame | None, found: DataFrame, rest: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The components with the links found, and what is left of the buckets."""
     edges = found.select("src", "dst") if known is None else _edges(known).union(found.select("src", "dst"))
     known = connected_components(edges, scratch)
     named = rest.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = scratch.save(named)
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     left = scratch.save(named.join(split, "bucket", "left_semi"))
-    sizes = left.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    pairs = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
     scratch.tidy()
-    return known, left, int(pairs or 0)
+    return known, left
