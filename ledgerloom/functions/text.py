@@ -56,11 +56,9 @@ def reference_tokens(*columns: Column) -> Column:
 
 
 def without_processor(value: Column) -> Column:
-    """A bank's merchant text after its processor prefixes, each stripped in turn."""
-    out = F.trim(F.coalesce(value, F.lit("")))
-    for prefix in PROCESSOR_PREFIXES:
-        out = F.when(out.startswith(prefix), F.substring(out, len(prefix) + 1, 1_000_000)).otherwise(out)
-    return out
+    """A bank's merchant text after its processor prefixes, each stripped in turn where it stands."""
+    in_turn = "^" + "".join(f"(?:{prefix})?" for prefix in PROCESSOR_PREFIXES)
+    return F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), in_turn, "")
 
 
 def meaningful(value: Column) -> Column:
@@ -72,3 +70,9 @@ def header_norm(value: Column, ascii_only: bool = False) -> Column:
     """A header as it is looked up: NFKC, lower case, without blanks and punctuation."""
     lowered = F.lower(value if ascii_only else _nfkc(value))
     return F.regexp_replace(F.coalesce(lowered, F.lit("")), r"(?U)[\s/:：()（）\[\]【】*、·_-]", "")
+
+
+def plain_text(cell: Column, numeric: Column) -> Column:
+    """A cell as the text of a field, trimmed, null if empty; a whole number stored as one loses its point."""
+    text = F.nullif(F.trim(cell.cast("string")), F.lit(""))
+    return F.when(F.coalesce(numeric, F.lit(False)), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..functions.dates import date_struct
-from ..functions.money import EMPTY_CELLS, MONEY, money_currency, money_struct
+from ..functions.dates import date_struct, with_clock
+from ..functions.money import MONEY, amount_text, is_empty, with_money
+from ..functions.text import plain_text
 
 #: Direction words, currency words and status marks of statements.
 DIRECTION_WORDS = {
@@ -53,103 +53,164 @@ def _sign_direction(amount: Column) -> Column:
     return F.when(amount < 0, "out").when(amount > 0, "in").when(amount == 0, "none")
 
 
-def resolve_amount(amount_cell: Column, signed_cell: Column, credit_cell: Column, debit_cell: Column, direction_cell: Column, signed_format: Column, split: Column) -> Column:
-    """struct(amount, direction, issues) from a row's amount and direction cells.
+#: The money fields, by the short names that their parsed structs have.
+MONEY_CELLS = {"plain": "cell_amount", "signed": "cell_signed", "credit": "cell_credit", "debit": "cell_debit"}
+#: Fields that are kept as text, and those of them that identify.
+TEXT_FIELDS = ("counterparty", "counterparty_account", "counterparty_bank", "counterparty_combined", "description", "memo", "payment_method", "trade_type", "original_category", "source_record_id", "merchant_order_no", "account")
+IDENTIFIERS = ("source_record_id", "merchant_order_no", "counterparty_account", "account")
+#: Columns that normalize_rows() takes and what stands in for those that a table lacks.
+LAYOUT = {
+    "signed_format": "false",
+    "split": "false",
+    "default_currency": "CAST(NULL AS STRING)",
+    "direction_codes": "CAST(NULL AS MAP<STRING, STRING>)",
+    "profile": "'generic.v1'",
+    "confirmed": "false",
+    "source": "CAST(NULL AS STRING)",
+    "numeric_fields": "CAST(NULL AS ARRAY<STRING>)",
+    "ambiguous_fields": "CAST(NULL AS ARRAY<STRING>)",
+    "formula_fields": "CAST(NULL AS ARRAY<STRING>)",
+    "error_fields": "CAST(NULL AS ARRAY<STRING>)",
+    "wider": "false",
+}
+
+
+def _issue(*flags: tuple[Column, str]) -> Column:
+    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda i: i.isNotNull())
+
+
+def resolve_amounts(rows: DataFrame) -> DataFrame:
+    """rows with _amount, struct(amount, direction, signed, issues), from the parsed money columns
+    plain, signed, credit and debit and from cell_direction, signed_format and split.
 
     A signed amount counts before split columns count before a plain amount. An unsigned positive
     amount never means income. split: whether the layout has credit or debit columns.
     """
-    read = F.struct(*[money_struct(c).alias(n) for n, c in (("plain", amount_cell), ("signed", signed_cell), ("credit", credit_cell), ("debit", debit_cell))], F.trim(F.coalesce(direction_cell, F.lit(""))).alias("raw"))
-
-    def sides(r: Column) -> Column:
-        plain, signed, credit, debit = r["plain"], r["signed"]["amount"], r["credit"]["amount"], r["debit"]["amount"]
-        shown = plain["amount"].isNotNull() & (signed_format | (plain["amount"] < 0) | plain["sign"].isNotNull())
-        has_credit, has_debit = F.coalesce(credit, F.lit(0)) != 0, F.coalesce(debit, F.lit(0)) != 0
-        both = split & has_credit & has_debit
-        return F.struct(
-            plain["amount"].alias("plain"),
-            signed.alias("signed"),
-            F.when(shown, _sign_direction(plain["amount"])).alias("by_plain"),
-            _sign_direction(signed).alias("by_signed"),
-            F.coalesce(both, F.lit(False)).alias("both"),
-            F.coalesce(split & ~both & (credit.isNotNull() | debit.isNotNull()), F.lit(False)).alias("some"),
-            F.when(has_credit, credit).when(has_debit, debit).otherwise(F.lit(0).cast(MONEY)).alias("split_amount"),
-            F.when(has_credit, "in").when(has_debit, "out").otherwise("none").alias("split_direction"),
-            F.coalesce(split & ((credit < 0) | (debit < 0)), F.lit(False)).alias("negative"),
-            r["raw"].alias("raw"),
-            direction_of(r["raw"]).alias("stated"),
-            (filled(amount_cell, plain["amount"]) | filled(signed_cell, signed) | filled(credit_cell, credit) | filled(debit_cell, debit)).alias("invalid"),
-        )
-
-    filled = lambda cell, value: ~F.trim(F.coalesce(cell, F.lit(""))).isin(*EMPTY_CELLS) & value.isNull()
-
-    def chosen(s: Column) -> Column:
-        amount = F.when(s["both"], F.lit(None).cast(MONEY)).when(s["some"], s["split_amount"]).otherwise(F.coalesce(s["signed"], s["plain"]))
-        derived = F.when(s["some"], s["split_direction"]).otherwise(F.coalesce(s["by_signed"], F.when(amount.isNotNull(), s["by_plain"])))
-        return F.struct(s.alias("s"), amount.alias("amount"), derived.alias("derived"), F.when(amount.isNotNull(), F.coalesce(s["stated"], derived)).otherwise(s["stated"]).alias("direction"))
-
-    def outcome(x: Column) -> Column:
-        s, amount, direction = x["s"], x["amount"], x["direction"]
-        flags = [
-            (s["invalid"], "AMOUNT_INVALID"),
-            ((F.abs(s["plain"]) != F.abs(s["signed"])) | (s["some"] & (F.abs(F.coalesce(s["signed"], s["plain"])) != F.abs(s["split_amount"]))), "AMOUNT_CONFLICT"),
-            ((s["by_plain"] != s["by_signed"]) | (s["some"] & (F.coalesce(s["by_signed"], s["by_plain"]) != s["split_direction"])) | (amount.isNotNull() & (s["stated"] != x["derived"]) & (s["stated"] != "none")), "DIRECTION_CONFLICT"),
-            (s["negative"], "SPLIT_AMOUNT_NEGATIVE"),
-            (s["both"], "BOTH_DIRECTIONS"),
-            ((s["raw"] != "") & s["stated"].isNull(), "DIRECTION_UNKNOWN"),
-            (direction.isNull(), "DIRECTION_MISSING"),
-            (amount.isNull(), "AMOUNT_MISSING"),
-        ]
-        issues = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda i: i.isNotNull())
-        return F.struct(F.abs(amount).alias("amount"), direction.alias("direction"), issues.alias("issues"))
-
-    return let(let(let(read, sides), chosen), outcome)
-
-
-def resolve_currency(currency_cell: Column, *money_cells: Column) -> Column:
-    """struct(currency, issue) from the currency cell and the marks in the money cells."""
+    c = F.col
+    plain, signed, credit, debit = c("plain.amount"), c("signed.amount"), c("credit.amount"), c("debit.amount")
+    has_credit, has_debit = F.coalesce(credit, F.lit(0)) != 0, F.coalesce(debit, F.lit(0)) != 0
+    shown = plain.isNotNull() & (c("signed_format") | (plain < 0) | c("plain.sign").isNotNull())
+    extra = F.try_element_at("direction_codes", F.lower(c("_raw_direction")))
+    sides = rows.withColumn("_raw_direction", F.trim(F.coalesce("cell_direction", F.lit("")))).withColumns(
+        {
+            "_by_plain": F.when(shown, _sign_direction(plain)),
+            "_by_signed": _sign_direction(signed),
+            "_both": F.coalesce(c("split") & has_credit & has_debit, F.lit(False)),
+            "_some": F.coalesce(c("split") & ~(has_credit & has_debit) & (credit.isNotNull() | debit.isNotNull()), F.lit(False)),
+            "_split": F.when(has_credit, credit).when(has_debit, debit).otherwise(F.lit(0).cast(MONEY)),
+            "_split_direction": F.when(has_credit, "in").when(has_debit, "out").otherwise("none"),
+            "_stated": F.coalesce(extra, direction_of(c("_raw_direction"))),
+        }
+    )
+    amount = F.when(c("_both"), F.lit(None).cast(MONEY)).when(c("_some"), c("_split")).otherwise(F.coalesce(signed, plain))
+    chosen = sides.withColumn("_value", amount)
+    chosen = chosen.withColumn("_derived", F.when(c("_some"), c("_split_direction")).otherwise(F.coalesce("_by_signed", F.when(c("_value").isNotNull(), c("_by_plain")))))
+    direction = F.when(c("_value").isNotNull(), F.coalesce("_stated", "_derived")).otherwise(c("_stated"))
+    chosen = chosen.withColumn("_direction", direction)
+    other = F.coalesce(signed, plain)
+    invalid = [(~is_empty(c(cell)) & c(f"{name}.amount").isNull(), "AMOUNT_INVALID") for name, cell in MONEY_CELLS.items()]
+    issues = _issue(
+        *invalid,
+        (F.abs(plain) != F.abs(signed), "AMOUNT_CONFLICT"),
+        (c("_by_plain") != c("_by_signed"), "DIRECTION_CONFLICT"),
+        (c("split") & ((credit < 0) | (debit < 0)), "SPLIT_AMOUNT_NEGATIVE"),
+        (c("_both"), "BOTH_DIRECTIONS"),
+        (c("_some") & (F.abs(other) != F.abs(c("_split"))), "AMOUNT_CONFLICT"),
+        (c("_some") & (F.coalesce("_by_signed", "_by_plain") != c("_split_direction")), "DIRECTION_CONFLICT"),
+        ((c("_raw_direction") != "") & c("_stated").isNull(), "DIRECTION_UNKNOWN"),
+        (c("_value").isNotNull() & (c("_stated") != c("_derived")) & (c("_stated") != "none"), "DIRECTION_CONFLICT"),
+        (c("_direction").isNull(), "DIRECTION_MISSING"),
+        (c("_value").isNull(), "AMOUNT_MISSING"),
+    )
+    kept_sign = F.when(c("signed_format") | signed.isNotNull(), c("_value"))
+    made = F.struct(F.abs("_value").alias("amount"), c("_direction").alias("direction"), kept_sign.alias("signed"), issues.alias("issues"))
+    return chosen.withColumn("_amount", made).drop("_by_plain", "_by_signed", "_both", "_some", "_split", "_split_direction", "_stated", "_value", "_derived", "_direction", "_raw_direction")
+
+
+def resolve_currency(currency_cell: Column, evidence: Column) -> Column:
+    """struct(currency, issue) from the currency cell and the codes that the money cells name (array)."""
     stated = currency_of(F.coalesce(currency_cell, F.lit("")))
-    evidence = F.array_distinct(F.filter(F.array(stated, *[money_currency(c) for c in money_cells]), lambda x: x.isNotNull()))
+    known = F.array_distinct(F.filter(F.concat(F.array(stated), evidence), lambda x: x.isNotNull()))
+    found = F.when(F.size(known) > 1, stated).when(F.size(known) == 1, F.element_at(known, 1)).otherwise(F.lit("CNY"))
+    return F.struct(found.alias("currency"), F.when(F.size(known) > 1, "CURRENCY_CONFLICT").when(F.size(known) == 0, "CURRENCY_DEFAULTED").alias("issue"))
 
-    def outcome(e: Column) -> Column:
-        found = F.when(F.size(e) > 1, stated).when(F.size(e) == 1, F.element_at(e, 1)).otherwise(F.lit("CNY"))
-        issue = F.when(F.size(e) > 1, "CURRENCY_CONFLICT").when(F.size(e) == 0, "CURRENCY_DEFAULTED")
-        return F.struct(found.alias("currency"), issue.alias("issue"))
 
-    return let(evidence, outcome)
+def _times(rows: DataFrame, field: str, date_cell: str, clock_cell: str) -> tuple[dict[str, Column], list[tuple[Column, str]]]:
+    """The columns of a date field with its clock column, and its issues; a column that is not there
+    is not part of the layout."""
+    mapped, clocked = date_cell in rows.columns, clock_cell in rows.columns
+    date = date_struct(F.col(date_cell)) if mapped else F.lit(None).cast("struct<at:string,precision:string>")
+    columns = {f"_{field}_date": date}
+    issues = [(F.col(f"_{field}_date").isNull(), "DATE_INVALID")] if mapped else []
+    if clocked:
+        issues.append((F.col(f"_{field}.issue").isNotNull(), F.col(f"_{field}.issue")))
+    return columns, issues
 
 
 def normalize_rows(rows: DataFrame) -> DataFrame:
-    """Canonical records of raw cells: cell_date, cell_amount, cell_signed, cell_credit, cell_debit,
-    cell_direction, cell_currency, cell_status, and layout flags signed_format, split.
+    """Canonical records of raw cells.
+
+    rows: a column cell_<field> for each field of the layout (date, time, booking, booking_time,
+    amount, signed, credit, debit, direction, currency, status, balance and TEXT_FIELDS; numbers as
+    text), and those of LAYOUT that apply. A missing column is a field that the layout has not.
 
-    Adds transaction_at, precision, amount, direction, currency, transaction_status, issues (codes in
-    order) and parse_status: needs_review with any issue that is no warning.
+    Adds transaction_at, booking_at, their precisions, amount, signed_amount, direction, raw_direction,
+    currency, the text fields, balance, raw_status, transaction_status, issues (codes in the order in
+    which they are found), parse_status (needs_review with any issue that is no warning) and
+    mapping_method. The cells themselves stay.
     """
     c = F.col
-    date = date_struct(c("cell_date"))
-    staged = rows.withColumns(
-        {
-            "_date": date,
-            "_amount": resolve_amount(c("cell_amount"), c("cell_signed"), c("cell_credit"), c("cell_debit"), c("cell_direction"), c("signed_format"), c("split")),
-            "_currency": resolve_currency(c("cell_currency"), c("cell_amount"), c("cell_signed"), c("cell_credit"), c("cell_debit")),
-            "_status": status_of(c("cell_status")),
-        }
-    )
-    unknown_status = (F.trim(F.coalesce(c("cell_status"), F.lit(""))) != "") & (c("_status") == "unknown")
+    given = set(rows.columns)
+    missing = {n: F.expr(v) for n, v in LAYOUT.items() if n not in given} | {cell: F.lit(None).cast("string") for cell in (*MONEY_CELLS.values(), "cell_direction", "cell_currency", "cell_status", "cell_balance") if cell not in given}
+    staged = with_money(rows.withColumns(missing), MONEY_CELLS | {"_balance": "cell_balance"})
+    parts = {"transaction_at": ("cell_date", "cell_time"), "booking_at": ("cell_booking", "cell_booking_time")}
+    issues_of: dict[str, list[tuple[Column, str]]] = {}
+    for field, (date_cell, clock_cell) in parts.items():
+        columns, issues_of[field] = _times(rows, field, date_cell, clock_cell)
+        staged = staged.withColumns(columns)
+        date = c(f"_{field}_date")
+        timed = with_clock(date, c(clock_cell), F.lit(True)) if clock_cell in given else F.struct(date["at"].alias("at"), date["precision"].alias("precision"), F.lit(None).cast("string").alias("issue"))
+        staged = staged.withColumn(f"_{field}", timed)
+    codes = F.array(*[c(f"{n}.currency") for n in MONEY_CELLS])
+    stated = F.coalesce(F.nullif(F.trim("cell_currency"), F.lit("")), "default_currency")
+    staged = resolve_amounts(staged).withColumns({"_currency": resolve_currency(stated, codes), "_status": status_of(c("cell_status"))})
+    dates = [(flag, code) for field in parts for flag, code in issues_of[field]]
+    named = lambda code: code if isinstance(code, Column) else F.lit(code)
+    dated = F.filter(F.array(*[F.when(F.coalesce(f, F.lit(False)), named(code)) for f, code in dates], F.when(c("_transaction_at.at").isNull() & c("_booking_at.at").isNull(), "DATE_MISSING")), lambda i: i.isNotNull())
+    unknown_status = ~F.trim(F.coalesce("cell_status", F.lit(""))).isin("") & (c("_status") == "unknown")
+    several = lambda fields, code: F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda _: F.lit(code))
+    numeric = F.array_intersect(F.coalesce("numeric_fields", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in IDENTIFIERS]))
     issues = F.concat(
-        F.when(c("_date").isNull(), F.array(F.lit("DATE_INVALID"), F.lit("DATE_MISSING"))).otherwise(F.array().cast("array<string>")),
+        dated,
         c("_amount.issues"),
-        F.filter(F.array(c("_currency.issue"), F.when(unknown_status, "STATUS_UNKNOWN")), lambda x: x.isNotNull()),
+        _issue((c("_currency.issue") == "CURRENCY_CONFLICT", "CURRENCY_CONFLICT"), (c("_currency.issue") == "CURRENCY_DEFAULTED", "CURRENCY_DEFAULTED")),
+        several(numeric, "IDENTIFIER_NUMERIC"),
+        _issue((unknown_status, "STATUS_UNKNOWN")),
+        several(c("ambiguous_fields"), "COLUMN_AMBIGUOUS"),
+        several(c("formula_fields"), "FORMULA_CELL"),
+        several(c("error_fields"), "CELL_ERROR"),
+        _issue((c("wider"), "ROW_WIDTH_MISMATCH")),
+    )
+    out = staged.withColumns(
+        {
+            "transaction_at": c("_transaction_at.at"),
+            "transaction_at_precision": c("_transaction_at.precision"),
+            "booking_at": c("_booking_at.at"),
+            "booking_at_precision": c("_booking_at.precision"),
+            "amount": c("_amount.amount"),
+            "signed_amount": c("_amount.signed"),
+            "direction": c("_amount.direction"),
+            "raw_direction": F.nullif(F.trim("cell_direction"), F.lit("")),
+            "currency": c("_currency.currency"),
+            "balance": amount_text(c("_balance.amount")),
+            "raw_status": F.nullif(F.trim("cell_status"), F.lit("")),
+            "transaction_status": c("_status"),
+            "issues": issues,
+            "source": F.coalesce("source", F.lit("未知来源")),
+            "mapping_method": F.when(c("confirmed"), "user_confirmed").when(c("profile") != "generic.v1", "profile").otherwise("exact_alias"),
+        }
+        | {f: plain_text(c(f"cell_{f}"), F.array_contains(F.coalesce("numeric_fields", F.array().cast("array<string>")), f)) if f"cell_{f}" in given else F.lit(None).cast("string") for f in TEXT_FIELDS}
     )
-    out = staged.withColumns({"transaction_at": c("_date.at"), "precision": c("_date.precision"), "amount": c("_amount.amount"), "direction": c("_amount.direction"), "currency": c("_currency.currency"), "transaction_status": c("_status"), "issues": issues})
     review = F.exists("issues", lambda x: ~x.isin(*WARNINGS))
-    return out.withColumn("parse_status", F.when(review, "needs_review").otherwise("ready")).drop("_date", "_amount", "_currency", "_status")
-
-
-def cell_issues(rows: DataFrame) -> DataFrame:
-    """rows (values, headers, formulas, cell_types arrays) with issues about cells: formulas, errors,
-    more values than headers."""
-    wider = (F.size("values") > F.size("headers")) & F.exists(F.slice("values", F.size("headers") + 1, F.greatest(F.size("values") - F.size("headers"), F.lit(0))), lambda v: F.trim(v) != "")
-    flags = [(F.size("formulas") > 0, "FORMULA_CELL"), (F.array_contains("cell_types", "e"), "CELL_ERROR"), (wider, "ROW_WIDTH_MISMATCH")]
-    return rows.withColumn("issues", F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda x: x.isNotNull()))
+    made = [x for x in out.columns if x.startswith("_") and x not in given or x in MONEY_CELLS and x not in given]
+    return out.withColumn("parse_status", F.when(review, "needs_review").otherwise("ready")).drop(*made, *[x for x in missing if x not in ("source", "profile")])

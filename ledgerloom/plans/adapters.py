@@ -81,7 +81,7 @@ ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
         {
             "record_id": "o_orderkey",
             "cell_date": "CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '') WHEN 2 THEN concat(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '/'), ' 10:20:30') WHEN 3 THEN concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'garbage') ELSE concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 08:05') END",
-            "cell_amount": "CASE o_orderkey % 8 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN 1 THEN concat('-', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 2 THEN concat('USD ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 3 THEN concat('(', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), ')') WHEN 4 THEN concat('+', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 5 THEN concat('12,', CAST(o_custkey AS STRING)) WHEN 6 THEN '' ELSE concat(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '-') END",
+            "cell_amount": "CASE o_orderkey % 8 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) WHEN 1 THEN concat('-', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 2 THEN concat('USD ', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 3 THEN concat('(', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), ')') WHEN 4 THEN CASE o_custkey % 3 WHEN 0 THEN concat('+', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) WHEN 1 THEN concat('￥', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) ELSE concat('（￥', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '）') END WHEN 5 THEN concat('12,', CAST(o_custkey AS STRING)) WHEN 6 THEN '' ELSE concat(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '-') END",
             "cell_signed": "CAST(NULL AS STRING)",
             "cell_credit": "CASE WHEN o_custkey % 6 = 0 THEN CAST(o_custkey AS STRING) END",
             "cell_debit": "CASE WHEN o_custkey % 12 = 0 THEN '5' WHEN o_custkey % 6 = 1 THEN '7.50' END",
@@ -105,7 +105,7 @@ ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
     "base_records": (
         "documents",
         "true",
-        {"record_id": "doc_id", "file_id": "source", "page": "doc_id % 5", "counterparty": "lang", "description": "substring(text, 1, 20)", "parse_status": "CASE WHEN doc_id % 4 = 0 THEN 'needs_review' ELSE 'ready' END", "transaction_at": "CAST(NULL AS STRING)", "booking_at": "CAST(NULL AS STRING)", "source": "source"},
+        {"record_id": "doc_id", "file_id": "source", "page": "doc_id % 5", "counterparty": "lang", "description": "md5(text)", "n_chars": "n_chars", "parse_status": "CASE WHEN doc_id % 4 = 0 THEN 'needs_review' ELSE 'ready' END", "transaction_at": "CAST(NULL AS STRING)", "booking_at": "CAST(NULL AS STRING)", "source": "source"},
     ),
     "observations": (
         "orders",

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy
 from ..functions.dates import date_struct
-from ..functions.money import money_currency, money_struct
-from ..operators import browse, duplicates, evidence, normalize, ocr, pairing, refunds, review, totals
-from ..operators.predicates import within_window
+from ..functions.money import with_money
+from ..lineage import cut
+from ..operators import analysis, browse, duplicates, evidence, normalize, ocr, pairing, refunds, review, totals
+from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
 
@@ -109,7 +110,7 @@ WITH ledger AS {q("ledger")}, ok AS (
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank, platform = pairing.sides(adapter(spark, sf_dir, "ledger"))
-    return pairing.single_candidates(bank, platform)
+    return pairing.single_candidates(cut(bank), cut(platform))
 
 
 def _adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +137,52 @@ def pair_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_SIDES + """ SELECT currency, coalesce(sum(CASE WHEN direction = 'in' THEN money END), 0)::DECIMAL(38,2) AS total_in, coalesce(sum(CASE WHEN direction = 'out' THEN money END), 0)::DECIMAL(38,2) AS total_out,
   0::DECIMAL(38,2) AS total_refund FROM ok WHERE id NOT IN (SELECT bank_id FROM judged WHERE adopted) GROUP BY 1""")
 def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals once each adopted bank row has gone into its order's transaction."""
-    rows = adapter(spark, sf_dir, "ledger")
-    bank, platform = pairing.sides(rows)
+    """Totals once each adopted bank row has gone into its order's transaction, over all eligible rows."""
+    rows = adapter(spark, sf_dir, "ledger").where(eligible()).withColumns({"direction": flow_direction(), "money": F.col("amount").try_cast("decimal(38,18)")})
     adopted = _adopted(spark, sf_dir).where("status = 'automatic'").select(F.col("bank_id").alias("id"))
-    flows = [df.select("id", "currency", "money", "flow") for df in (bank, platform)]
-    left = flows[0].unionByName(flows[1]).join(adopted, "id", "left_anti")
-    return totals.totals_by_currency(left.withColumns({"included": F.lit(True), "refund": F.lit(False), "direction": F.col("flow")}))
+    left = rows.join(adopted, "id", "left_anti")
+    return totals.totals_by_currency(left.withColumns({"included": F.lit(True), "refund": F.lit(False)}))
+
+
+_ANALYSIS = _SIDES + """, pool AS (
+  SELECT b.id AS bank_id, b.money AS bank_money, p.id AS order_id, p.money AS order_money FROM b JOIN p ON b.currency = p.currency AND b.direction = p.direction
+  WHERE b.direction = 'out' AND NOT coalesce(p.payment_method LIKE '%(1234)' AND b.account NOT LIKE '%1234', false) AND p.money < b.money
+    AND (list_contains(b.tokens, p.source_record_id) OR coalesce(p.payment_method LIKE '建设银行%' AND b.transaction_at = p.transaction_at AND NOT (p.payment_method LIKE '%(1234)' AND b.account NOT LIKE '%1234'), false))
+), sums AS (
+  SELECT x.bank_id, x.bank_money, [x.order_id, y.order_id] AS orders FROM pool x JOIN pool y ON x.bank_id = y.bank_id AND x.order_id < y.order_id WHERE x.order_money + y.order_money = x.bank_money
+  UNION ALL SELECT x.bank_id, x.bank_money, [x.order_id, y.order_id, z.order_id] FROM pool x JOIN pool y ON x.bank_id = y.bank_id AND x.order_id < y.order_id JOIN pool z ON z.bank_id = y.bank_id AND y.order_id < z.order_id WHERE x.order_money + y.order_money + z.order_money = x.bank_money
+  UNION ALL SELECT x.bank_id, x.bank_money, [x.order_id, y.order_id, z.order_id, w.order_id] FROM pool x JOIN pool y ON x.bank_id = y.bank_id AND x.order_id < y.order_id JOIN pool z ON z.bank_id = y.bank_id AND y.order_id < z.order_id JOIN pool w ON w.bank_id = z.bank_id AND z.order_id < w.order_id
+    WHERE x.order_money + y.order_money + z.order_money + w.order_money = x.bank_money
+), gone AS (SELECT bank_id AS id FROM judged WHERE adopted UNION SELECT order_id FROM judged WHERE adopted)
+"""
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
+    return analysis.build_analysis(adapter(spark, sf_dir, "ledger").drop("id"))
+
+
+@register(_ANALYSIS + """ SELECT bank_id::VARCHAR AS left_id, order_id::VARCHAR AS right_ids, amount::DECIMAL(18,2) AS amount, automatic, CASE WHEN adopted THEN 'automatic' WHEN bank_id IN (SELECT id FROM gone) OR order_id IN (SELECT id FROM gone) THEN 'conflict' ELSE 'suggested' END AS decision FROM judged
+UNION ALL SELECT bank_id::VARCHAR, array_to_string(orders, ','), bank_money::DECIMAL(18,2), false, CASE WHEN bank_id IN (SELECT id FROM gone) OR list_bool_or(list_transform(orders, lambda o: o IN (SELECT id FROM gone))) THEN 'conflict' ELSE 'suggested' END FROM sums""".replace("list_bool_or(list_transform(orders, lambda o: o IN (SELECT id FROM gone)))", "len(list_intersect(orders, (SELECT list(id) FROM gone))) > 0"))
+def analysis_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every proposed payment, single or summed, with what became of it; ids as the orders' numbers."""
+    number = lambda c: F.regexp_replace(c, "^r0*", "")
+    found = _analysis(spark, sf_dir).relations
+    return found.select(number(F.col("left_id")).alias("left_id"), F.array_join(F.transform("right_ids", number), ",").alias("right_ids"), F.col("amount").cast("decimal(18,2)").alias("amount"), "automatic", "decision")
+
+
+@register(_ANALYSIS + """, one AS (
+  SELECT [book_record_id] AS ids, id FROM ledger WHERE id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT list_sort([x.book_record_id, y.book_record_id]), y.id FROM judged JOIN ledger x ON x.id = bank_id JOIN ledger y ON y.id = order_id WHERE adopted
+) SELECT array_to_string(ids, ',') AS sources, l.amount::DECIMAL(18,2) AS amount, l.direction, l.transaction_status NOT IN ('void', 'pending') AND l.direction IN ('in', 'out') AS included FROM one JOIN ledger l USING (id)""")
+def analysis_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _analysis(spark, sf_dir).transactions
+    return found.select(F.array_join("source_ids", ",").alias("sources"), F.col("money").cast("decimal(18,2)").alias("amount"), "direction", "included")
+
+
+@register(_SIDES + """ SELECT currency, coalesce(sum(CASE WHEN direction = 'in' THEN money END), 0)::DECIMAL(38,2) AS total_in, coalesce(sum(CASE WHEN direction = 'out' THEN money END), 0)::DECIMAL(38,2) AS total_out,
+  0::DECIMAL(38,2) AS total_refund FROM ok WHERE id NOT IN (SELECT bank_id FROM judged WHERE adopted) GROUP BY 1""")
+def analysis_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).totals
 
 
 @register(_SIDES + ", hits AS (SELECT id, unnest(tokens) AS token FROM b) SELECT DISTINCT hits.id AS bank_id, p.id AS order_id FROM hits JOIN p ON hits.token = p.source_record_id")
@@ -269,17 +309,19 @@ _MONEY_SQL = r"""CASE WHEN {c} IN ('', '-', '--', '/') THEN NULL
   WHEN regexp_full_match({c}, '\+[0-9]+(\.[0-9]+)?') THEN CAST(substring({c}, 2) AS DECIMAL(38,2))
   WHEN regexp_full_match({c}, '-[0-9]+(\.[0-9]+)?') THEN CAST({c} AS DECIMAL(38,2))
   WHEN regexp_full_match({c}, '[0-9]+(\.[0-9]+)?-') THEN -CAST(rtrim({c}, '-') AS DECIMAL(38,2))
+  WHEN regexp_full_match({c}, '￥[0-9]+(\.[0-9]+)?') THEN CAST(substring({c}, 2) AS DECIMAL(38,2))
+  WHEN regexp_full_match({c}, '（￥[0-9]+(\.[0-9]+)?）') THEN -CAST(trim({c}, '（￥）') AS DECIMAL(38,2))
   WHEN regexp_full_match({c}, '\([0-9]+(\.[0-9]+)?\)') THEN -CAST(trim({c}, '()') AS DECIMAL(38,2))
   WHEN regexp_full_match({c}, '[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?') THEN CAST(replace({c}, ',', '') AS DECIMAL(38,2)) END"""
-_SIGN_SQL = "CASE WHEN {c} LIKE '-%' OR {c} LIKE '%-' OR {c} LIKE '(%' THEN '-' WHEN {c} LIKE '+%' THEN '+' END"
+_SIGN_SQL = "CASE WHEN {c} LIKE '-%' OR {c} LIKE '%-' OR {c} LIKE '(%' OR {c} LIKE '（%' THEN '-' WHEN {c} LIKE '+%' THEN '+' END"
 
 
 @register(f"""
 WITH m AS (SELECT record_id, cell_amount, {_MONEY_SQL.format(c="cell_amount")} AS amount FROM {q("cells")})
 SELECT record_id, amount, CASE WHEN amount IS NOT NULL THEN {_SIGN_SQL.format(c="cell_amount")} END AS sign, CASE WHEN amount IS NOT NULL AND cell_amount LIKE 'USD%' THEN 'USD' END AS currency FROM m""")
 def parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = adapter(spark, sf_dir, "cells").withColumn("m", money_struct(F.col("cell_amount")))
-    return parsed.select("record_id", F.col("m.amount").cast("decimal(38,2)").alias("amount"), "m.sign", money_currency(F.col("cell_amount")).alias("currency"))
+    parsed = with_money(adapter(spark, sf_dir, "cells"), {"m": "cell_amount"})
+    return parsed.select("record_id", F.col("m.amount").cast("decimal(38,2)").alias("amount"), "m.sign", "m.currency")
 
 
 _DATE_SQL = "CASE record_id % 5 WHEN 3 THEN NULL WHEN 1 THEN concat(substring(cell_date, 1, 4), '-', substring(cell_date, 5, 2), '-', substring(cell_date, 7, 2)) WHEN 2 THEN replace(cell_date, '/', '-') WHEN 4 THEN concat(cell_date, ':00') ELSE cell_date END"
@@ -307,17 +349,17 @@ g AS (SELECT *, CASE WHEN split_used THEN sd WHEN amt IS NOT NULL THEN by_plain
 h AS (SELECT *, CASE WHEN amt IS NOT NULL THEN coalesce(stated, derived) ELSE stated END AS dir FROM g),
 amounts AS (SELECT record_id, abs(amt)::DECIMAL(38,2) AS amount, dir AS direction, list_filter([
   CASE WHEN cell_amount NOT IN ('', '-', '--', '/') AND m IS NULL THEN 'AMOUNT_INVALID' END,
-  CASE WHEN split_used AND abs(m) <> abs(sa) THEN 'AMOUNT_CONFLICT' END,
-  CASE WHEN (split_used AND by_plain <> sd) OR (amt IS NOT NULL AND stated <> derived AND stated <> 'none') THEN 'DIRECTION_CONFLICT' END,
   CASE WHEN two_sided THEN 'BOTH_DIRECTIONS' END,
+  CASE WHEN split_used AND abs(m) <> abs(sa) THEN 'AMOUNT_CONFLICT' END,
+  CASE WHEN split_used AND by_plain <> sd THEN 'DIRECTION_CONFLICT' END,
   CASE WHEN coalesce(cell_direction, '') <> '' AND stated IS NULL THEN 'DIRECTION_UNKNOWN' END,
+  CASE WHEN amt IS NOT NULL AND stated <> derived AND stated <> 'none' THEN 'DIRECTION_CONFLICT' END,
   CASE WHEN dir IS NULL THEN 'DIRECTION_MISSING' END, CASE WHEN amt IS NULL THEN 'AMOUNT_MISSING' END], lambda x: x IS NOT NULL) AS issues FROM h)"""
 
 
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    resolved = normalize.resolve_amount(c("cell_amount"), c("cell_signed"), c("cell_credit"), c("cell_debit"), c("cell_direction"), c("signed_format"), c("split"))
-    return adapter(spark, sf_dir, "cells").withColumn("a", resolved)
+    parsed = with_money(adapter(spark, sf_dir, "cells").withColumn("direction_codes", F.lit(None).cast("map<string,string>")), normalize.MONEY_CELLS)
+    return normalize.resolve_amounts(parsed).withColumn("a", F.col("_amount"))
 
 
 @register(f"WITH {_AMOUNT_SQL} SELECT record_id, amount, direction, array_to_string(issues, ',') AS issues FROM amounts")
@@ -332,9 +374,9 @@ currencies AS (SELECT record_id, CASE WHEN stated <> mark THEN stated ELSE coale
 
 @register(f"WITH {_CURRENCY_SQL} SELECT * FROM currencies")
 def resolve_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    found = normalize.resolve_currency(c("cell_currency"), c("cell_amount"), c("cell_signed"), c("cell_credit"), c("cell_debit"))
-    return adapter(spark, sf_dir, "cells").withColumn("c", found).select("record_id", "c.currency", "c.issue")
+    parsed = with_money(adapter(spark, sf_dir, "cells"), normalize.MONEY_CELLS)
+    codes = F.array(*[F.col(f"{n}.currency") for n in normalize.MONEY_CELLS])
+    return parsed.withColumn("c", normalize.resolve_currency(F.col("cell_currency"), codes)).select("record_id", "c.currency", "c.issue")
 
 
 @register(f"""
@@ -374,25 +416,25 @@ def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {_OVERLAY}, ex AS (SELECT doc_id FROM labels WHERE toxic = 1), pages AS (SELECT DISTINCT source, doc_id % 5 AS page FROM documents WHERE doc_id % 97 = 0),
+WITH {_OVERLAY}, ex AS (SELECT doc_id FROM labels WHERE toxic = 1), pages AS (SELECT DISTINCT source, doc_id % 5 AS page FROM documents WHERE n_chars < 20),
 r AS (SELECT eff.*, p.page IS NOT NULL AS open, CASE WHEN record_id IN (SELECT doc_id FROM ex) THEN 'excluded' WHEN human_confirmed THEN 'confirmed' WHEN parse_status = 'ready' THEN 'ready' ELSE 'pending' END AS review_status
   FROM eff LEFT JOIN pages p ON p.source = eff.file_id AND p.page = eff.page)
 SELECT record_id, counterparty, human_confirmed, review_status, open AS page_review_pending, review_status IN ('confirmed', 'ready') AND NOT open AS eligible FROM r""")
 def effective_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     excluded = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("record_id"))
-    pages = adapter(spark, sf_dir, "base_records").where("record_id % 97 = 0")
+    pages = adapter(spark, sf_dir, "base_records").where("n_chars < 20")
     found = review.eligible_records(_effective(spark, sf_dir), excluded, pages)
     return found.select("record_id", "counterparty", "human_confirmed", "review_status", "page_review_pending", "eligible")
 
 
 @register(f"""
 WITH base AS {q("base_records")} SELECT record_id, file_id, page FROM base WHERE parse_status = 'needs_review'
-  AND record_id NOT IN (SELECT doc_id FROM labels) AND (file_id, page) NOT IN (SELECT source, doc_id % 5 FROM documents WHERE doc_id % 97 = 0)""")
+  AND record_id NOT IN (SELECT doc_id FROM labels) AND (file_id, page) NOT IN (SELECT source, doc_id % 5 FROM documents WHERE n_chars < 20)""")
 def blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = adapter(spark, sf_dir, "base_records")
     issues = base.where("parse_status = 'needs_review'").select("record_id", "file_id", "page", F.lit("error").alias("severity"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("record_id"), "quality")
-    left = review.blockers(issues, labels.where("quality = 1"), labels.where("quality = 0"), base.where("record_id % 97 = 0"))
+    left = review.blockers(issues, labels.where("quality = 1"), labels.where("quality = 0"), base.where("n_chars < 20"))
     return left.select("record_id", "file_id", "page")
 
 
@@ -450,7 +492,15 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.components(supported)
 
 
-@register()
+@register(_ASSESSED + """, e AS (SELECT a_id AS x, b_id AS y FROM st WHERE state = 'supported' UNION SELECT b_id, a_id FROM st WHERE state = 'supported'),
+r AS (SELECT x AS id, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id), k AS (SELECT id, min(root) AS component FROM r GROUP BY 1),
+link AS (SELECT k.component, e.x AS l, e.y AS r FROM e JOIN k ON k.id = e.x WHERE e.x % 2 = 1),
+side AS (SELECT component, list_sort(list(DISTINCT l)) AS ls, list_sort(list(DISTINCT r)) AS rs FROM link GROUP BY 1),
+grow AS (SELECT component, 0 AS n, []::BIGINT[] AS used FROM side WHERE len(ls) = len(rs) AND len(ls) <= 32
+  UNION ALL SELECT grow.component, n + 1, list_append(used, link.r) FROM grow JOIN side USING (component) JOIN link ON link.component = grow.component AND link.l = side.ls[n + 1] WHERE NOT list_contains(used, link.r)),
+done AS (SELECT grow.component, used, ls FROM grow JOIN side USING (component) WHERE n = len(ls)),
+pairs AS (SELECT component, unnest(ls) AS left_id, unnest(used) AS right_id FROM done), many AS (SELECT component, count(*) AS m FROM done GROUP BY 1)
+SELECT component, left_id, right_id FROM pairs JOIN many USING (component) GROUP BY component, left_id, right_id, m HAVING count(*) = m""")
 def forced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     supported = _assessed(spark, sf_dir).where("state = 'supported'").select("a_id", "b_id")
     named = evidence.components(supported.toDF("src", "dst"))
@@ -487,12 +537,40 @@ def private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.private_values(adapter(spark, sf_dir, "ledger"))
 
 
-@register()
+_KEY = b"key of the test book"
+
+
+def _hmac_sql(text: str) -> str:
+    """P and 20 hex digits of the HMAC-SHA256 of a text expression under the test key."""
+    pad = lambda by: "".join(rf"\x{x ^ by:02X}" for x in _KEY.ljust(64, b"\0"))
+    return f"'P' || substring(sha256('{pad(0x5C)}'::BLOB || unhex(sha256('{pad(0x36)}'::BLOB || encode({text})))), 1, 20)"
+
+
+@register(f"SELECT book_record_id, {_hmac_sql('account')} AS account_token FROM {q('ledger')}")
 def private_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = privacy.hmac_token(b"key of the test book")
+    token = privacy.hmac_token(_KEY)
     return adapter(spark, sf_dir, "ledger").select("book_record_id", token(F.col("account")).alias("account_token"))
 
 
+@register(f"""
+WITH v AS (SELECT DISTINCT counterparty AS value FROM {q("ledger")} WHERE counterparty IS NOT NULL), t AS (SELECT book_record_id, memo FROM {q("ledger")} WHERE memo IS NOT NULL)
+SELECT book_record_id, value FROM t JOIN v ON contains(memo, value)""")
+def literals_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each counterparty's name that stands anywhere in a memo: what mask_literals replaces."""
+    rows = adapter(spark, sf_dir, "ledger")
+    names = rows.where("counterparty IS NOT NULL").select(F.col("counterparty").alias("value")).distinct()
+    return privacy.literals_in(rows, "book_record_id", "memo", names).withColumnRenamed("id", "book_record_id")
+
+
+@register(f"""
+SELECT {_hmac_sql('book_record_id')} AS id, amount, CASE WHEN source = '微信' THEN counterparty ELSE {_hmac_sql('counterparty')} END AS counterparty,
+  CASE WHEN source = '微信' THEN description ELSE '[个人或未明确对象，说明未外发]' END AS description, CASE WHEN source = '微信' THEN '' ELSE '[未外发]' END AS memo,
+  CASE WHEN source_record_id IS NOT NULL THEN {_hmac_sql("concat(source, ':source_record_id:', source_record_id)")} END AS source_record_id FROM {q("ledger")}""")
+def outbound_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.outbound_rows(adapter(spark, sf_dir, "ledger"), _KEY)
+    return found.select("id", "amount", "counterparty", "description", "memo", "source_record_id")
+
+
 # --- recognised pages ----------------------------------------------------------------------------
 
 _OCR = f"""

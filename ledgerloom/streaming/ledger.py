@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..llm.common import Scratch
+from ..lineage import shared_folder
 from ..shipping import ship
 
+#: Requests that the fold remembers for each relation: a replay of an older one counts by its revision.
+REMEMBERED = 1000
+
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
@@ -32,19 +36,20 @@ def window_totals(stream: DataFrame, at: str, value: str, keys: list[str], width
 def fold_reviews(events: DataFrame) -> DataFrame:
     """The standing action of each relation of a stream of (relation_id, revision, action, request_id).
 
-    A request that was seen already changes nothing; revisions may arrive in any order.
+    A request that was seen already changes nothing; revisions may arrive in any order. The state of a
+    relation is its standing action and the last REMEMBERED requests.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         revision, action, seen = state.get if state.exists else (-1, None, [])
-        seen = set(seen)
+        seen = dict.fromkeys(seen)  # in order of arrival
         for batch in batches:
             for row in batch.sort_values("revision").itertuples():
                 if row.request_id not in seen:
-                    seen.add(row.request_id)
+                    seen[row.request_id] = None
                     if row.revision > revision:
                         revision, action = row.revision, row.action
-        state.update((revision, action, sorted(seen)))
+        state.update((revision, action, list(seen)[-REMEMBERED:]))
         yield pd.DataFrame({"relation_id": [key[0]], "revision": [revision], "action": [action]})
 
     ship(events.sparkSession)
@@ -63,8 +68,9 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if mode != "append":
         writer.format("memory").start().awaitTermination()
         return stream.sparkSession.table(name)
-    spark, scratch = stream.sparkSession, Scratch(stream.sparkSession)
-    out = scratch.path()
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{root}/rows"
     spark.createDataFrame([], stream.schema).write.parquet(out)  # there even if the stream has no rows
-    writer.format("parquet").option("path", out).option("checkpointLocation", scratch.path()).start().awaitTermination()
+    writer.format("parquet").option("path", out).option("checkpointLocation", f"{root}/progress").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, privacy, text
-from ledgerloom.operators import browse, duplicates, evidence, headers, normalize, ocr, pairing, refunds, review, totals
+from ledgerloom.lineage import cut
+from ledgerloom.operators import analysis, browse, duplicates, evidence, headers, normalize, ocr, pairing, refunds, review, totals
 from ledgerloom.schema import RECORD
 from ledgerloom.sources import statements
 
@@ -25,7 +26,7 @@ BANK = {"source": "建设银行", "counterparty": "财付通", "memo": "财付
 
 
 def candidates(spark, *given):
-    return pairing.single_candidates(*pairing.sides(records(spark, *given)))
+    return pairing.single_candidates(*map(cut, pairing.sides(records(spark, *given))))
 
 
 def adopted(spark, *given):
@@ -138,7 +139,7 @@ MONEY = [
 
 def test_money_grammar(spark):
     rows = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(MONEY)], "i int, v string")
-    found = {r.i: r.amount for r in rows.select("i", money.parse_money(text.nfkc(F.col("v"))).alias("amount")).collect()}
+    found = {r.i: r.m.amount for r in money.with_money(rows, {"m": "v"}).collect()}
     assert found == {i: None if w is None else Decimal(w) for i, (_, w) in enumerate(MONEY)}
 
 
@@ -310,8 +311,27 @@ def test_private_texts(spark):
     rows = spark.createDataFrame([(1, "to Ann Lee at 13800001111 or a@b.cn"), (2, "密码 1"), (3, None)], "id int, t string")
     masked = {r.id: r.t for r in rows.select("id", privacy.outbound_text(F.col("t")).alias("t")).collect()}
     assert masked == {1: "to Ann Lee at [number] or [mail]", 2: privacy.OMITTED, 3: ""}
-    names = spark.createDataFrame([("Ann",), ("Ann Lee",)], "value string")
-    assert {r.id: r.t for r in privacy.mask_literals(rows, "id", "t", names).collect()}[1] == "to [private] at 13800001111 or a@b.cn"
+    key = b"k"
+    token = {r.value: r.t for r in spark.createDataFrame([("Ann",), ("Ann Lee",), ("张三丰",)], "value string").select("value", privacy.hmac_token(key)(F.col("value")).alias("t")).collect()}
+    names = spark.createDataFrame([(v,) for v in token], "value string")
+    inside = spark.createDataFrame([(1, "to Ann Lee and Ann"), (2, "转给张三丰先生的款"), (3, None), (4, "none")], "id int, t string")
+    masked = {r.id: r.t for r in privacy.mask_literals(inside, "id", "t", names, key).collect()}
+    assert masked == {1: f"to {token['Ann Lee']} and {token['Ann']}", 2: f"转给{token['张三丰']}先生的款", 3: None, 4: "none"}
+
+
+def test_outbound_rows(spark):
+    friend = WALLET | {"trade_type": "转账", "counterparty": "李四", "description": "转账给李四", "source_record_id": "order10009", "book_record_id": "f"}
+    given = records(spark, WALLET | {"memo": "call 13800001111, 李四 order10009", "book_record_id": "m"}, friend, BANK | {"book_record_id": "b"})
+    key = b"k"
+    rows = {(r.counterparty, r.description, r.memo, r.payment_method): r for r in privacy.outbound_rows(given, key).collect()}
+    assert len(rows) == 3
+    merchant = next(r for r in rows.values() if r.counterparty == "某超市")
+    assert merchant.description == "苹果" and not any(x in merchant.memo for x in ("13800001111", "李四", "order10009"))
+    assert merchant.payment_method.startswith("建设银行储蓄卡(P") and "1234" not in merchant.payment_method.replace(merchant.payment_method[8:], "")
+    others = [r for r in rows.values() if r.counterparty != "某超市"]
+    assert all(r.counterparty.startswith("P") and r.description == privacy.WITHHELD_DESCRIPTION and r.memo == privacy.WITHHELD_MEMO for r in others)
+    flat = str(list(rows.values()))
+    assert not any(x in flat for x in ("李四", "6222001234", "order10001", "order10009"))
 
 
 def test_fingerprint_ignores_order(spark):
@@ -324,3 +344,60 @@ def test_coverage_invariant(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "book_record_id string")
     used = spark.createDataFrame([(["a"],), (["a"],)], "source_ids array<string>")
     assert sorted(tuple(r) for r in browse.coverage_gaps(rows, used).collect()) == [("a", "extra"), ("b", "missing")]
+
+
+def analysed(spark, *given, decisions=None):
+    made = analysis.build_analysis(records(spark, *given).drop("id"), decisions)
+    transactions = sorted((str(r.money.normalize()), r.direction, tuple(r.source_ids), r.refund_linked) for r in made.transactions.collect())
+    relations = sorted((r.kind, r.left_id, tuple(r.right_ids), r.decision) for r in made.relations.collect())
+    return transactions, relations, {r.currency: (str(r.total_in), str(r.total_out), str(r.total_refund)) for r in made.totals.collect()}, made
+
+
+def test_analysis_of_seed_rows(spark):
+    """Two equal bank rows and one order are left to a person, the rest is merged or stands alone."""
+    transactions, relations, total, _ = analysed(spark, WALLET, BANK, WALLET | {"amount": "20.00", "source_record_id": "order10002", "payment_method": "零钱"})
+    assert total == {"CNY": ("0.00", "78.00", "0.00")}
+    assert [(t[0], t[2]) for t in transactions] == [("2E+1", ("r2",)), ("58", ("r0", "r1"))]
+    assert relations == [("payment", "r1", ("r0",), "automatic")]
+
+
+def test_analysis_combined_payment_and_conflict(spark):
+    parts = [WALLET | {"amount": "20.00", "source_record_id": "order20001"}, WALLET | {"amount": "38.00", "source_record_id": "order20002"}]
+    bank = BANK | {"memo": "order20001 order20002 财付通"}
+    transactions, relations, total, _ = analysed(spark, *parts, bank)
+    assert total == {"CNY": ("0.00", "58.00", "0.00")} and relations == [("payment", "r2", ("r0", "r1"), "automatic")]
+    assert [t[2] for t in transactions] == [("r0", "r2"), ("r1", "r2")]
+    weak = analysed(spark, WALLET, *[p | {"source_record_id": f"order3000{i}"} for i, p in enumerate(parts)], BANK)[1]
+    assert weak == [("payment", "r3", ("r0",), "automatic"), ("payment", "r3", ("r1", "r2"), "conflict")]
+
+
+def test_analysis_duplicates_and_refunds(spark):
+    twice = [WALLET, WALLET | {"file_id": "f2"}]
+    refund = WALLET | {"direction": "in", "amount": "20.00", "trade_type": "退款", "transaction_at": "2026-01-02 12:00:00", "payment_method": "零钱"}
+    transactions, relations, total, made = analysed(spark, *twice, refund)
+    assert total == {"CNY": ("20.00", "58.00", "20.00")}
+    assert [t[2] for t in transactions] == [("r2",), ("r0", "r1")] and [t[3] for t in transactions] == [True, False]
+    assert {(k, d) for k, *_, d in relations} == {("duplicate", "automatic"), ("refund", "automatic")}
+    assert analysis.source_coverage(made.transactions.select(F.explode("source_ids").alias("book_record_id")), made.transactions).count() == 0
+
+
+def test_analysis_decisions(spark):
+    """A person chooses between two orders; a rejection holds; an accept of changed records is stale."""
+    given = [WALLET, WALLET | {"source_record_id": "order10002"}, BANK]
+    _, open_, _, made = analysed(spark, *given)
+    assert {d for *_, d in open_} == {"suggested"}
+    digests = {r.book_record_id: r.digest for r in analysis.record_digests(records(spark, *given)).collect()}
+    chosen = next(r for r in made.relations.collect() if r.right_ids == ["r1"])
+
+    def decided(action, dependencies):
+        row = (chosen.id, "payment", chosen.source_ids, action, 1, dependencies)
+        return spark.createDataFrame([row], analysis.DECISION)
+
+    now = {k: digests[k] for k in chosen.source_ids}
+    transactions, relations, total, _ = analysed(spark, *given, decisions=decided("accept", now))
+    assert {r[2][0]: r[3] for r in relations} == {"r1": "accepted", "r0": "conflict"} and total == {"CNY": ("0.00", "116.00", "0.00")}
+    rejected = {r[2][0]: r[3] for r in analysed(spark, *given, decisions=decided("reject", None))[1]}
+    assert rejected == {"r1": "reject", "r0": "suggested"}
+    stale = analysed(spark, *given, decisions=decided("accept", now | {"r1": "old"}))
+    assert {r[2][0]: r[3] for r in stale[1]} == {"r1": "stale", "r0": "suggested"}
+    assert [r.id for r in analysis.stale_decisions(stale[3].relations, decided("accept", None)).collect()] == [chosen.id]
