@@ -5,8 +5,8 @@ components of the links come out exactly, in two steps:
 
 1. each item is compared with the leader of each of its buckets, its least item, which joins a dense
    group by as many links as it has members; the leader has then met its whole bucket and leaves it;
-2. what is left of buckets whose items are in several components is compared with each other, behind
-   a sketch that the join itself checks.
+2. of buckets whose items are in several components, those outside the largest one are compared with
+   all, behind a sketch that the join itself checks.
 
 A pair inside one component is never made.
 """
@@ -84,8 +84,13 @@ def link_components(
         stars = rest.join(leaders, "bucket").where((F.col("component") != F.col("low.component")) & close(F.col("bucket"), F.col("sketch"), F.col("low.sketch")))
         found = confirm(stars.select(F.col("id").alias("src"), F.col("low.id").alias("dst")).distinct())
         known, rest = _contract(known, found, rest.join(leaders.select("bucket", "low.id"), ["bucket", "id"], "left_anti"), scratch)
-    apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & close(F.col("a.bucket"), F.col("a.sketch"), F.col("b.sketch"))
-    left = rest.alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
+    # A bucket's largest component is not compared with itself: only what is outside of it meets the bucket.
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    rest = scratch.save(rest.join(largest, "bucket"))
+    once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.component") < F.col("b.component"))
+    apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & once & close(F.col("a.bucket"), F.col("a.sketch"), F.col("b.sketch"))
+    left = rest.where("component <> largest").alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
     # Every pair of a bucket is now in one component or has been compared.
     return connected_components(_edges(known).union(confirm(left).select("src", "dst")), scratch)
 

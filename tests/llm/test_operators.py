@@ -306,14 +306,11 @@ def test_line_dedup_against_brute_force(spark):
         ws[int(rng.integers(0, len(ws)))] = "changed"
         edited.append(" ".join(ws))
     all_lines = lines + edited
-    norm = lambda t: re.sub(r"[\x00-/:-`{-\x7f]+", " ", t.lower()).strip()
-    norms = [norm(x) for x in all_lines]
-    close = []
-    for i, a in enumerate(norms):
-        for j in range(i):
-            b, most = norms[j], int(max(len(a), len(norms[j])) * 0.2 + 1e-9)
-            if abs(len(a) - len(b)) <= most and (a == b or sum((collections.Counter(a) - collections.Counter(b)).values()) <= most and edit_distance(a, b) <= most):
-                close.append((i, j))
+    norms = [re.sub(r"[\x00-/:-`{-\x7f]+", " ", x.lower()).strip() for x in all_lines]
+    frame = spark.createDataFrame(list(enumerate(norms)), "i int, t string").repartition(4)
+    both = frame.toDF("i", "a").crossJoin(frame.toDF("j", "b")).where("j < i")
+    most = F.floor(F.greatest(F.length("a"), F.length("b")) * 0.2 + 1e-9).cast("int")
+    close = [tuple(r) for r in both.where(F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0).select("i", "j").collect()]
     want = components(len(norms), close)
     docs = spark.createDataFrame(list(enumerate(all_lines)), "doc_id long, text string")
     kept = {r.doc_id for r in line_dedup.dedup_lines(docs).where("_ld_removed = 0").collect()}
