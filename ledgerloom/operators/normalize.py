@@ -72,6 +72,7 @@ LAYOUT = {
     "formula_fields": "CAST(NULL AS ARRAY<STRING>)",
     "error_fields": "CAST(NULL AS ARRAY<STRING>)",
     "wider": "false",
+    "mapped_fields": "CAST(NULL AS ARRAY<STRING>)",
 }
 
 
@@ -141,7 +142,8 @@ def _times(rows: DataFrame, field: str, date_cell: str, clock_cell: str) -> tupl
     mapped, clocked = date_cell in rows.columns, clock_cell in rows.columns
     date = date_struct(F.col(date_cell)) if mapped else F.lit(None).cast("struct<at:string,precision:string>")
     columns = {f"_{field}_date": date}
-    issues = [(F.col(f"_{field}_date").isNull(), "DATE_INVALID")] if mapped else []
+    here = F.coalesce(F.array_contains("mapped_fields", field), F.lit(True))  # null: every column there is
+    issues = [(here & F.col(f"_{field}_date").isNull(), "DATE_INVALID")] if mapped else []
     if clocked:
         issues.append((F.col(f"_{field}.issue").isNotNull(), F.col(f"_{field}.issue")))
     return columns, issues
