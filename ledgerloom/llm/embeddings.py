@@ -29,7 +29,7 @@ from .linking import connected_components
 #: each of the two filters for a pair just at the threshold.
 PROJECTIONS, HALF_WINDOW, RECALL = 24, 1.25, 0.985
 #: Vectors wanted in a cell, and the most that one task gets of each of two blocks.
-CELL, BLOCK = 512, 2048
+CELL, BLOCK = 512, 1024
 
 
 def least_collisions(projections: int = PROJECTIONS, half_window: float = HALF_WINDOW, recall: float = RECALL) -> int:
@@ -103,7 +103,9 @@ def link_vectors(
     # -0.0 and 0.0 are one value to the cosine
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
 
-    items = scratch.save(rows.where("ok").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("least")).withColumn("item", F.xxhash64("label", "v")))
+    # Equal vectors are found by their values; a saved table's numbers name the items, two hashes find them again.
+    both = {"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "label", "v")}
+    items = scratch.save(rows.where("ok").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("id").alias("least")).withColumns(both | {"item": F.monotonically_increasing_id()}))
     largest = items.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     signs = max(0, math.ceil(math.log2(max(1, largest) / CELL)))
     rounds = rounds_of_cells(signs, cosine)
@@ -124,7 +126,7 @@ def link_vectors(
     dealt = unit.select("*", F.posexplode("cells").alias("round", "cell"))
     sizes = unit.select("label", "dims", F.posexplode("cells").alias("round", "cell")).groupBy("label", "dims", "round", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     # A large cell is cut into blocks; each pair of blocks is a group of its own.
-    blocks = dealt.join(sizes.drop("n"), ["label", "dims", "round", "cell"]).withColumn("mine", F.pmod(F.col("item"), F.col("blocks")).cast("int"))
+    blocks = dealt.join(sizes.drop("n"), ["label", "dims", "round", "cell"]).withColumn("mine", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -158,12 +160,13 @@ def link_vectors(
     found = scratch.save(found)
     links = found.groupBy("item").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("item").alias("src"), F.col("root").alias("dst")), scratch)
-    named = items.select("item", "label", "v", "copies", "least").join(links, "item", "left").join(components.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
+    named = items.select("item", "h1", "h2", "copies", "least").join(links, "item", "left").join(components.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
     named = scratch.save(named)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select("item", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    final = named.join(least, "component").select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     final = scratch.save(final)
-    keyed = rows.select("id", F.when(F.col("ok"), F.xxhash64("label", "v")).alias("item"))
-    out = keyed.where("item IS NOT NULL").join(final, "item").select("id", "n_links", "component_id")
+    keyed = rows.where("ok").withColumns(both).select("id", "h1", "h2")
+    # An item with very many copies is split on the copies' side by Spark: final has one row per item.
+    out = keyed.join(final, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").cast(kind).alias(id_col), "n_links", "component_id")

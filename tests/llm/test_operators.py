@@ -371,6 +371,26 @@ PAGES = [
 ]
 
 
+def test_embedding_links_in_cells_and_blocks(spark, monkeypatch):
+    """Small cells and blocks, pairs about the threshold: no false link, hardly one lost."""
+    monkeypatch.setattr(embeddings, "CELL", 64)
+    monkeypatch.setattr(embeddings, "BLOCK", 48)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((200, 32))
+    x = np.concatenate([centres, centres + rng.standard_normal((200, 32)) * 0.38, centres[:100] + rng.standard_normal((100, 32)) * 0.3])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000 + i, x[i].tolist(), 1) for i in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.93
+    ids = [i for i, *_ in rows]
+    want = close.sum(axis=1) - 1
+    found = np.array([got[i][0] for i in ids])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() > 100
+    roots = components(len(ids), list(zip(*np.nonzero(np.triu(close, 1)))))
+    assert sum(got[i][1] == ids[r] for i, r in zip(ids, roots)) >= 0.95 * len(ids)
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([p[:3] for p in PAGES], "page_id long, url string, html string")
     got = {r.page_id: r._sst_text for r in site_style_tree.extract_main_text(pages).collect()}
