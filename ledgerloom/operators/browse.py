@@ -67,3 +67,55 @@ def coverage_gaps(records: DataFrame, transactions: DataFrame) -> DataFrame:
     """Invariant: each record's id is in just one transaction; rows are the ids for which it is not."""
     used = transactions.select(F.explode("source_ids").alias("book_record_id"))
     return records.select("book_record_id").exceptAll(used).withColumn("gap", F.lit("missing")).union(used.exceptAll(records.select("book_record_id")).withColumn("gap", F.lit("extra")))
+
+
+def transactions_order(transactions: DataFrame) -> DataFrame:
+    """Transactions as they are listed: the latest time text first, then the greatest id."""
+    when = F.coalesce(F.nullif("transaction_at", F.lit("")), F.nullif("booking_at", F.lit("")), F.lit(""))
+    return transactions.orderBy(when.desc(), F.col("id").desc())
+
+
+def brief(transactions: DataFrame) -> DataFrame:
+    """The columns of a transaction that a list shows."""
+    shown = ("id", "transaction_at", "booking_at", "counterparty", "description", "money", "currency", "direction", "refund", "refund_linked", "included", "source_ids")
+    return transactions.select(*[c for c in shown if c in transactions.columns])
+
+
+def search_transactions(transactions: DataFrame, text: str) -> DataFrame:
+    """Transactions whose counterparty or description holds a text."""
+    return transactions.where(F.contains(searchable(F.col("counterparty"), F.col("description")), F.lit(text.lower())))
+
+
+def with_verdicts(relations: DataFrame, verdicts: DataFrame, policy: str, fingerprint: str) -> DataFrame:
+    """relations (id, dependencies map) with verdict: the newest one of a policy and input, if its
+    records are still the same.
+
+    verdicts: (relation_id, job, policy, fingerprint, verdict, dependencies); a greater job is newer.
+    """
+    valid = verdicts.where((F.col("policy") == policy) & (F.col("fingerprint") == fingerprint))
+    latest = valid.groupBy("relation_id").agg(F.max_by(F.struct("verdict", F.col("dependencies").alias("seen")), "job").alias("_v"))
+    joined = relations.join(latest, F.col("id") == F.col("relation_id"), "left")
+    same = F.array_sort(F.map_entries("dependencies")) == F.array_sort(F.map_entries("_v.seen"))
+    return joined.withColumn("verdict", F.when(same, F.col("_v.verdict"))).drop("relation_id", "_v")
+
+
+def latest_jobs(jobs: DataFrame, most: int = 20) -> DataFrame:
+    """The newest jobs, at most so many."""
+    return jobs.orderBy(F.col("job").desc()).limit(most)
+
+
+def record_lineage(records: DataFrame, raw_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """records with the cells of their row and the name and digest of their file; all records stay."""
+    raw = raw_rows.select("raw_id", F.col("values").alias("raw_values"), F.col("disposition").alias("raw_disposition"))
+    named = files.select("file_id", F.col("path").alias("file_path"), "sha256")
+    return records.join(raw, "raw_id", "left").join(named, "file_id", "left")
+
+
+def document_text(segments: DataFrame) -> DataFrame:
+    """(file_id, text): the texts outside of tables in reading order, a line each.
+
+    segments: (file_id, place, line, values). A file's text is one row; files are limited in size.
+    """
+    lines = segments.select("file_id", "place", "line", F.posexplode("values").alias("at", "value")).where("value IS NOT NULL")
+    ordered = lines.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", "line", "at", "value"))).alias("all"))
+    return ordered.select("file_id", F.array_join(F.transform("all", lambda x: x["value"]), "\n").alias("text"))

@@ -7,6 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,18 +101,51 @@ def csv_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, line int, end_line int, values array<string>, issue string")
 
 
-def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet under a folder that must not hold it yet; Spark's _SUCCESS marks it whole."""
+#: Versions of a bundle that can be read.
+BUNDLE_VERSIONS = ("1.0", "1.1")
+
+
+def write_bundle(tables: dict[str, DataFrame], folder: str, status: str = "completed") -> None:
+    """Each table as Parquet under a folder that must not hold it yet, then the manifest, which says
+    that the bundle is whole: rows of each table, version and status."""
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    counts = [(name, spark.read.schema(df.schema).parquet(f"{folder}/{name}").count()) for name, df in tables.items()]
+    manifest = [("schema_version", BUNDLE_VERSIONS[-1]), ("status", status), *[(f"rows:{name}", str(n)) for name, n in counts]]
+    spark.createDataFrame(manifest, "key string, value string").coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+
 
+def load_records(spark: SparkSession, folder: str, ready_only: bool = True, allow_partial: bool = False) -> DataFrame:
+    """A whole bundle's records; the status filter reaches the Parquet scan.
 
-def load_records(spark: SparkSession, folder: str, ready_only: bool = True) -> DataFrame:
-    """A bundle's records; the status filter reaches the Parquet scan."""
+    ValueError for a bundle of an unknown version, or with errors unless they are allowed; a bundle
+    without a manifest was not written to its end.
+    """
+    try:
+        manifest = {r.key: r.value for r in spark.read.schema("key string, value string").json(f"{folder}/manifest").collect()}
+    except AnalysisException as error:
+        raise ValueError("the bundle was not written to its end") from error
+    if manifest.get("schema_version") not in BUNDLE_VERSIONS:
+        raise ValueError("a bundle of an unknown version")
+    if manifest.get("status") != "completed" and not allow_partial:
+        raise ValueError("a bundle with errors: check it, or allow partial ones")
     records = spark.read.parquet(f"{folder}/records")
     return records.where("parse_status = 'ready'") if ready_only else records
 
 
+def evidence_file(spark: SparkSession, folder: str, relative: str, assets: DataFrame) -> DataFrame:
+    """(path, content) of a bundle's evidence file if its digest is that of assets (path, sha256).
+
+    ValueError for a path that is not one below the bundle's evidence folder.
+    """
+    parts = relative.split("/")
+    if "\\" in relative or ":" in relative or parts[0] != "evidence" or len(parts) < 2 or any(p in ("", ".", "..") for p in parts):
+        raise ValueError("evidence is named by a relative path below evidence/")
+    found = spark.read.format("binaryFile").load(f"{folder}/{relative}").select(F.lit(relative).alias("path"), "content", F.sha2("content", 256).alias("sha256"))
+    return found.join(assets, ["path", "sha256"], "left_semi").select("path", "content")
+
+
 def export_cells(raw_rows: DataFrame, longest: int = 30_000) -> DataFrame:
     """One row per cell, long cells in numbered parts: the raw-cell sheet of an export."""
     cells = raw_rows.select("path", "line", F.posexplode("values").alias("column", "value"))
