@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_struct, with_clock
 from ..functions.money import MONEY, amount_text, is_empty, with_money
 from ..functions.text import plain_text
+from ..lineage import cut
 
 #: Direction words, currency words and status marks of statements.
 DIRECTION_WORDS = {
@@ -215,4 +216,5 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
     )
     review = F.exists("issues", lambda x: ~x.isin(*WARNINGS))
     made = [x for x in out.columns if x.startswith("_") and x not in given or x in MONEY_CELLS and x not in given]
-    return out.withColumn("parse_status", F.when(review, "needs_review").otherwise("ready")).drop(*made, *[x for x in missing if x not in ("source", "profile")])
+    # Written once: Spark would otherwise push what is asked of the result through all the steps above.
+    return cut(out.withColumn("parse_status", F.when(review, "needs_review").otherwise("ready")).drop(*made, *[x for x in missing if x not in ("source", "profile")]))
