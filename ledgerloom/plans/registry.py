@@ -11,7 +11,7 @@ from ..functions import privacy
 from ..functions.dates import date_struct
 from ..functions.money import with_money
 from ..lineage import cut
-from ..operators import analysis, browse, duplicates, evidence, normalize, ocr, pairing, refunds, review, totals
+from ..operators import analysis, browse, duplicates, evidence, facts, normalize, ocr_records, ocr, pairing, refunds, review, totals
 from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
@@ -636,6 +636,86 @@ def ocr_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "row", F.array_join(ocr.release_reasons(rows), ",").alias("reasons"))
 
 
+# --- readings and read models --------------------------------------------------------------------
+
+
+@register("""
+SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate + INTERVAL (o_custkey % 86400) SECOND - CASE o_orderkey % 4 WHEN 0 THEN INTERVAL (o_custkey % 86400) SECOND WHEN 1 THEN INTERVAL (o_custkey % 60) SECOND ELSE INTERVAL 0 SECOND END END AS starts,
+  starts + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 1 DAY WHEN 1 THEN INTERVAL 1 MINUTE ELSE INTERVAL 1 SECOND END AS ends FROM orders""")
+def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order times as half-open intervals of a day, a minute, a second or an unknown precision."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", "CAST(o_orderdate + make_dt_interval(0, 0, 0, o_custkey % 86400) AS STRING) AS value", "element_at(array('day', 'minute', 'second', 'hour'), CAST(o_orderkey % 4 AS INT) + 1) AS precision")
+    ranged = orders.withColumn("x", facts.time_range(F.col("value"), F.col("precision"), F.lit("local")))
+    return ranged.select("id", F.col("x.start").alias("starts"), F.col("x.end").alias("ends"))
+
+
+_READ = "l_orderkey * 10 + l_linenumber"
+
+
+@register(f"""
+WITH c AS (SELECT {_READ} AS id, l_extendedprice::DECIMAL(38,2) AS price, l_partkey % 4 AS kind, l_suppkey % 3 AS day, l_shipdate::DATE AS d, 1 - l_discount AS score FROM lineitem),
+r AS (SELECT *, CASE kind WHEN 0 THEN price WHEN 1 THEN price WHEN 2 THEN NULL ELSE 0 END AS amount, CASE kind WHEN 0 THEN 'out' WHEN 1 THEN 'in' WHEN 3 THEN 'none' END AS direction, CASE WHEN year(d) < 2000 THEN NULL WHEN day = 0 THEN d::VARCHAR WHEN day = 1 THEN d::VARCHAR || ' 10:20:30' END AS transaction_at FROM c)
+SELECT id, transaction_at, amount::DECIMAL(38,2) AS amount, direction, array_to_string(list_filter([CASE WHEN kind = 2 THEN 'AMBIGUOUS_DUAL_AMOUNT' END, CASE WHEN amount IS NULL THEN 'AMOUNT_UNREADABLE' END, CASE WHEN direction IS NULL THEN 'DIRECTION_UNKNOWN' END,
+  CASE WHEN transaction_at IS NULL THEN 'DATE_UNREADABLE' END, 'BALANCE_UNREADABLE', CASE WHEN score < 0.9 THEN 'LOW_OCR_SCORE' END], lambda x: x IS NOT NULL), ',') AS issues FROM r""")
+def recognised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised cells of both layouts, dates whole, with a clock or damaged; years before 2000 are not read."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        f"{_READ} AS id",
+        "CAST(CAST(l_extendedprice AS DECIMAL(38,2)) AS STRING) AS price",
+        "l_partkey % 4 AS kind",
+        "concat(CAST(CAST(l_shipdate AS DATE) AS STRING), element_at(array('', ' 10:20:30', ' 10:2'), CAST(l_suppkey % 3 AS INT) + 1)) AS day",
+        "array(1 - l_discount) AS scores",
+    )
+    layouts = [("0", ("signed",), ("concat('-￥', price)",)), ("1", ("signed",), ("concat('+', price)",)), ("2", ("credit", "debit"), ("price", "price")), ("3", ("credit", "debit"), ("'0.00'", "'-'"))]
+    cells = "CASE kind " + " ".join(f"WHEN {k} THEN map('date', day, {', '.join(f'{chr(39)}{f}{chr(39)}, {v}' for f, v in zip(fields, values))})" for k, fields, values in layouts) + " END AS cells"
+    read = ocr_records.ocr_rows_to_records(rows.selectExpr("id", cells, "scores"))
+    return read.select("id", "transaction_at", "amount", "direction", F.array_join("issues", ",").alias("issues"))
+
+
+@register(f"""
+WITH {_CURRENCY_SQL} SELECT count(*) FILTER (issue = 'CURRENCY_DEFAULTED') AS n_defaulted FROM currencies""")
+def currency_default_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = normalize.normalize_rows(adapter(spark, sf_dir, "cells")).select(F.explode("issues").alias("code"))
+    return totals.currency_defaults(issues)
+
+
+@register(f"""
+WITH {_AMOUNT_SQL}, flat AS (SELECT a.record_id, unnest(list_concat(CASE WHEN a.record_id % 5 = 3 THEN ['DATE_INVALID', 'DATE_MISSING'] ELSE []::VARCHAR[] END, a.issues)) AS code FROM amounts a),
+pointed AS (SELECT record_id, code, unnest(CASE WHEN code IN ('AMOUNT_INVALID', 'AMOUNT_CONFLICT', 'AMOUNT_MISSING') THEN ['amount'] WHEN code IN ('BOTH_DIRECTIONS', 'DIRECTION_CONFLICT') THEN ['amount', 'direction'] WHEN code IN ('DIRECTION_UNKNOWN', 'DIRECTION_MISSING') THEN ['direction'] ELSE ['transaction_at'] END) AS field FROM flat)
+SELECT record_id, field, array_to_string(list_sort(list(DISTINCT code)), ',') AS reasons, CASE field WHEN 'amount' THEN '1' WHEN 'direction' THEN '2' ELSE '0' END AS columns FROM pointed GROUP BY 1, 2""")
+def review_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the errors of each record point at, and the columns of its row."""
+    read = normalize.normalize_rows(adapter(spark, sf_dir, "cells")).select("record_id", "issues")
+    layout = F.create_map(*[F.lit(x) for pair in {"transaction_at": 0, "amount": 1, "direction": 2}.items() for x in pair])
+    records = read.select("record_id", F.lit("pending").alias("review_status"), layout.alias("columns"))
+    flat = read.select("record_id", F.explode("issues").alias("code"))
+    errors = flat.where(~F.col("code").isin("CURRENCY_CONFLICT")).withColumn("severity", F.when(F.col("code").isin(*normalize.WARNINGS), "warning").otherwise("error"))
+    found = review.field_attention(records, errors)
+    return found.select("record_id", "field", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("columns", lambda i: i.cast("string")), ",").alias("columns"))
+
+
+@register("""
+WITH m AS (SELECT source, lang, count(*) AS n, CASE WHEN source IS NULL OR lang IS NULL THEN 1 ELSE 0 END AS odd FROM documents GROUP BY ALL)
+SELECT source AS book_id, lang AS batch_id, n::BIGINT AS n, odd::BIGINT AS blockers FROM m WHERE source IS NOT NULL
+UNION ALL SELECT source, NULL, sum(n)::BIGINT, sum(odd)::BIGINT FROM m WHERE source IS NOT NULL GROUP BY 1""")
+def book_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source and language as batches of a book, and each source's sum."""
+    batches = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("book_id"), F.col("lang").alias("batch_id")).agg(F.count("*").alias("n"))
+    return totals.book_rollup(batches.withColumns({"blockers": F.lit(0), "readable": F.col("book_id").isNotNull() & F.col("batch_id").isNotNull()}), ["n"])
+
+
+@register(f"""
+WITH l AS {q("ledger")}, k AS (SELECT *, CASE WHEN id % 6 = 0 THEN id - id % 18 ELSE id END AS key FROM l WHERE source = '微信'),
+g AS (SELECT key, min(book_record_id) AS first FROM k GROUP BY 1)
+SELECT k.book_record_id, g.first AS transaction_id FROM k JOIN g USING (key)""")
+def source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platform rows of which each third even one is exported again, in a file of its own."""
+    rows = adapter(spark, sf_dir, "ledger").where("source = '微信'").withColumn("_key", F.when(F.col("id") % 6 == 0, F.col("id") - F.col("id") % 18).otherwise(F.col("id")))
+    same = ("amount", "direction", "transaction_at", "transaction_status", "raw_status", "account")
+    made = rows.withColumns({"source_record_id": F.concat(F.lit("native"), F.col("_key").cast("string")), "file_id": (F.col("id") % 18).cast("string"), "batch_id": F.lit("b")} | {c: F.lit("1") for c in same})
+    return duplicates.source_duplicates(made)
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
