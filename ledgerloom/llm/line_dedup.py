@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 from .linking import link_components
 
-#: Blocks, and minima in a block, for lines of few and of many features; lines between get both.
+#: Blocks of long lines, and minima in a block, for lines of few and of many features; lines between get both.
 BLOCKS, SHORT, LONG = 12, 2, 3
 SHORT_TO, LONG_FROM = 14, 10
 #: Of the first 16 minima, kept as four bits each, so many have to agree.
-SKETCHED, LEAST_EQUAL = 16, 6
+SKETCHED, LEAST_EQUAL = 16, 5
 #: Longer words, as of scripts without spaces, count as their character trigrams.
 LONGEST_WORD = 20
 
@@ -59,11 +59,14 @@ def sketched(lines: DataFrame) -> DataFrame:
     m = lambda k: F.element_at("_m", k + 1)
     folded = F.lit(0).cast("long")
     for k in range(SKETCHED):  # spread over the points, so that short lines' repeated minima weigh less
-        folded = folded.bitwiseOR(F.shiftleft(F.xxhash64(m(k * 9 % (BLOCKS * LONG))).bitwiseAND(F.lit(15).cast("long")), 4 * k))
-    # A block's minima stand far apart: neighbouring points often have the same one.
-    block = lambda rows: F.array(*[F.xxhash64(F.lit(rows), F.lit(b), *[m(b + r * BLOCKS) for r in range(rows)]) for b in range(BLOCKS)])
+        folded = folded.bitwiseOR(F.shiftleft(F.xxhash64(m(k * 7 % (BLOCKS * LONG))).bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    # A block's minima stand far apart: neighbouring points often have the same one. Short lines have few
+    # features to differ in, so their blocks start at every point.
+    points = BLOCKS * LONG
+    block = lambda rows, count: F.array(*[F.xxhash64(F.lit(rows), F.lit(b), *[m((b + r * BLOCKS) % points) for r in range(rows)]) for b in range(count)])
+    short, long = block(SHORT, points), block(LONG, BLOCKS)
     n = F.size("_h")
-    keys = F.when(n < LONG_FROM, block(SHORT)).when(n > SHORT_TO, block(LONG)).otherwise(F.concat(block(SHORT), block(LONG)))
+    keys = F.when(n < LONG_FROM, short).when(n > SHORT_TO, long).otherwise(F.concat(short, long))
     return found.withColumns({"sketch": F.struct(folded.alias("bits"), F.length("norm").alias("length")), "keys": keys}).drop("_h", "_m")
 
 
