@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .alignment import align_tokenizers
+from .common import WORD, let, table, words
 from .embeddings import link_vectors
+from .language_mix import identify_languages
 from .line_crf import classify_quality
 from .line_dedup import dedup_lines
 from .lm_scoring import cross_entropy_difference
@@ -15,6 +17,7 @@ from .packing import pack_documents
 from .quality_rules import judge_quality
 from .simhash import simhash_groups
 from .site_style_tree import extract_main_text
+from .tandem_runs import tandem_runs
 from .token_counts import count_section_tokens
 
 
@@ -68,7 +71,45 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_lm_scoring, op9_line_crf_quality, op10_source_mixing)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = identify_languages(docs.select("doc_id", "text", "lang"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by its hash, repeats a part of itself from a word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(w):
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        copies = F.ceil((n - a) / p).cast("int")
+        return F.array_join(F.slice(F.concat(F.slice(w, 1, a), F.flatten(F.array_repeat(F.slice(w, a + 1, p), copies))), 1, n), " ")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD), let(words(F.col("text")), repeat)).otherwise(F.col("text")).alias("text"))
+    found = tandem_runs(docs)
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    found = found.withColumn("longest", F.array_min(order))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    length, period = -F.col("longest.less"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_line_dedup, op8_lm_scoring, op9_line_crf_quality, op10_source_mixing, op11_language_id, op12_periodic_runs, op13_tokenizer_alignment)}
 
 OP10_SQL = r"""
 WITH RECURSIVE sized AS (
