@@ -8,14 +8,14 @@ A task tokenises each text once with both vocabularies; from there on Spark's ar
 * the number of documents that hold an id pair linked is a grouped count over each document's distinct
   pairs, which is combined before the shuffle;
 * the counts meet the documents in slices of a fixed number of pairs, each slice broadcast to the
-  documents' exploded pairs. The number of slices follows from the number of distinct pairs, which the two
-  vocabularies bound, so the documents' own pairs are never shuffled.
+  documents' exploded links. The number of slices follows from the number of distinct pairs, which the two
+  vocabularies bound, so the documents' own links are never shuffled.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import chain
 
@@ -35,7 +35,7 @@ from .tandem_runs import ranges
 from .vocab import _byte_letters, chunks
 
 #: Tokens of known words that a worker keeps; beyond, it starts anew with the next batch.
-KEPT_TOKENS = 6_000_000
+KEPT_TOKENS = 2_500_000
 #: Pairs in a slice of counts that is broadcast: 32 MB as rows.
 SLICE = 2_000_000
 #: The piece vocabulary's sign for a space.
@@ -163,56 +163,46 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, byte_bpe: str, piece_b
     return docs.select(id_text(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
-def _bits(size: int) -> int:
-    return (size + 1).bit_length()
+def token_at(ends: Column) -> Column:
+    """The place of the token that holds each byte, byte by byte."""
+    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, 0).otherwise(ends[i - 1]))))
 
 
-def group_lists(ids: Column, ends: Column, common: Column, bits: int) -> Column:
-    """The ids of each group, joined by commas: array<string>, with an empty text at its end.
-
-    Each token becomes its end and id in one number, each shared end the largest number of that end; sorted,
-    the shared ends stand where the groups end.
-    """
-    mark = (1 << bits) - 1
-    tokens = F.transform(ends, lambda e, i: F.coalesce(F.shiftleft(e.cast("long"), bits).bitwiseOR(ids[i].cast("long")), F.lit(0).cast("long")))
-    cuts = F.transform(common, lambda e: F.shiftleft(e.cast("long"), bits).bitwiseOR(F.lit(mark).cast("long")))
-    shown = F.transform(F.sort_array(F.concat(tokens, cuts)), lambda x: F.when(x.bitwiseAND(mark) == mark, ";").otherwise(F.concat(x.bitwiseAND(mark).cast("string"), F.lit(","))))
-    return F.split(F.replace(F.array_join(shown, ""), F.lit(",;"), F.lit(";")), ";")
+def group_text(sides: list[tuple[Column, Column]], ends: Column) -> Column:
+    """'a1,a2|b1;a3|b2,b3': sides has the ids as texts and, for each group, the place of its last token."""
 
+    def part(ids: Column, last: Column, k: Column) -> Column:
+        first = F.when(k == 0, 0).otherwise(last[k - 1] + 1)
+        return F.when(first == last[k], ids[first]).otherwise(F.array_join(F.slice(ids, first + 1, last[k] - first + 1), ","))
 
-def token_at(ids: Column, ends: Column) -> Column:
-    """The id of the token that holds each byte, byte by byte."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(ids[i], e - F.when(i == 0, 0).otherwise(ends[i - 1]))))
+    return F.array_join(F.transform(ends, lambda _, k: F.concat(part(*sides[0], k), F.lit("|"), part(*sides[1], k))), ";")
 
 
-def align(tokens: DataFrame, a_size: int, b_size: int) -> DataFrame:
-    """tokens with n_a, n_b, n_groups, n_links, groups (text), pairs and times: its distinct linked pairs
-    (a << bits | b) and how often each is linked."""
-    a_bits, b_bits = _bits(a_size), _bits(b_size)
+def align(tokens: DataFrame, b_bits: int, keep: Callable[[Column], Column]) -> DataFrame:
+    """tokens as id, n_a, n_b, n_groups, n_links, groups (what keep makes of their text) and links: the linked
+    id pairs, a << b_bits | b, in order."""
     shared = tokens.select("id", "a", "a_ends", "b", "b_ends", F.array_intersect("a_ends", "b_ends").alias("common"), F.array_union("a_ends", "b_ends").alias("cuts"))
-    pair = lambda at_a, at_b: lambda e: F.coalesce(F.shiftleft(at_a[e - 1].cast("long"), b_bits).bitwiseOR(at_b[e - 1].cast("long")), F.lit(0).cast("long"))
-    links = let(token_at(F.col("a"), F.col("a_ends")), lambda at_a: let(token_at(F.col("b"), F.col("b_ends")), lambda at_b: F.transform("cuts", pair(at_a, at_b))))
-    sides = [group_lists(F.col(x), F.col(f"{x}_ends"), F.col("common"), bits) for x, bits in (("a", a_bits), ("b", b_bits))]
-    groups = F.array_join(F.filter(F.zip_with(*sides, lambda x, y: F.concat(x, F.lit("|"), y)), lambda x: x != "|"), ";")
-    linked = shared.select(
-        "id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("common").cast("long").alias("n_groups"),
-        F.size("cuts").cast("long").alias("n_links"), groups.alias("groups"), F.sort_array(links).alias("links"),
-    )
-    starts = F.when(F.size("links") > 0, F.filter(F.sequence(F.lit(0), F.size("links") - 1), lambda i: (i == 0) | (F.col("links")[i] != F.col("links")[F.greatest(i - 1, F.lit(0))]))).otherwise(F.array().cast("array<int>"))
-    kept = [c for c in linked.columns if c != "links"]
-    return linked.select(*kept, "links", starts.alias("starts")).select(
-        *kept,
-        F.transform("starts", lambda i: F.col("links")[i]).alias("pairs"),
-        F.transform("starts", lambda i, k: F.coalesce(F.get("starts", k + 1), F.size("links")) - i).alias("times"),
-    )
+    a, b, common, cuts, zero = F.col("a"), F.col("b"), F.col("common"), F.col("cuts"), F.lit(0).cast("long")
+
+    def both(at_a: Column, at_b: Column) -> Column:
+        links = F.transform(cuts, lambda e: F.coalesce(F.shiftleft(a[at_a[e - 1]].cast("long"), b_bits).bitwiseOR(b[at_b[e - 1]].cast("long")), zero))
+        lasts = F.transform(common, lambda e: at_a[e - 1]), F.transform(common, lambda e: at_b[e - 1])
+        texts = [x.cast("array<string>") for x in (a, b)]
+        groups = let(lasts[0], lambda la: let(lasts[1], lambda lb: let(texts[0], lambda ta: let(texts[1], lambda tb: group_text([(ta, la), (tb, lb)], common)))))
+        return F.struct(groups.alias("groups"), links.alias("links"))
+
+    made = let(token_at(F.col("a_ends")), lambda at_a: let(token_at(F.col("b_ends")), lambda at_b: both(at_a, at_b)))
+    linked = shared.select("id", *[F.size(x).cast("long").alias(n) for x, n in (("a", "n_a"), ("b", "n_b"), ("common", "n_groups"), ("cuts", "n_links"))], made.alias("made"))
+    return linked.select(*linked.columns[:-1], keep(F.col("made.groups")).alias("groups"), F.sort_array("made.links").alias("links"))
 
 
 def align_tokenizers(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None, piece_bpe: str | None = None, slice_rows: int = SLICE
-) -> DataFrame:
-    """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups (text).
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None, piece_bpe: str | None = None,
+    keep: Callable[[Column], Column] = lambda groups: groups, slice_rows: int = SLICE,
+) -> DataFrame:
+    """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups.
 
-    groups: 'a1,a2|b1;a3|b2,b3'. A pair's count is the number of rows that hold it linked; count_sum adds it
+    groups: 'a1,a2|b1;a3|b2,b3', or what keep makes of that text (a digest saves writing it). A pair's count is the number of rows that hold it linked; count_sum adds it
     over a row's links, n_best counts the links whose count is the highest of their A id. Texts that are null,
     empty, or not given back by either tokenizer have no tokens: zeros and an empty text. Every row gives one
     row and counts as a document of its own, also if its id is null or shared; other columns do not matter.
@@ -223,22 +213,20 @@ def align_tokenizers(
     paths = byte_bpe or public_tokenizers.path("byte_bpe_50k.json"), piece_bpe or public_tokenizers.path("piece_bpe_32k.model")
     both = encoders(*paths)
     tokens = tokenise(docs, id_col, text_col, *paths)
-    aligned = align(tokens, len(both.a_bytes), len(both.b_bytes)).withColumn("row", F.monotonically_increasing_id())
-    saved = scratch.save(aligned)
-
-    counted = saved.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
-    counted = scratch.save(counted)
-    a_of = F.shiftright("pair", _bits(len(both.b_bytes)))
-    most = counted.groupBy(a_of.alias("a")).agg(F.max("held").alias("most"))  # no more rows than the vocabulary has
-    known = counted.join(most, a_of == F.col("a")).select("pair", "held", (F.col("held") == F.col("most")).alias("best"))
-    known = scratch.save(known)
+    b_bits = len(both.b_bytes).bit_length()
+    saved = scratch.save(align(tokens, b_bits, keep).withColumn("row", F.monotonically_increasing_id()))
+
+    counted = scratch.save(saved.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("held")))
+    a_of = F.shiftright("pair", b_bits)
+    most = counted.groupBy(a_of.alias("a")).agg(F.max("held").alias("most"))
+    known = scratch.save(counted.join(most, a_of == F.col("a")).select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best")))
     n_slices = max(1, -(-known.count() // slice_rows))
-    own = saved.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").cast("long").alias("times"))
+    own = saved.select("row", F.explode("links").alias("pair"))
     slices = [known if n_slices == 1 else known.where(F.pmod(F.xxhash64("pair"), F.lit(n_slices)) == k) for k in range(n_slices)]
-    met = [own.join(F.broadcast(s), "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("held")).alias("count_sum")) for s in slices]
+    met = [own.join(F.broadcast(s), "pair").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("held").alias("count_sum")) for s in slices]
     sums = reduce(DataFrame.unionAll, met)
     if n_slices > 1:
         sums = sums.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    out = saved.drop("pairs", "times").join(sums, "row", "left")
+    out = saved.drop("links").join(sums, "row", "left")
     none = F.lit(0).cast("long")
     return out.select(id_back(docs, id_col, F.col("id")).alias(id_col), "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, none).alias(c) for c in ("n_best", "count_sum")], "groups")

@@ -104,8 +104,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=lambda groups: F.sha2(groups, 256))
+    digest = F.when(F.col("n_a") > 0, F.col("groups")).otherwise("")
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
