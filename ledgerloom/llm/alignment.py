@@ -35,7 +35,7 @@ from .tandem_runs import ranges
 from .vocab import _byte_letters, chunks
 
 #: Tokens of known words that a worker keeps; beyond, it starts anew with the next batch.
-KEPT_TOKENS = 2_500_000
+KEPT_TOKENS = 5_000_000
 #: Pairs in a slice of counts that is broadcast: 32 MB as rows.
 SLICE = 2_000_000
 #: The piece vocabulary's sign for a space.
@@ -165,15 +165,15 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, byte_bpe: str, piece_b
 
 def token_at(ends: Column) -> Column:
     """The place of the token that holds each byte, byte by byte."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i == 0, 0).otherwise(ends[i - 1]))))
+    return let(F.concat(F.array(F.lit(0)), ends), lambda starts: F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - starts[i]))))
 
 
 def group_text(sides: list[tuple[Column, Column]], ends: Column) -> Column:
-    """'a1,a2|b1;a3|b2,b3': sides has the ids as texts and, for each group, the place of its last token."""
+    """'a1,a2|b1;a3|b2,b3': sides has the ids as texts and, after a -1, the place of each group's last token."""
 
     def part(ids: Column, last: Column, k: Column) -> Column:
-        first = F.when(k == 0, 0).otherwise(last[k - 1] + 1)
-        return F.when(first == last[k], ids[first]).otherwise(F.array_join(F.slice(ids, first + 1, last[k] - first + 1), ","))
+        n = last[k + 1] - last[k]
+        return F.when(n == 1, ids[last[k + 1]]).otherwise(F.array_join(F.slice(ids, last[k] + 2, n), ","))
 
     return F.array_join(F.transform(ends, lambda _, k: F.concat(part(*sides[0], k), F.lit("|"), part(*sides[1], k))), ";")
 
@@ -186,7 +186,7 @@ def align(tokens: DataFrame, b_bits: int, keep: Callable[[Column], Column]) -> D
 
     def both(at_a: Column, at_b: Column) -> Column:
         links = F.transform(cuts, lambda e: F.coalesce(F.shiftleft(a[at_a[e - 1]].cast("long"), b_bits).bitwiseOR(b[at_b[e - 1]].cast("long")), zero))
-        lasts = F.transform(common, lambda e: at_a[e - 1]), F.transform(common, lambda e: at_b[e - 1])
+        lasts = [F.concat(F.array(F.lit(-1)), x) for x in (F.transform(common, lambda e: at_a[e - 1]), F.transform(common, lambda e: at_b[e - 1]))]
         texts = [x.cast("array<string>") for x in (a, b)]
         groups = let(lasts[0], lambda la: let(lasts[1], lambda lb: let(texts[0], lambda ta: let(texts[1], lambda tb: group_text([(ta, la), (tb, lb)], common)))))
         return F.struct(groups.alias("groups"), links.alias("links"))
