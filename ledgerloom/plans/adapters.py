@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: name: (table, condition, {column: expression})
 ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
@@ -137,12 +138,34 @@ ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
         "true",
         {"page_id": "l_orderkey * 100000 + l_partkey * 10 + l_suppkey % 10", "row": "l_linenumber", "v0": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END", "v1": "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'x' ELSE CAST(l_partkey % 9 AS STRING) END", "v2": "CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END"},
     ),
+    "page_views": (
+        "lineitem CROSS JOIN (VALUES ('original', 0), ('dark_gray', 1), ('dark_neutral', 2)) AS v(view, k)",
+        # A view of some pages lacks a row.
+        "NOT (k = 1 AND l_orderkey % 13 = 0 AND l_linenumber = 1)",
+        {
+            "page_id": "l_orderkey",
+            "view": "view",
+            "row": "(l_partkey * 1000000 + l_suppkey % 1000 * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT)) * 3 + k",
+            "date_x": "CAST(10 + k AS DOUBLE)",
+            "date_y": "CAST((l_partkey * 1000000 + l_suppkey % 1000 * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT)) * 40 + k * (l_orderkey % 4) AS DOUBLE)",
+            "date_width": "CAST(80 AS DOUBLE)",
+            "row_height": "CAST(14 AS DOUBLE)",
+            "transaction_at": "CASE WHEN l_partkey % 11 = k THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END",
+            "amount": "CASE WHEN (l_partkey + k) % 7 = 0 THEN NULL WHEN k = 2 AND l_suppkey % 9 = 0 THEN '1.00' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) END",
+            "direction": "CASE WHEN (l_suppkey + k) % 8 = 0 THEN NULL ELSE 'out' END",
+            "balance": "CASE WHEN l_partkey % 3 = 0 OR k = 0 AND l_partkey % 2 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END",
+        },
+    ),
 }
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, condition, columns = ADAPTERS[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").where(condition).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
+    table, _, joined = table.partition(" CROSS JOIN ")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if joined:  # a few rows that the text itself names
+        rows = rows.crossJoin(F.broadcast(spark.sql(f"SELECT * FROM {joined}")))
+    return rows.where(condition).selectExpr(*[f"{e} AS `{c}`" for c, e in columns.items()])
 
 
 def adapter_sql(name: str) -> str:

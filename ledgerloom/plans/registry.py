@@ -11,7 +11,7 @@ from ..functions import privacy
 from ..functions.dates import date_struct
 from ..functions.money import with_money
 from ..lineage import cut
-from ..operators import analysis, browse, duplicates, evidence, facts, normalize, ocr_records, ocr, pairing, refunds, review, totals
+from ..operators import analysis, browse, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, pairing, refunds, review, totals
 from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
@@ -275,7 +275,7 @@ def field_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- refunds -------------------------------------------------------------------------------------
 
 _REFUNDS = f"""
-WITH c AS {q("refund_lines")}, e AS {q("refund_orders")}, cand AS (
+WITH RECURSIVE c AS {q("refund_lines")}, e AS {q("refund_orders")}, cand AS (
   SELECT c.id AS credit_id, e.id AS expense_id, c.money AS amount, e.money AS room FROM c JOIN e ON c.source_record_id = e.source_record_id AND c.source = e.source
   WHERE c.money <= e.money AND c.at >= e.at
 )"""
@@ -302,6 +302,35 @@ def refund_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claimed.withColumn("over_capacity", F.col("claimed") > F.col("room"))
 
 
+@register(_REFUNDS + """, single AS (SELECT credit_id, expense_id, min(amount) AS amount, min(room) AS room FROM cand GROUP BY 1, 2
+), both_ends AS (
+  SELECT * FROM single UNION ALL SELECT s.credit_id, e.id, s.amount, e.money FROM single s JOIN e ON e.id = xor(s.expense_id, 1) WHERE s.credit_id % 3 = 0 AND s.amount <= e.money
+), ruled AS (
+  SELECT *, printf('%012d-%012d', credit_id, expense_id) AS id, (credit_id + expense_id) % 5 < 3 AS accepted, (credit_id + expense_id) % 5 = 3 AS unruled, expense_id // 2 AS book,
+    count(*) OVER (PARTITION BY credit_id) AS n_expenses, sum(amount) OVER (PARTITION BY expense_id) AS total
+  FROM both_ends
+), steps AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY id) AS k FROM ruled
+), walk AS (  -- one candidate of each book after the other, with the links so far
+  SELECT book, 0::BIGINT AS k, NULL::VARCHAR AS id, false AS linked, []::STRUCT(c BIGINT, e BIGINT, a DECIMAL(18,2))[] AS links FROM steps GROUP BY book
+  UNION ALL
+  SELECT book, k, id, ok, CASE WHEN ok THEN list_append(links, {'c': credit_id, 'e': expense_id, 'a': amount}) ELSE links END FROM (
+    SELECT s.*, w.links, len(list_filter(w.links, lambda x: x.c = s.credit_id)) = 0
+      AND coalesce(list_sum(list_transform(list_filter(w.links, lambda x: x.e = s.expense_id), lambda x: x.a)), 0) + s.amount <= s.room
+      AND (s.accepted OR (s.unruled AND s.n_expenses = 1 AND s.total <= s.room)) AS ok
+    FROM walk w JOIN steps s ON s.book = w.book AND s.k = w.k + 1))
+SELECT s.id, s.credit_id, s.expense_id, s.accepted, w.linked FROM steps s JOIN walk w ON w.book = s.book AND w.k = s.k""")
+def refund_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links under a person's rulings: refunds with rival purchases, purchases with rival refunds."""
+    near = _refunds(spark, sf_dir).groupBy("credit_id", "expense_id").agg(F.min("amount").alias("amount"), F.min("room").alias("room"))
+    orders = adapter(spark, sf_dir, "refund_orders").select(F.col("id").alias("expense_id"), F.col("money").alias("room"))
+    # A purchase's number with its last bit turned names its rival.
+    rival = near.where("credit_id % 3 = 0").select("credit_id", F.col("expense_id").bitwiseXOR(F.lit(1)).alias("expense_id"), "amount").join(orders, "expense_id").where("amount <= room")
+    rows = near.unionByName(rival.select(*near.columns))
+    mix = F.pmod(F.col("credit_id") + F.col("expense_id"), F.lit(5))
+    rows = rows.withColumns({"id": F.format_string("%012d-%012d", "credit_id", "expense_id"), "accepted": mix < 3, "unruled": mix == 3})
+    return refunds.allocate_accepted(rows).select("id", "credit_id", "expense_id", "accepted", "linked")
+
+
 # --- canonicalisation ----------------------------------------------------------------------------
 
 _MONEY_SQL = r"""CASE WHEN {c} IN ('', '-', '--', '/') THEN NULL
@@ -525,7 +554,7 @@ def review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""
-WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(^|[^A-Za-z0-9])\+?[0-9][0-9 ()-]{6,}[0-9]', '\1[number]', 'g') AS masked FROM documents)
+WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[\p{L}\p{Nd}_.+-]+@[\p{L}\p{Nd}_.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(^|[^A-Za-z0-9])\+?\p{Nd}[\p{Nd} ()-]{6,}\p{Nd}', '\1[number]', 'g') AS masked FROM documents)
 SELECT doc_id, md5(masked) AS masked_md5 FROM m""")
 def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(privacy.mask_patterns(F.col("text"))).alias("masked_md5"))
@@ -672,6 +701,60 @@ def recognised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", "transaction_at", "amount", "direction", F.array_join("issues", ",").alias("issues"))
 
 
+_VIEWS = f"""
+WITH o AS MATERIALIZED {q("page_views")}, bad AS (SELECT DISTINCT page_id, 'dark_neutral' AS view FROM o WHERE page_id % 17 = 0),
+base AS (SELECT * FROM o WHERE view = 'original'), other AS (SELECT * FROM o WHERE view <> 'original' AND (page_id, view) NOT IN (SELECT page_id, view FROM bad)),
+hit AS (
+  SELECT b.page_id, x.view, b.row, x.row AS other_row FROM base b JOIN other x ON b.page_id = x.page_id
+    AND abs(b.date_y - x.date_y) <= least(b.row_height, x.row_height) * 0.3 AND abs(b.date_x - x.date_x) <= greatest(b.date_width, x.date_width) * 0.5
+), n_base AS (SELECT page_id, count(*) AS n FROM base GROUP BY 1), n_other AS (SELECT page_id, view, count(*) AS m FROM other GROUP BY 1, 2),
+good AS (
+  SELECT page_id, view FROM (SELECT page_id, view, count(*) AS k, count(DISTINCT row) AS r, count(DISTINCT other_row) AS t FROM hit GROUP BY 1, 2)
+  JOIN n_base USING (page_id) JOIN n_other USING (page_id, view) WHERE n = m AND k = n AND r = n AND t = n
+), seen AS (
+  SELECT page_id, row, view, transaction_at, amount, direction, balance FROM base
+  UNION ALL SELECT h.page_id, h.row, h.view, x.transaction_at, x.amount, x.direction, x.balance FROM hit h JOIN good USING (page_id, view) JOIN other x ON x.page_id = h.page_id AND x.view = h.view AND x.row = h.other_row
+), groups AS (
+  SELECT page_id, row, view, unnest(['transaction_at', 'amount+direction', 'balance']) AS grp, unnest([transaction_at, amount, balance]) AS a, unnest(['', direction, '']) AS b FROM seen
+), judged AS (
+  SELECT page_id, row, grp, max(CASE WHEN view = 'original' THEN a END) AS a0, max(CASE WHEN view = 'original' THEN b END) AS b0, count(DISTINCT a) > 1 OR count(DISTINCT b) > 1 AS differ,
+    count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS wholes, count(*) AS views, max(a) AS a1, max(b) AS b1
+  FROM groups GROUP BY 1, 2, 3
+), told AS (
+  SELECT *, a0 IS NOT NULL AND b0 IS NOT NULL AS stated FROM judged
+), done AS (
+  SELECT page_id, row, grp, a0, b0, CASE WHEN differ THEN NULL WHEN NOT stated AND wholes >= 2 THEN a1 ELSE a0 END AS a2, CASE WHEN differ THEN NULL WHEN NOT stated AND wholes >= 2 THEN b1 ELSE b0 END AS b2,
+    CASE WHEN differ THEN 'OCR_VIEW_CONFLICT:' || grp WHEN stated AND wholes < views THEN 'VIEW_LOST_FIELD:' || grp WHEN NOT stated AND wholes >= 2 THEN 'RECOVERED_FROM_DERIVED_VIEWS:' || grp WHEN NOT stated THEN 'UNRESOLVED_FIELD:' || grp END AS issue
+  FROM told
+)"""
+
+
+def _merged_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen = adapter(spark, sf_dir, "page_views")
+    bad = seen.where("page_id % 17 = 0").select("page_id", F.lit("dark_neutral").alias("view"), F.lit("HEADER_UNREADABLE").alias("code")).distinct()
+    return observations.merge_observations(seen, bad)
+
+
+@register(_VIEWS + """
+SELECT page_id, row, max(a2) FILTER (grp = 'transaction_at') AS transaction_at, max(a2) FILTER (grp = 'amount+direction') AS amount, max(b2) FILTER (grp = 'amount+direction') AS direction, max(a2) FILTER (grp = 'balance') AS balance,
+  concat_ws(',', 'OCR_REQUIRES_REVIEW', max(issue) FILTER (grp = 'transaction_at'), max(issue) FILTER (grp = 'amount+direction'), max(issue) FILTER (grp = 'balance')) AS issues,
+  count(*) FILTER (a0 IS DISTINCT FROM a2 OR grp = 'amount+direction' AND b0 IS DISTINCT FROM b2) AS n_changes
+FROM done GROUP BY 1, 2""")
+def page_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of recognised pages as three views of them agree or differ."""
+    proposals, _ = _merged_views(spark, sf_dir)
+    return proposals.select("page_id", "row", *[f for g in observations.GROUPS for f in g], F.array_join("issues", ",").alias("issues"), F.size("changes").cast("long").alias("n_changes"))
+
+
+@register(_VIEWS + """
+SELECT page_id, string_agg('VIEW_LAYOUT_MISMATCH:' || view, ',' ORDER BY view) AS issues
+FROM (SELECT DISTINCT page_id, view FROM (SELECT page_id, view FROM o UNION SELECT page_id, view FROM bad) WHERE view <> 'original') WHERE (page_id, view) NOT IN (SELECT page_id, view FROM good) AND page_id IN (SELECT page_id FROM base) GROUP BY 1""")
+def page_view_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of recognised pages that do not correspond to the original row by row."""
+    _, issues = _merged_views(spark, sf_dir)
+    return issues.select("page_id", F.array_join("issues", ",").alias("issues"))
+
+
 @register(f"""
 WITH {_CURRENCY_SQL} SELECT count(*) FILTER (issue = 'CURRENCY_DEFAULTED') AS n_defaulted FROM currencies""")
 def currency_default_count(spark: SparkSession, sf_dir: str) -> DataFrame:

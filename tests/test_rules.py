@@ -130,6 +130,31 @@ def test_refund_links_within_capacity(spark):
     assert {r.id: r.linked for r in refunds.allocate_accepted(person).collect()} == {"c1": True, "c2": False}
 
 
+def test_refund_allocation_over_both_ends(spark):
+    import random
+
+    schema = "id string, credit_id string, expense_id string, amount int, room int, accepted boolean, unruled boolean"
+    chance, rows = random.Random(4), []
+    for book in range(40):
+        room = {f"e{book}-{i}": chance.randint(10, 60) for i in range(4)}
+        pairs = {(f"c{book}-{chance.randint(0, 5)}", chance.choice(sorted(room))) for _ in range(chance.randint(1, 14))}
+        size = {c: chance.randint(1, 30) for c, _ in sorted(pairs)}
+        for c, e in sorted(pairs):
+            choice = chance.choice(["accept", None, "reject"])
+            rows.append((f"{chance.random():.9f}{c}{e}", c, e, size[c], room[e], choice == "accept", choice is None))
+    expected, used, given = {}, {}, set()
+    for id_, c, e, amount, room, accepted, unruled in sorted(rows):
+        alone = sum(r[1] == c for r in rows) == 1 and sum(r[3] for r in rows if r[2] == e) <= room
+        expected[id_] = c not in given and used.get(e, 0) + amount <= room and (accepted or unruled and alone)
+        if expected[id_]:
+            given.add(c)
+            used[e] = used.get(e, 0) + amount
+    assert {r.id: r.linked for r in refunds.allocate_accepted(spark.createDataFrame(rows, schema)).collect()} == expected
+    twice = [("1", "c", "e", 5, 9, True, False), ("2", "c", "f", 5, 9, True, False)]
+    assert {r.id: r.linked for r in refunds.allocate_accepted(spark.createDataFrame(twice, schema)).collect()} == {"1": True, "2": False}
+    assert refunds.allocate_accepted(spark.createDataFrame([], schema)).count() == 0
+
+
 MONEY = [
     ("-￥1,234.50", "-1234.50"), ("￥-1,234.50", "-1234.50"), ("（￥1,234.50）", "-1234.50"), ("人民币负1,234.50", "-1234.50"), ("1,234.50-", "-1234.50"), ("−1234.50", "-1234.50"),
     ("+￥1,234.50", "1234.50"), ("￥+1,234.50", "1234.50"), ("1234.50元", "1234.50"), ("USD +1,234.50", "1234.50"),
@@ -311,6 +336,9 @@ def test_private_texts(spark):
     rows = spark.createDataFrame([(1, "to Ann Lee at 13800001111 or a@b.cn"), (2, "密码 1"), (3, None)], "id int, t string")
     masked = {r.id: r.t for r in rows.select("id", privacy.outbound_text(F.col("t")).alias("t")).collect()}
     assert masked == {1: "to Ann Lee at [number] or [mail]", 2: privacy.OMITTED, 3: ""}
+    other = spark.createDataFrame([("call １３８００１３８０００ or ٠١٢٣٤٥٦٧٨٩, not 1234567",)], "t string")
+    assert other.select(privacy.mask_patterns(F.col("t"))).first()[0] == "call [number] or [number], not 1234567"
+    assert not any(c.isdigit() for c in other.select(privacy.token_patterns(b"k")(F.col("t"))).first()[0].split(" or ")[0].replace("call P", "")[20:])
     key = b"k"
     token = {r.value: r.t for r in spark.createDataFrame([("Ann",), ("Ann Lee",), ("张三丰",)], "value string").select("value", privacy.hmac_token(key)(F.col("value")).alias("t")).collect()}
     names = spark.createDataFrame([(v,) for v in token], "value string")
