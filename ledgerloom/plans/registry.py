@@ -11,7 +11,7 @@ from ..functions import privacy
 from ..functions.dates import date_struct
 from ..functions.money import with_money
 from ..lineage import cut
-from ..operators import analysis, browse, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, pairing, refunds, review, totals
+from ..operators import analysis, browse, commands, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, pairing, refunds, review, totals
 from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
@@ -472,6 +472,86 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.change_log(adapter(spark, sf_dir, "base_records"), _effective(spark, sf_dir), "record_id", ["counterparty", "description"])
 
 
+#: Commands of made-up reviewers, one for each turn: k is its place in its workspace, p that of its payload (some
+#: repeat the one before), and four after each other name the same revision.
+_COMMAND_ROWS = """
+SELECT CAST(conv_id % 8 AS STRING) AS ws, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS k FROM {conversations}"""
+_COMMANDS = """
+SELECT ws, k, CASE WHEN k % 8 = 1 THEN k - 1 ELSE k END AS p, CASE WHEN k % 4 = 1 THEN k - 1 ELSE k END AS r, CAST(floor(k / 4) AS BIGINT) AS expected FROM {rows}"""
+_PAYLOADS = """
+SELECT ws, k, expected, concat('request-', CAST(r AS STRING)) AS request_id, CASE p % 9 WHEN 4 THEN 'exclude' WHEN 5 THEN 'exclude' WHEN 6 THEN 'undo' WHEN 8 THEN 'other' ELSE 'confirm' END AS action,
+  CASE WHEN p % 5 = 3 THEN '' ELSE 'seen' END AS note, concat('r', CAST(p * 5 % 40 * 8 + CAST(ws AS BIGINT) AS STRING)) AS record_id,
+  CASE WHEN p % 2 = 0 THEN expected ELSE expected - 1 END AS target, CASE p % 6 WHEN 0 THEN 'abc' WHEN 1 THEN NULL ELSE '5.00' END AS amount
+FROM {commands}"""
+
+
+def _review_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Commands, records, page tasks and files of the workspaces."""
+    rows = spark.sql(_COMMAND_ROWS.format(conversations="{c}"), c=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    sent = spark.sql(_PAYLOADS.format(commands="{c}"), c=spark.sql(_COMMANDS.format(rows="{r}"), r=rows))
+    made = {
+        "workspace_id": F.col("ws"), "seq": F.col("k").cast("long"), "request_id": F.col("request_id"), "expected_revision": F.col("expected"), "action": F.col("action"), "note": F.col("note"),
+        "record_id": F.col("record_id"), "target_revision": F.col("target").cast("long"), "fields": F.when(F.col("amount").isNotNull(), F.create_map(F.lit("amount"), F.col("amount"))),
+    }
+    names = dict(x.split(" ", 1) for x in commands.COMMAND.replace("map<string, string>", "map<string,string>").split(", "))
+    asked = sent.select(*[made.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    open_ = F.col("doc_id") % 4 == 0
+    records = docs.select(
+        (F.col("doc_id") % 8).cast("string").alias("workspace_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), F.col("source").alias("file_id"), (F.col("doc_id") % 5).alias("page"),
+        F.when(open_, "needs_review").otherwise("ready").alias("parse_status"), F.lit("2026-01-02").alias("transaction_at"), F.lit(None).cast("string").alias("booking_at"), F.when(~open_, "1.00").alias("amount"),
+        F.lit("out").alias("direction"), F.lit("CNY").alias("currency"), F.lit(None).cast("string").alias("balance"), F.lit("posted").alias("transaction_status"),
+    )
+    tasks = records.select("workspace_id", F.concat_ws(":", "file_id", "page").alias("review_id"), "file_id", "page").distinct()
+    files = records.select("workspace_id", "file_id", F.lit(False).alias("needs_page"), F.lit(None).cast("int").alias("n_pages")).distinct()
+    return asked, records, tasks, files
+
+
+_REPLAY = f"""
+WITH RECURSIVE rows_ AS ({_COMMAND_ROWS.format(conversations="conversations")}), commands_ AS ({_COMMANDS.format(rows="rows_")}), sent AS ({_PAYLOADS.format(commands="commands_").replace("STRING", "VARCHAR")}
+), asked AS (
+  SELECT s.*, d.doc_id IS NOT NULL AS known, d.doc_id % 4 = 0 AS open_, coalesce(s.amount, '') AS said,
+    md5(concat_ws('|', s.request_id, s.expected, s.action, s.note, s.record_id, s.target, coalesce(s.amount, '-'))) AS payload
+  FROM sent s LEFT JOIN documents d ON s.record_id = concat('r', d.doc_id::VARCHAR) AND s.ws = (d.doc_id % 8)::VARCHAR
+), walk AS (  -- the state after each command: revisions that can be undone, the applied requests, and the confirmed
+  -- and excluded records at each revision so far
+  SELECT ws, -1::BIGINT AS k, 0::BIGINT AS revision, []::BIGINT[] AS stack, []::VARCHAR[] AS ids, []::VARCHAR[] AS payloads, [[]]::VARCHAR[][] AS confirmed, [[]]::VARCHAR[][] AS excluded, [[]]::BIGINT[][] AS stacks,
+    ''::VARCHAR AS outcome, NULL::BIGINT AS made FROM asked GROUP BY ws
+  UNION ALL
+  SELECT ws, k, CASE WHEN outcome = 'applied' THEN revision + 1 ELSE revision END,
+    CASE WHEN outcome <> 'applied' THEN stack WHEN action = 'undo' THEN stacks[target] ELSE list_append(stack, revision + 1) END,
+    CASE WHEN outcome = 'applied' THEN list_append(ids, request_id) ELSE ids END, CASE WHEN outcome = 'applied' THEN list_append(payloads, payload) ELSE payloads END,
+    CASE WHEN outcome <> 'applied' THEN confirmed ELSE list_append(confirmed, CASE WHEN action = 'undo' THEN confirmed[target] WHEN action = 'confirm' THEN list_append(confirmed[revision + 1], record_id) ELSE confirmed[revision + 1] END) END,
+    CASE WHEN outcome <> 'applied' THEN excluded ELSE list_append(excluded, CASE WHEN action = 'undo' THEN excluded[target] WHEN action = 'confirm' THEN list_filter(excluded[revision + 1], lambda x: x <> record_id) ELSE list_append(excluded[revision + 1], record_id) END) END,
+    CASE WHEN outcome <> 'applied' THEN stacks ELSE list_append(stacks, CASE WHEN action = 'undo' THEN stacks[target] ELSE list_append(stack, revision + 1) END) END,
+    outcome, CASE outcome WHEN 'applied' THEN revision + 1 WHEN 'replayed' THEN list_position(ids, request_id) END
+  FROM (
+    SELECT a.*, w.revision, w.stack, w.ids, w.payloads, w.confirmed, w.excluded, w.stacks, CASE
+      WHEN a.action <> 'confirm' AND a.note = '' THEN 'note_missing'
+      WHEN list_contains(w.ids, a.request_id) THEN CASE WHEN w.payloads[list_position(w.ids, a.request_id)] = a.payload THEN 'replayed' ELSE 'request_reused' END
+      WHEN a.expected <> w.revision THEN 'stale'
+      WHEN a.action = 'undo' THEN CASE WHEN len(w.stack) > 0 AND w.stack[-1] = a.target THEN 'applied' ELSE 'undo_not_newest' END
+      WHEN a.action = 'other' THEN 'action_unknown'
+      WHEN NOT a.known THEN 'record_unknown'
+      WHEN a.action = 'confirm' AND (a.said = 'abc' OR a.said = '' AND a.open_ AND NOT list_contains(w.confirmed[w.revision + 1], a.record_id)) THEN 'fields_invalid'
+      ELSE 'applied' END AS outcome
+    FROM walk w JOIN asked a ON a.ws = w.ws AND a.k = w.k + 1))"""
+
+
+@register(_REPLAY + " SELECT ws AS workspace_id, k AS seq, outcome, made AS revision FROM walk WHERE k >= 0")
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each review command: repeats, stale revisions, undos, unreadable values."""
+    return commands.replay_commands(*_review_batch(spark, sf_dir)).select("workspace_id", "seq", "outcome", "revision")
+
+
+@register(_REPLAY + """, newest AS (SELECT ws, max_by(confirmed[revision + 1], k) AS c, max_by(excluded[revision + 1], k) AS e FROM walk GROUP BY 1)
+SELECT ws AS workspace_id, record_id, bool_or(gone) AS excluded FROM (SELECT ws, unnest(list_distinct(c)) AS record_id, false AS gone FROM newest UNION ALL SELECT ws, unnest(list_distinct(e)), true FROM newest) GROUP BY 1, 2""")
+def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that the standing commands confirm or exclude."""
+    replayed = commands.replay_commands(*_review_batch(spark, sf_dir))
+    return commands.record_states(replayed).select("workspace_id", "record_id", "excluded")
+
+
 # --- browse --------------------------------------------------------------------------------------
 
 
