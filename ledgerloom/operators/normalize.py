@@ -77,12 +77,24 @@ LAYOUT = {
 }
 
 
-def _issue(*flags: tuple[Column, str]) -> Column:
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in flags]), lambda i: i.isNotNull())
+def _issue(*flags: tuple[Column, str | Column, str | None]) -> Column:
+    """array<struct<code, field>> of the flags that hold."""
+    of = lambda code, field: F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(field).cast("string").alias("field"))
+    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), of(code, field)) for c, code, field in flags]), lambda i: i.isNotNull())
+
+
+#: The field that each money cell is.
+MONEY_FIELDS = {"plain": "amount", "signed": "signed_amount", "credit": "credit_amount", "debit": "debit_amount"}
+
+
+def issue_rows(read: DataFrame, id_col: str) -> DataFrame:
+    """(id, code, severity, field): an issue a row, of normalize_rows()'s result."""
+    found = read.select(id_col, F.explode(F.arrays_zip(F.col("issues").alias("code"), F.col("issue_fields").alias("field"))).alias("i"))
+    return found.select(id_col, "i.code", F.when(F.col("i.code").isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "i.field")
 
 
 def resolve_amounts(rows: DataFrame) -> DataFrame:
-    """rows with _amount, struct(amount, direction, signed, issues), from the parsed money columns
+    """rows with _amount, struct(amount, direction, signed, issues, fields), from the parsed money columns
     plain, signed, credit and debit and from cell_direction, signed_format and split.
 
     A signed amount counts before split columns count before a plain amount. An unsigned positive
@@ -110,22 +122,22 @@ def resolve_amounts(rows: DataFrame) -> DataFrame:
     direction = F.when(c("_value").isNotNull(), F.coalesce("_stated", "_derived")).otherwise(c("_stated"))
     chosen = chosen.withColumn("_direction", direction)
     other = F.coalesce(signed, plain)
-    invalid = [(~is_empty(c(cell)) & c(f"{name}.amount").isNull(), "AMOUNT_INVALID") for name, cell in MONEY_CELLS.items()]
+    invalid = [(~is_empty(c(cell)) & c(f"{name}.amount").isNull(), "AMOUNT_INVALID", MONEY_FIELDS[name]) for name, cell in MONEY_CELLS.items()]
     issues = _issue(
         *invalid,
-        (F.abs(plain) != F.abs(signed), "AMOUNT_CONFLICT"),
-        (c("_by_plain") != c("_by_signed"), "DIRECTION_CONFLICT"),
-        (c("split") & ((credit < 0) | (debit < 0)), "SPLIT_AMOUNT_NEGATIVE"),
-        (c("_both"), "BOTH_DIRECTIONS"),
-        (c("_some") & (F.abs(other) != F.abs(c("_split"))), "AMOUNT_CONFLICT"),
-        (c("_some") & (F.coalesce("_by_signed", "_by_plain") != c("_split_direction")), "DIRECTION_CONFLICT"),
-        ((c("_raw_direction") != "") & c("_stated").isNull(), "DIRECTION_UNKNOWN"),
-        (c("_value").isNotNull() & (c("_stated") != c("_derived")) & (c("_stated") != "none"), "DIRECTION_CONFLICT"),
-        (c("_direction").isNull(), "DIRECTION_MISSING"),
-        (c("_value").isNull(), "AMOUNT_MISSING"),
+        (F.abs(plain) != F.abs(signed), "AMOUNT_CONFLICT", "amount"),
+        (c("_by_plain") != c("_by_signed"), "DIRECTION_CONFLICT", "direction"),
+        (c("split") & ((credit < 0) | (debit < 0)), "SPLIT_AMOUNT_NEGATIVE", "amount"),
+        (c("_both"), "BOTH_DIRECTIONS", "amount"),
+        (c("_some") & (F.abs(other) != F.abs(c("_split"))), "AMOUNT_CONFLICT", "amount"),
+        (c("_some") & (F.coalesce("_by_signed", "_by_plain") != c("_split_direction")), "DIRECTION_CONFLICT", "direction"),
+        ((c("_raw_direction") != "") & c("_stated").isNull(), "DIRECTION_UNKNOWN", "direction"),
+        (c("_value").isNotNull() & (c("_stated") != c("_derived")) & (c("_stated") != "none"), "DIRECTION_CONFLICT", "direction"),
+        (c("_direction").isNull(), "DIRECTION_MISSING", "direction"),
+        (c("_value").isNull(), "AMOUNT_MISSING", "amount"),
     )
     kept_sign = F.when(c("signed_format") | signed.isNotNull(), c("_value"))
-    made = F.struct(F.abs("_value").alias("amount"), c("_direction").alias("direction"), kept_sign.alias("signed"), issues.alias("issues"))
+    made = F.struct(F.abs("_value").alias("amount"), c("_direction").alias("direction"), kept_sign.alias("signed"), F.transform(issues, lambda i: i["code"]).alias("issues"), F.transform(issues, lambda i: i["field"]).alias("fields"))
     return chosen.withColumn("_amount", made).drop("_by_plain", "_by_signed", "_both", "_some", "_split", "_split_direction", "_stated", "_value", "_derived", "_direction", "_raw_direction")
 
 
@@ -137,16 +149,16 @@ def resolve_currency(currency_cell: Column, evidence: Column) -> Column:
     return F.struct(found.alias("currency"), F.when(F.size(known) > 1, "CURRENCY_CONFLICT").when(F.size(known) == 0, "CURRENCY_DEFAULTED").alias("issue"))
 
 
-def _times(rows: DataFrame, field: str, date_cell: str, clock_cell: str) -> tuple[dict[str, Column], list[tuple[Column, str]]]:
+def _times(rows: DataFrame, field: str, date_cell: str, clock_cell: str) -> tuple[dict[str, Column], list[tuple[Column, str | Column, str]]]:
     """The columns of a date field with its clock column, and its issues; a column that is not there
     is not part of the layout."""
     mapped, clocked = date_cell in rows.columns, clock_cell in rows.columns
     date = date_struct(F.col(date_cell)) if mapped else F.lit(None).cast("struct<at:string,precision:string>")
     columns = {f"_{field}_date": date}
     here = F.coalesce(F.array_contains("mapped_fields", field), F.lit(True))  # null: every column there is
-    issues = [(here & F.col(f"_{field}_date").isNull(), "DATE_INVALID")] if mapped else []
+    issues = [(here & F.col(f"_{field}_date").isNull(), "DATE_INVALID", field)] if mapped else []
     if clocked:
-        issues.append((F.col(f"_{field}.issue").isNotNull(), F.col(f"_{field}.issue")))
+        issues.append((F.col(f"_{field}.issue").isNotNull(), F.col(f"_{field}.issue"), field))
     return columns, issues
 
 
@@ -159,7 +171,7 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
 
     Adds transaction_at, booking_at, their precisions, amount, signed_amount, direction, raw_direction,
     currency, the text fields, balance, raw_status, transaction_status, issues (codes in the order in
-    which they are found), parse_status (needs_review with any issue that is no warning) and
+    which they are found), issue_fields (the field of each, null if it has none), parse_status (needs_review with any issue that is no warning) and
     mapping_method. The cells themselves stay.
     """
     c = F.col
@@ -167,7 +179,7 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
     missing = {n: F.expr(v) for n, v in LAYOUT.items() if n not in given} | {cell: F.lit(None).cast("string") for cell in (*MONEY_CELLS.values(), "cell_direction", "cell_currency", "cell_status", "cell_balance") if cell not in given}
     staged = with_money(rows.withColumns(missing), MONEY_CELLS | {"_balance": "cell_balance"})
     parts = {"transaction_at": ("cell_date", "cell_time"), "booking_at": ("cell_booking", "cell_booking_time")}
-    issues_of: dict[str, list[tuple[Column, str]]] = {}
+    issues_of: dict[str, list[tuple[Column, str | Column, str]]] = {}
     for field, (date_cell, clock_cell) in parts.items():
         columns, issues_of[field] = _times(rows, field, date_cell, clock_cell)
         staged = staged.withColumns(columns)
@@ -177,23 +189,24 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
     codes = F.array(*[c(f"{n}.currency") for n in MONEY_CELLS])
     stated = F.coalesce(F.nullif(F.trim("cell_currency"), F.lit("")), "default_currency")
     staged = resolve_amounts(staged).withColumns({"_currency": resolve_currency(stated, codes), "_status": status_of(c("cell_status"))})
-    dates = [(flag, code) for field in parts for flag, code in issues_of[field]]
-    named = lambda code: code if isinstance(code, Column) else F.lit(code)
-    dated = F.filter(F.array(*[F.when(F.coalesce(f, F.lit(False)), named(code)) for f, code in dates], F.when(c("_transaction_at.at").isNull() & c("_booking_at.at").isNull(), "DATE_MISSING")), lambda i: i.isNotNull())
+    dates = [flag for field in parts for flag in issues_of[field]]
+    dated = _issue(*dates, (c("_transaction_at.at").isNull() & c("_booking_at.at").isNull(), "DATE_MISSING", None))
     unknown_status = ~F.trim(F.coalesce("cell_status", F.lit(""))).isin("") & (c("_status") == "unknown")
-    several = lambda fields, code: F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda _: F.lit(code))
+    several = lambda fields, code: F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.struct(F.lit(code).alias("code"), f.alias("field")))
     numeric = F.array_intersect(F.coalesce("numeric_fields", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in IDENTIFIERS]))
-    issues = F.concat(
+    of_amount = F.transform(F.arrays_zip(c("_amount.issues").alias("code"), c("_amount.fields").alias("field")), lambda i: F.struct(i["code"].alias("code"), i["field"].alias("field")))
+    found = F.concat(
         dated,
-        c("_amount.issues"),
-        _issue((c("_currency.issue") == "CURRENCY_CONFLICT", "CURRENCY_CONFLICT"), (c("_currency.issue") == "CURRENCY_DEFAULTED", "CURRENCY_DEFAULTED")),
+        of_amount,
+        _issue((c("_currency.issue") == "CURRENCY_CONFLICT", "CURRENCY_CONFLICT", "currency"), (c("_currency.issue") == "CURRENCY_DEFAULTED", "CURRENCY_DEFAULTED", "currency")),
         several(numeric, "IDENTIFIER_NUMERIC"),
-        _issue((unknown_status, "STATUS_UNKNOWN")),
+        _issue((unknown_status, "STATUS_UNKNOWN", "transaction_status")),
         several(c("ambiguous_fields"), "COLUMN_AMBIGUOUS"),
         several(c("formula_fields"), "FORMULA_CELL"),
         several(c("error_fields"), "CELL_ERROR"),
-        _issue((c("wider"), "ROW_WIDTH_MISMATCH")),
+        _issue((c("wider"), "ROW_WIDTH_MISMATCH", None)),
     )
+    staged = staged.withColumn("_found", found)
     out = staged.withColumns(
         {
             "transaction_at": c("_transaction_at.at"),
@@ -208,7 +221,8 @@ def normalize_rows(rows: DataFrame) -> DataFrame:
             "balance": amount_text(c("_balance.amount")),
             "raw_status": F.nullif(F.trim("cell_status"), F.lit("")),
             "transaction_status": c("_status"),
-            "issues": issues,
+            "issues": F.transform("_found", lambda i: i["code"]),
+            "issue_fields": F.transform("_found", lambda i: i["field"]),
             "source": F.coalesce("source", F.lit("未知来源")),
             "mapping_method": F.when(c("confirmed"), "user_confirmed").when(c("profile") != "generic.v1", "profile").otherwise("exact_alias"),
         }

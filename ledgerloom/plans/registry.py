@@ -475,12 +475,12 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Commands of made-up reviewers, one for each turn: k is its place in its workspace, p that of its payload (some
 #: repeat the one before), and four after each other name the same revision.
 _COMMAND_ROWS = """
-SELECT CAST(conv_id % 8 AS STRING) AS ws, row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS k FROM {conversations}"""
+SELECT CAST(CAST(floor(conv_id / 12) AS BIGINT) AS STRING) AS ws, row_number() OVER (PARTITION BY CAST(floor(conv_id / 12) AS BIGINT) ORDER BY conv_id, turn) - 1 AS k FROM {conversations}"""
 _COMMANDS = """
 SELECT ws, k, CASE WHEN k % 8 = 1 THEN k - 1 ELSE k END AS p, CASE WHEN k % 4 = 1 THEN k - 1 ELSE k END AS r, CAST(floor(k / 4) AS BIGINT) AS expected FROM {rows}"""
 _PAYLOADS = """
 SELECT ws, k, expected, concat('request-', CAST(r AS STRING)) AS request_id, CASE p % 9 WHEN 4 THEN 'exclude' WHEN 5 THEN 'exclude' WHEN 6 THEN 'undo' WHEN 8 THEN 'other' ELSE 'confirm' END AS action,
-  CASE WHEN p % 5 = 3 THEN '' ELSE 'seen' END AS note, concat('r', CAST(p * 5 % 40 * 8 + CAST(ws AS BIGINT) AS STRING)) AS record_id,
+  CASE WHEN p % 5 = 3 THEN '' ELSE 'seen' END AS note, concat('r', CAST(p * 5 % 40 * 4 + CAST(ws AS BIGINT) * 121 AS STRING)) AS record_id,
   CASE WHEN p % 2 = 0 THEN expected ELSE expected - 1 END AS target, CASE p % 6 WHEN 0 THEN 'abc' WHEN 1 THEN NULL ELSE '5.00' END AS amount
 FROM {commands}"""
 
@@ -498,7 +498,7 @@ def _review_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     open_ = F.col("doc_id") % 4 == 0
     records = docs.select(
-        (F.col("doc_id") % 8).cast("string").alias("workspace_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), F.col("source").alias("file_id"), (F.col("doc_id") % 5).alias("page"),
+        F.floor(F.col("doc_id") / 121).cast("string").alias("workspace_id"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("record_id"), F.col("source").alias("file_id"), (F.col("doc_id") % 5).alias("page"),
         F.when(open_, "needs_review").otherwise("ready").alias("parse_status"), F.lit("2026-01-02").alias("transaction_at"), F.lit(None).cast("string").alias("booking_at"), F.when(~open_, "1.00").alias("amount"),
         F.lit("out").alias("direction"), F.lit("CNY").alias("currency"), F.lit(None).cast("string").alias("balance"), F.lit("posted").alias("transaction_status"),
     )
@@ -512,7 +512,7 @@ WITH RECURSIVE rows_ AS ({_COMMAND_ROWS.format(conversations="conversations")}),
 ), asked AS (
   SELECT s.*, d.doc_id IS NOT NULL AS known, d.doc_id % 4 = 0 AS open_, coalesce(s.amount, '') AS said,
     md5(concat_ws('|', s.request_id, s.expected, s.action, s.note, s.record_id, s.target, coalesce(s.amount, '-'))) AS payload
-  FROM sent s LEFT JOIN documents d ON s.record_id = concat('r', d.doc_id::VARCHAR) AND s.ws = (d.doc_id % 8)::VARCHAR
+  FROM sent s LEFT JOIN documents d ON s.record_id = concat('r', d.doc_id::VARCHAR) AND s.ws = floor(d.doc_id / 121)::BIGINT::VARCHAR
 ), walk AS (  -- the state after each command: revisions that can be undone, the applied requests, and the confirmed
   -- and excluded records at each revision so far
   SELECT ws, -1::BIGINT AS k, 0::BIGINT AS revision, []::BIGINT[] AS stack, []::VARCHAR[] AS ids, []::VARCHAR[] AS payloads, [[]]::VARCHAR[][] AS confirmed, [[]]::VARCHAR[][] AS excluded, [[]]::BIGINT[][] AS stacks,
@@ -843,16 +843,18 @@ def currency_default_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-WITH {_AMOUNT_SQL}, flat AS (SELECT a.record_id, unnest(list_concat(CASE WHEN a.record_id % 5 = 3 THEN ['DATE_INVALID', 'DATE_MISSING'] ELSE []::VARCHAR[] END, a.issues)) AS code FROM amounts a),
-pointed AS (SELECT record_id, code, unnest(CASE WHEN code IN ('AMOUNT_INVALID', 'AMOUNT_CONFLICT', 'AMOUNT_MISSING') THEN ['amount'] WHEN code IN ('BOTH_DIRECTIONS', 'DIRECTION_CONFLICT') THEN ['amount', 'direction'] WHEN code IN ('DIRECTION_UNKNOWN', 'DIRECTION_MISSING') THEN ['direction'] ELSE ['transaction_at'] END) AS field FROM flat)
-SELECT record_id, field, array_to_string(list_sort(list(DISTINCT code)), ',') AS reasons, CASE field WHEN 'amount' THEN '1' WHEN 'direction' THEN '2' ELSE '0' END AS columns FROM pointed GROUP BY 1, 2""")
+WITH {_AMOUNT_SQL}, {_CURRENCY_SQL}, flat AS (
+  SELECT a.record_id, unnest(list_concat(CASE WHEN a.record_id % 5 = 3 THEN ['DATE_INVALID', 'DATE_MISSING'] ELSE []::VARCHAR[] END, a.issues, CASE WHEN c.issue = 'CURRENCY_CONFLICT' THEN [c.issue] ELSE []::VARCHAR[] END)) AS code
+  FROM amounts a JOIN currencies c USING (record_id)),
+pointed AS (SELECT record_id, code, unnest(CASE WHEN code IN ('AMOUNT_INVALID', 'AMOUNT_CONFLICT', 'AMOUNT_MISSING') THEN ['amount'] WHEN code IN ('BOTH_DIRECTIONS', 'DIRECTION_CONFLICT', 'SPLIT_AMOUNT_NEGATIVE') THEN ['amount', 'direction']
+  WHEN code = 'CURRENCY_CONFLICT' THEN ['currency', 'amount'] WHEN code IN ('DIRECTION_UNKNOWN', 'DIRECTION_MISSING') THEN ['direction'] ELSE ['transaction_at'] END) AS field FROM flat)
+SELECT record_id, field, array_to_string(list_sort(list(DISTINCT code)), ',') AS reasons, CASE field WHEN 'amount' THEN '1,3' WHEN 'currency' THEN '1,3' WHEN 'direction' THEN '2' ELSE '0,4' END AS columns FROM pointed GROUP BY 1, 2""")
 def review_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the errors of each record point at, and the columns of its row."""
-    read = normalize.normalize_rows(adapter(spark, sf_dir, "cells")).select("record_id", "issues")
-    layout = F.create_map(*[F.lit(x) for pair in {"transaction_at": 0, "amount": 1, "direction": 2}.items() for x in pair])
+    read = normalize.normalize_rows(adapter(spark, sf_dir, "cells"))
+    layout = F.create_map(*[F.lit(x) for pair in {"transaction_at": 0, "amount": 1, "direction": 2, "credit_amount": 3, "transaction_time": 4}.items() for x in pair])
     records = read.select("record_id", F.lit("pending").alias("review_status"), layout.alias("columns"))
-    flat = read.select("record_id", F.explode("issues").alias("code"))
-    errors = flat.where(~F.col("code").isin("CURRENCY_CONFLICT")).withColumn("severity", F.when(F.col("code").isin(*normalize.WARNINGS), "warning").otherwise("error"))
+    errors = normalize.issue_rows(read, "record_id")
     found = review.field_attention(records, errors)
     return found.select("record_id", "field", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("columns", lambda i: i.cast("string")), ",").alias("columns"))
 

@@ -67,6 +67,17 @@ def test_field_attention(spark):
     assert found == {("amount", ("AMOUNT_INVALID",), (1, 2)), ("transaction_at", ("DATE_MISSING",), (0,)), (None, ("ODD",), ())}
 
 
+def test_attention_by_the_field_of_an_issue(spark):
+    columns, ambiguous = {"transaction_at": 0, "transaction_time": 1, "signed_amount": 2, "booking_at": 3, "memo": 4}, {"currency": [5, 6]}
+    records = spark.createDataFrame([("a", "pending", columns, ambiguous), ("b", "pending", columns, {})], "record_id string, review_status string, columns map<string,int>, ambiguous map<string,array<int>>")
+    issues = [(r, c, "error", f) for r in "ab" for c, f in (("CURRENCY_CONFLICT", "currency"), ("SPLIT_AMOUNT_NEGATIVE", "amount"), ("DATE_INVALID", "booking_at"), ("TIME_CONFLICT", "transaction_time"), ("FORMULA_CELL", "memo"), ("CELL_ERROR", "credit_amount"), ("ROW_WIDTH_MISMATCH", None))]
+    found = review.field_attention(records, spark.createDataFrame(issues, "record_id string, code string, severity string, field string")).collect()
+    by = {(r.record_id, r.field): (r.reasons, r["columns"]) for r in found}
+    assert by["a", "currency"] == (["CURRENCY_CONFLICT"], [5, 6]) and by["b", "currency"] == (["CURRENCY_CONFLICT"], [2])
+    assert by["a", "amount"] == (["CELL_ERROR", "CURRENCY_CONFLICT", "SPLIT_AMOUNT_NEGATIVE"], [2]) and by["a", "direction"] == (["SPLIT_AMOUNT_NEGATIVE"], [2])
+    assert by["a", "booking_at"] == (["DATE_INVALID"], [3]) and by["a", "transaction_at"] == (["TIME_CONFLICT"], [0, 1]) and by["a", "memo"] == (["FORMULA_CELL"], [4]) and by["a", None] == (["ROW_WIDTH_MISMATCH"], None)
+
+
 def test_verdicts_and_lists(spark):
     relations = spark.createDataFrame([("p", {"r": "1"}), ("q", {"r": "2"})], "id string, dependencies map<string,string>")
     verdicts = spark.createDataFrame([("p", 1, "v", "f", "no", {"r": "1"}), ("p", 2, "v", "f", "yes", {"r": "1"}), ("p", 3, "old", "f", "no", {"r": "1"}), ("q", 1, "v", "f", "yes", {"r": "0"})], "relation_id string, job int, policy string, fingerprint string, verdict string, dependencies map<string,string>")
