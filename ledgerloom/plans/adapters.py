@@ -138,6 +138,32 @@ ADAPTERS: dict[str, tuple[str, str, dict[str, str]]] = {
         "true",
         {"page_id": "l_orderkey * 100000 + l_partkey * 10 + l_suppkey % 10", "row": "l_linenumber", "v0": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END", "v1": "CASE WHEN l_suppkey % 7 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'x' ELSE CAST(l_partkey % 9 AS STRING) END", "v2": "CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE CAST(l_partkey % 9 AS STRING) END"},
     ),
+    "page_tokens": (
+        "lineitem CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(part)",
+        "true",
+        {
+            "page_id": "l_orderkey",
+            "text": "CASE part WHEN 0 THEN CASE WHEN l_partkey % 9 = 0 THEN 'carried' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END WHEN 1 THEN concat('goods', CAST(l_linenumber AS STRING)) WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN '-' ELSE '+' END || CAST(CAST(l_quantity AS INT) AS STRING) || '.50' WHEN 3 THEN CAST(l_partkey AS STRING) ELSE 'more' END",
+            "score": "1 - l_discount / 2",
+            "x": "CAST(CASE part WHEN 4 THEN 120 ELSE 100 * part END + l_suppkey % 7 AS DOUBLE)",
+            "y": "CAST(l_partkey % 700 * 40 + l_linenumber + 60 AS DOUBLE)",
+            "h": "CAST(12 AS DOUBLE)",
+            "w": "CAST(80 AS DOUBLE)",
+        },
+    ),
+    "page_heads": (
+        "orders CROSS JOIN (VALUES (0, '交易日期'), (1, '摘要'), (2, '交易金额'), (3, '余额')) AS v(part, label)",
+        "true",
+        {
+            "page_id": "o_orderkey",
+            "text": "CASE WHEN part = 0 AND o_orderkey % 7 = 0 THEN '日' WHEN part = 2 AND o_orderkey % 11 = 0 THEN '金' WHEN part = 1 AND o_orderkey % 13 = 0 THEN '余额' ELSE label END",
+            "score": "CAST(0.99 AS DOUBLE)",
+            "x": "CAST(100 * part AS DOUBLE)",
+            "y": "CAST(10 + part AS DOUBLE)",
+            "h": "CAST(12 AS DOUBLE)",
+            "w": "CAST(60 AS DOUBLE)",
+        },
+    ),
     "page_views": (
         "lineitem CROSS JOIN (VALUES ('original', 0), ('dark_gray', 1), ('dark_neutral', 2)) AS v(view, k)",
         # A view of some pages lacks a row.

@@ -11,7 +11,7 @@ from ..functions import privacy
 from ..functions.dates import date_struct
 from ..functions.money import with_money
 from ..lineage import cut
-from ..operators import analysis, browse, commands, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, pairing, refunds, review, totals
+from ..operators import analysis, browse, commands, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, page_tables, pairing, refunds, review, totals
 from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
@@ -781,6 +781,48 @@ def recognised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", "transaction_at", "amount", "direction", F.array_join("issues", ",").alias("issues"))
 
 
+_PAGES = f"""
+WITH t AS MATERIALIZED (SELECT * FROM {q("page_heads")} UNION ALL SELECT * FROM {q("page_tokens")}), named AS (
+  SELECT *, CASE text WHEN '交易日期' THEN 'date' WHEN '摘要' THEN 'description' WHEN '交易金额' THEN 'signed' WHEN '余额' THEN 'balance' END AS field FROM t
+), head AS (SELECT page_id, min(y) AS hy, 12.0 AS hh FROM named WHERE field = 'date' GROUP BY 1
+), line AS (SELECT n.page_id, n.x, n.field FROM named n JOIN head USING (page_id) WHERE abs(n.y - hy) < greatest(n.h, hh) * 0.7
+), edges AS (SELECT page_id, field, coalesce((x + lag(x) OVER w) / 2, '-inf'::DOUBLE) AS l, coalesce((x + lead(x) OVER w) / 2, 'inf'::DOUBLE) AS r FROM line WINDOW w AS (PARTITION BY page_id ORDER BY x)
+), col AS (SELECT * FROM edges WHERE field IS NOT NULL), layout AS (SELECT page_id, count(*) AS n, list(DISTINCT field) AS fields FROM col GROUP BY 1
+), judged AS (
+  SELECT p.page_id, CASE WHEN n IS NULL THEN 'HEADER_UNREADABLE' WHEN n > len(fields) THEN 'HEADER_AMBIGUOUS' WHEN NOT list_contains(fields, 'signed') THEN 'AMOUNT_HEADER_UNREADABLE' END AS code
+  FROM (SELECT DISTINCT page_id FROM t) p LEFT JOIN layout USING (page_id)
+), c AS (SELECT col.* FROM col JOIN judged USING (page_id) WHERE code IS NULL
+), d AS (SELECT t.page_id, t.x, t.y, t.h FROM t JOIN c ON t.page_id = c.page_id AND c.field = 'date' AND t.x >= l AND t.x < r JOIN head ON head.page_id = t.page_id AND t.y > hy + hh * 0.8 WHERE regexp_full_match(t.text, '20\\d\\d-\\d\\d-\\d\\d')
+), s AS (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS a, row_number() OVER w - 1 AS row FROM d WINDOW w AS (PARTITION BY page_id ORDER BY y)
+), g AS (SELECT *, coalesce(median(a - y) OVER (PARTITION BY page_id), h * 2.8) AS gap FROM s
+), band AS (SELECT page_id, row, x AS date_x, y AS date_y, coalesce((b + y) / 2, y - gap / 2) AS low, coalesce((a + y) / 2, y + gap / 2) AS high FROM g)"""
+
+
+def _page_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    heads = adapter(spark, sf_dir, "page_heads")
+    return page_tables.recognised_records(heads.unionByName(adapter(spark, sf_dir, "page_tokens")))
+
+
+@register(_PAGES + """, placed AS (
+  SELECT b.page_id, b.row, c.field, string_agg(t.text, ' ' ORDER BY round_even(t.y / 8, 0), t.x, t.text) AS text, min(t.score) AS least FROM t JOIN c ON t.page_id = c.page_id AND t.x >= l AND t.x < r JOIN band b ON b.page_id = t.page_id AND t.y >= low AND t.y < high GROUP BY 1, 2, 3
+), wide AS (SELECT page_id, row, max(text) FILTER (field = 'date') AS day, max(text) FILTER (field = 'description') AS description, max(text) FILTER (field = 'signed') AS signed, min(least) AS least_score FROM placed GROUP BY 1, 2)
+SELECT page_id, date_x, date_y, high - low AS row_height, day, coalesce(description, '') AS description, coalesce(signed, '') AS signed, least_score, CASE WHEN regexp_full_match(day, '20\\d\\d-\\d\\d-\\d\\d') THEN day END AS transaction_at,
+  CASE WHEN regexp_full_match(signed, '[+-]\\d+\\.50') THEN abs(signed::DECIMAL(38,2)) END AS amount, CASE WHEN regexp_full_match(signed, '[+-]\\d+\\.50') THEN CASE WHEN signed LIKE '-%' THEN 'out' ELSE 'in' END END AS direction
+FROM band JOIN wide USING (page_id, row)""")
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of recognised pages, from tokens: cells by each page's header line, amounts and dates read."""
+    records, _ = _page_table(spark, sf_dir)
+    cell = lambda f: F.coalesce(F.try_element_at("cells", F.lit(f)), F.lit("")).alias("day" if f == "date" else f)
+    return records.select("page_id", "date_x", "date_y", "row_height", cell("date"), cell("description"), cell("signed"), F.array_min("scores").alias("least_score"), "transaction_at", "amount", "direction")
+
+
+@register(_PAGES + """ SELECT page_id, code FROM judged WHERE code IS NOT NULL UNION ALL SELECT page_id, 'NO_DATE_ROWS' FROM judged WHERE code IS NULL AND page_id NOT IN (SELECT page_id FROM band)""")
+def page_table_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised pages that give no rows, and why."""
+    _, issues = _page_table(spark, sf_dir)
+    return issues
+
+
 _VIEWS = f"""
 WITH o AS MATERIALIZED {q("page_views")}, bad AS (SELECT DISTINCT page_id, 'dark_neutral' AS view FROM o WHERE page_id % 17 = 0),
 base AS (SELECT * FROM o WHERE view = 'original'), other AS (SELECT * FROM o WHERE view <> 'original' AND (page_id, view) NOT IN (SELECT page_id, view FROM bad)),
