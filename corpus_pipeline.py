@@ -65,7 +65,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The fingerprints, the line SimHash and the tokenizer have no SQL equivalent.
+#: The fingerprints, the sketches of lines and the tokenizer have no SQL equivalent.
 ORACLE_SQL = None
 
 
