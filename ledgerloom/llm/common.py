@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Sequence
@@ -15,6 +14,9 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Spark's setting that removes a job's shuffle files when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,7 +50,13 @@ class Scratch:
     def save(self, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
         path = self.path()
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        # What the job shuffled goes when its result is written; nothing reads it again.
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         # The schema is given, so that an empty table and all-null columns read back alike.
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -56,11 +64,6 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count}"
 
-    def tidy(self) -> None:
-        """Let Spark delete the shuffle files of jobs whose result is saved: nothing refers to them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *numbers: int) -> None:
         """Remove earlier tables of a loop that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -1,13 +1,15 @@
 """Fuzzy line dedup, in DataFrame operations only.
 
-Equal normalised lines are one item. Candidates are lines that share a block of their sketch, are
-about as long and agree in enough of the sketch; they are verified by edit similarity, and one
-occurrence of each connected group stays.
-
-The sketch is MinHash of pairs of neighbouring words rather than SimHash: blocks of a SimHash that
-find nine of ten similar lines match thousands of unlike ones a line (figures in the README). One hash
-per feature gives all minima: the k-th is the least hash from the k-th of evenly spaced points on, so
-that two lines agree in it with the probability of their Jaccard similarity.
+Equal normalised lines are one item. Candidates are lines that share a key, are about as long and have
+enough of their least features in common; they are verified by edit similarity, and one occurrence of
+each connected group stays.
+
+A line's features are its pairs of neighbouring words, hashed and sorted. Its keys are runs of hashes
+that follow each other in that order, taken as a ring: two lines share one if their features agree
+between two points of the ring. Lines of four to seven words have what is left of them without one word
+(without two, from six on) as keys as well, which finds every pair that differs in no more words.
+This stands for a SimHash, blocks of which find nine of ten similar lines only together with thousands
+of unlike ones a line (figures in the README).
 """
 
 from __future__ import annotations
@@ -18,11 +20,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 from .linking import link_components
 
-#: Blocks of long lines, and minima in a block, for lines of few and of many features; lines between get both.
-BLOCKS, SHORT, LONG = 12, 2, 3
+#: Hashes in a run for lines of few and of many features; lines between get both.
+SHORT, LONG = 2, 3
 SHORT_TO, LONG_FROM = 14, 10
-#: Of the first 16 minima, kept as four bits each, so many have to agree.
-SKETCHED, LEAST_EQUAL = 16, 5
+#: A line's keys are the runs that start at so many of its least hashes.
+RUNS = 12
+#: Of the lesser line's least features, so many of which are compared, this share has to be in common.
+SKETCHED, LEAST_SHARE = 16, 0.25
+#: Lines of so many words have keys of words left out, two words from the third number on.
+FEWEST, MOST, TWO_FROM = 4, 7, 6
 #: Longer words, as of scripts without spaces, count as their character trigrams.
 LONGEST_WORD = 20
 
@@ -33,7 +39,7 @@ def normalised(line: Column) -> Column:
 
 
 def features(norm: Column) -> Column:
-    """A line's pairs of neighbouring words, and its last word; of long words, character trigrams."""
+    """The hashes of a line's pairs of neighbouring words, and of its last word; of long words, character trigrams."""
 
     def pieces(word: Column) -> Column:
         doubles = lambda cs: F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs) - 1), lambda a, b: F.concat(a, b))
@@ -41,43 +47,47 @@ def features(norm: Column) -> Column:
 
     words = F.split(norm, " ")
     words = F.when(norm.rlike(f"[^ ]{{{LONGEST_WORD + 1}}}"), F.flatten(F.transform(words, pieces))).otherwise(words)
-    return let(words, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat_ws(" ", a, b)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda hs: F.zip_with(hs, F.slice(hs, 2, F.size(hs)), lambda a, b: F.xxhash64(a, b)))
 
 
-def minima(hashes: Column) -> list[Column]:
-    """For each of evenly spaced points the least hash from there on, the least of all if there is none."""
-    n = BLOCKS * LONG
-    from_on = lambda point: F.array_min(F.filter(hashes, lambda h: h >= F.lit(point)))
-    return [F.coalesce(from_on(-(1 << 63) + k * ((1 << 64) // n)), F.array_min(hashes)) for k in range(n)]
+def runs(hashes: Column, length: int) -> Column:
+    """The hash of each run of so many of the least of the sorted hashes; if these are all, they go round."""
+    ring = lambda hs: F.concat(hs, F.slice(hs, 1, length - 1))
+    starts = F.slice(hashes, 1, RUNS)
+    return let(ring(F.slice(hashes, 1, RUNS + length - 1)), lambda hs: F.transform(starts, lambda h, i: F.xxhash64(F.lit(length), h, *[F.get(hs, i + k) for k in range(1, length)])))
+
+
+def with_words_left_out(words: Column) -> Column:
+    """The hash of the line, of the line without each word and, of lines of more words, without each two."""
+    n = F.size(words)
+    without = lambda i, j: F.array_join(F.filter(words, lambda w, k: (k != i) & (k != j)), " ")
+    second = lambda i: F.sequence(F.when(n >= TWO_FROM, i).otherwise(n), n)
+    return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(second(i), lambda j: F.xxhash64(F.lit("words"), without(i, j)))))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """lines (with a column norm) and sketch (struct of minima, four bits each, and length) and keys,
-    the hash of each block. Lines of no use to a fuzzy comparison have null in both."""
-    hashed = lines.withColumn("_h", F.transform(features(F.col("norm")), lambda f: F.xxhash64(f)))
-    found = hashed.withColumn("_m", F.array(*minima(F.col("_h"))))
-    m = lambda k: F.element_at("_m", k + 1)
-    folded = F.lit(0).cast("long")
-    for k in range(SKETCHED):  # spread over the points, so that short lines' repeated minima weigh less
-        folded = folded.bitwiseOR(F.shiftleft(F.xxhash64(m(k * 7 % (BLOCKS * LONG))).bitwiseAND(F.lit(15).cast("long")), 4 * k))
-    # A block's minima stand far apart: neighbouring points often have the same one. Short lines have few
-    # features to differ in, so their blocks start at every point.
-    points = BLOCKS * LONG
-    block = lambda rows, count: F.array(*[F.xxhash64(F.lit(rows), F.lit(b), *[m((b + r * BLOCKS) % points) for r in range(rows)]) for b in range(count)])
-    short, long = block(SHORT, points), block(LONG, BLOCKS)
+    """lines (with a column norm) and sketch (struct of the least features as bits, and length) and keys."""
+    hashed = lines.withColumn("_h", F.sort_array(features(F.col("norm"))))
+    few = F.regexp_count("norm", F.lit(" ")).between(FEWEST - 1, MOST - 1) & ~F.col("norm").rlike(f"[^ ]{{{LONGEST_WORD + 1}}}")
+    short, long = runs(F.col("_h"), SHORT), runs(F.col("_h"), LONG)
     n = F.size("_h")
     keys = F.when(n < LONG_FROM, short).when(n > SHORT_TO, long).otherwise(F.concat(short, long))
-    return found.withColumns({"sketch": F.struct(folded.alias("bits"), F.length("norm").alias("length")), "keys": keys}).drop("_h", "_m")
+    keys = F.when(F.col("few"), F.concat(keys, let(F.split("norm", " "), with_words_left_out))).otherwise(keys)
+    one = F.lit(1).cast("long")
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    # Lines with words left out may differ in most of their features: they have no bits, and are not held to any.
+    least = F.when(F.col("few"), F.slice("_h", 1, 0)).otherwise(F.slice("_h", 1, SKETCHED))
+    bits = lambda half: F.aggregate(F.filter(least, lambda h: h.bitwiseAND(F.lit(64)) == half), one - one, lambda s, h: s.bitwiseOR(bit(h)))
+    sketch = F.struct(bits(0).alias("low"), bits(64).alias("high"), F.length("norm").alias("length"))
+    return hashed.withColumn("few", few).withColumns({"sketch": sketch, "keys": F.array_distinct(keys)}).drop("_h", "few")
 
 
 def agree(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two sketches have enough minima in common and lengths near enough for the similarity."""
-    x = a["bits"].bitwiseXOR(b["bits"])
-    folded = x
-    for k in (1, 2, 3):
-        folded = folded.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(k)))
+    """Whether two sketches have enough features in common and lengths near enough for the similarity."""
+    ones = lambda x, y: F.bit_count(x["low"].bitwiseAND(y["low"])) + F.bit_count(x["high"].bitwiseAND(y["high"]))
     near = F.least(a["length"], b["length"]) >= similarity * F.greatest(a["length"], b["length"]) - 1e-9
-    return near & (F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111))) <= SKETCHED - LEAST_EQUAL)
+    return near & (ones(a, b) >= LEAST_SHARE * F.least(ones(a, a), ones(b, b)))
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
@@ -134,12 +144,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = sketched(lines().withColumn("fuzzy", long_enough))
     fuzzy = lambda c: F.when(F.col("fuzzy"), F.col(c)).alias(c)
     spots = scratch.save(judged.select("line", "check", place.alias("spot"), fuzzy("sketch"), fuzzy("keys")))
-    scratch.tidy()
 
     def confirmer(needed: DataFrame):
         needed = scratch.save(needed.withColumnRenamed("id", "line"))
         texts = scratch.save(lines().select("line", "norm").join(needed, "line", "left_semi").dropDuplicates(["line"]))
-        scratch.tidy()
         named = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"{end}_norm"))
 
         def confirm(pairs: DataFrame) -> DataFrame:
@@ -151,7 +159,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = spots.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), F.col("line").alias("id"))
     sketches = spots.where("keys IS NOT NULL").select(F.col("line").alias("id"), "sketch")
     linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer).withColumnRenamed("node", "line")
-    scratch.tidy()
     places = spots.groupBy("line", "check").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     # Lines that link with no other are told apart by both hashes.
     own = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))

@@ -70,7 +70,6 @@ def link_components(
     # Partial minima come before the shuffle, so that one bucket with very many items is no hot group.
     shared = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
     rest = scratch.save(keys.join(scratch.save(shared), "bucket", "left_semi").distinct())
-    scratch.tidy()
     if sketches is None:
         rest = rest.withColumn("sketch", F.col("id"))
     else:
@@ -107,5 +106,4 @@ def _contract(known: DataFrame | None, found: DataFrame, rest: DataFrame, scratc
     named = scratch.save(named)
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
     left = scratch.save(named.join(split, "bucket", "left_semi"))
-    scratch.tidy()
     return known, left

@@ -98,7 +98,6 @@ def cross_entropy_difference(docs: DataFrame, target: Column | DataFrame, id_col
     source = docs.select(id_text(docs, id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(condition.cast("boolean"), F.lit(False)).alias("target"))
     held = source.mapInPandas(encode, "docs array<string>, lengths array<long>, marked array<long>, n_chars long, ids binary")
     held = marked = scratch.save(held.withColumn("chunk", F.monotonically_increasing_id()))
-    scratch.tidy()
     if isinstance(target, DataFrame):
         wanted = target.select(id_text(target, target.columns[0]).alias("id")).distinct()
         places = held.select("chunk", F.posexplode("docs").alias("at", "id")).join(wanted, "id").groupBy("chunk").agg(F.collect_list(F.col("at").cast("long")).alias("marked"))

@@ -336,6 +336,26 @@ def test_line_dedup_finds_lines_with_a_changed_word(spark, n):
     assert all(i % 2 for i in gone) and len(gone) >= 90
 
 
+def test_line_dedup_finds_short_lines_with_a_changed_letter_or_a_lost_word(spark):
+    """Lines of 4 to 8 words that differ in a letter of one word, of 6 to 8 in two words, or by a short word."""
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(5, 9))))
+    rows = []
+    for kind, lengths in (("letter", (4, 5, 6, 7, 8)), ("letters", (6, 7)), ("lost", (5, 6, 7, 8))):
+        for n in lengths:
+            for _ in range(40):
+                line = [word() for _ in range(n)]
+                near, places = list(line), rng.permutation(n)[: 2 if kind == "letters" else 1]
+                for at in places:
+                    near[at] = near[at][:2] + "0" + near[at][3:]
+                if kind == "lost":
+                    near = [*line[: places[0]], "ab", *line[places[0] :]]
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs).where("_ld_removed = 1").select("doc_id").collect()}
+    assert gone == {i for i, _ in rows if i % 2}
+
+
 def test_line_dedup_of_short_lines_and_lines_without_spaces(spark):
     chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电视节目直到深夜才睡觉"
     texts = ["Read more", chinese, "yes\n--", "read  MORE!", chinese, chinese.replace("晚饭", "午饭"), "yes\n--", "no"]
