@@ -1,7 +1,7 @@
 """Fuzzy line dedup, in DataFrame operations only.
 
 Equal normalised lines are one item. Candidates are lines that share a key, are about as long and have
-enough of their least features in common; they are verified by edit similarity, and one occurrence of
+enough of their greatest features in common; they are verified by edit similarity, and one occurrence of
 each connected group stays.
 
 A line's features are its pairs of neighbouring words, hashed and sorted. Its keys are runs of hashes
@@ -25,8 +25,8 @@ SHORT, LONG = 2, 3
 SHORT_TO, LONG_FROM = 14, 10
 #: A line's keys are the runs that start at so many of its least hashes.
 RUNS = 12
-#: Of the lesser line's least features, so many of which are compared, this share has to be in common.
-SKETCHED, LEAST_SHARE = 16, 0.25
+#: Of the greatest hashes, so many of which are compared, this share of the line with fewer has to be in common.
+SKETCHED, LEAST_SHARE = 16, 0.3
 #: Lines of so many words have keys of words left out, two words from the third number on.
 FEWEST, MOST, TWO_FROM = 4, 7, 6
 #: Longer words, as of scripts without spaces, count as their character trigrams.
@@ -67,7 +67,7 @@ def with_words_left_out(words: Column) -> Column:
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """lines (with a column norm) and sketch (struct of the least features as bits, and length) and keys."""
+    """lines (with a column norm) and sketch (struct of the greatest features as bits, and length) and keys."""
     hashed = lines.withColumn("_h", F.sort_array(features(F.col("norm"))))
     few = F.regexp_count("norm", F.lit(" ")).between(FEWEST - 1, MOST - 1) & ~F.col("norm").rlike(f"[^ ]{{{LONGEST_WORD + 1}}}")
     short, long = runs(F.col("_h"), SHORT), runs(F.col("_h"), LONG)
@@ -76,9 +76,10 @@ def sketched(lines: DataFrame) -> DataFrame:
     keys = F.when(F.col("few"), F.concat(keys, let(F.split("norm", " "), with_words_left_out))).otherwise(keys)
     one = F.lit(1).cast("long")
     bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    # The greatest hashes, which say something new of lines that share a run of the least ones.
     # Lines with words left out may differ in most of their features: they have no bits, and are not held to any.
-    least = F.when(F.col("few"), F.slice("_h", 1, 0)).otherwise(F.slice("_h", 1, SKETCHED))
-    bits = lambda half: F.aggregate(F.filter(least, lambda h: h.bitwiseAND(F.lit(64)) == half), one - one, lambda s, h: s.bitwiseOR(bit(h)))
+    most = F.when(F.col("few"), F.slice("_h", 1, 0)).otherwise(F.slice("_h", F.greatest(n - SKETCHED + 1, F.lit(1)), SKETCHED))
+    bits = lambda half: F.aggregate(F.filter(most, lambda h: h.bitwiseAND(F.lit(64)) == half), one - one, lambda s, h: s.bitwiseOR(bit(h)))
     sketch = F.struct(bits(0).alias("low"), bits(64).alias("high"), F.length("norm").alias("length"))
     return hashed.withColumn("few", few).withColumns({"sketch": sketch, "keys": F.array_distinct(keys)}).drop("_h", "few")
 
