@@ -4,7 +4,7 @@ Equal normalised lines are one item. Candidates are lines that share a key, are
 enough of their greatest features in common; they are verified by edit similarity, and one occurrence of
 each connected group stays.
 
-A line's features are its pairs of neighbouring words, hashed and sorted. Its keys are runs of hashes
+A line's features are its different pairs of neighbouring words, hashed and sorted. Its keys are runs of hashes
 that follow each other in that order, taken as a ring: two lines share one if their features agree
 between two points of the ring. Lines of four to seven words have what is left of them without one word
 (without two, from six on) as keys as well, which finds every pair that differs in no more words.
@@ -39,7 +39,7 @@ def normalised(line: Column) -> Column:
 
 
 def features(norm: Column) -> Column:
-    """The hashes of a line's pairs of neighbouring words, and of its last word; of long words, character trigrams."""
+    """The different hashes of a line's pairs of neighbouring words, and of its last word; of long words, character pairs."""
 
     def pieces(word: Column) -> Column:
         doubles = lambda cs: F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs) - 1), lambda a, b: F.concat(a, b))
@@ -47,8 +47,9 @@ def features(norm: Column) -> Column:
 
     words = F.split(norm, " ")
     words = F.when(norm.rlike(f"[^ ]{{{LONGEST_WORD + 1}}}"), F.flatten(F.transform(words, pieces))).otherwise(words)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda hs: F.zip_with(hs, F.slice(hs, 2, F.size(hs)), lambda a, b: F.xxhash64(a, b)))
+    pairs = let(words, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.xxhash64(a, b)))
+    # Each once: a pair that fills a line would be most of its sketch, and a run of its own.
+    return F.array_distinct(pairs)
 
 
 def runs(hashes: Column, length: int) -> Column:
@@ -108,8 +109,10 @@ def similar(a: Column, b: Column, least: float) -> Column:
 
         def rest(y: Column) -> Column:
             middle = lambda ws, k: F.array_join(F.slice(ws, y["head"] + 1, F.greatest(k - y["head"] - y["tail"], F.lit(0))), " ")
-            within = F.call_function("levenshtein", middle(x["a"], n), middle(x["b"], m), allowed)
-            return within >= 0  # -1 beyond the limit; the limit also bounds the work
+            # -1 beyond the limit, which also bounds the work: near copies are within an eighth of it.
+            within = lambda z, limit: F.call_function("levenshtein", z["p"], z["q"], limit) >= 0
+            middles = F.struct(middle(x["a"], n).alias("p"), middle(x["b"], m).alias("q"))
+            return let(middles, lambda z: F.when(within(z, F.floor(allowed / 8).cast("int")), True).otherwise(within(z, allowed)))
 
         equal = lambda p, q: F.zip_with(p, q, lambda v, w: F.coalesce(v == w, F.lit(False)))
         first = lambda flags: F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.least(n, m)).cast("int")
