@@ -17,6 +17,7 @@ from ..lineage import cut
 from ..sources.statements import csv_rows, file_format, read_files
 from ..sources.workbooks import workbook_rows
 from .headers import best_header, date_like, header_scores, map_headers, match_profiles, row_disposition
+from .mapping import MAPPING, USER_PROFILE, confirmed_mappings
 from .normalize import LAYOUT, TEXT_FIELDS, WARNINGS, normalize_rows
 
 #: The cells that normalize_rows() takes, by the field of the header.
@@ -46,19 +47,23 @@ HEADER_WITHIN = 200
 @dataclass
 class Import:
     """files: one row per file with status and counts. raw_rows: every row with its disposition.
-    records: canonical records with lineage. issues: (file_id, raw_id, code, severity)."""
+    records: canonical records with lineage. issues: (file_id, raw_id, code, severity).
+    mappings: the segments that a mapping is for, with the rule that it breaks."""
 
     files: DataFrame
     raw_rows: DataFrame
     records: DataFrame
     issues: DataFrame
+    mappings: DataFrame | None = None
 
 
-def find_headers(rows: DataFrame) -> DataFrame:
+def find_headers(rows: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
     """(segment_id, line, depth, headers) of the headers of each segment: the best one of its first
     rows, and later rows that are headers again.
 
     rows: (segment_id, line, values). A header may take two lines; the first's group headers carry over.
+    mapped: confirmed_mappings() of the rows. The header of a mapped segment is the row that its mapping
+    names, and later rows that are headers again; one whose mapping is wrong has none.
     """
     after = Window.partitionBy("segment_id").orderBy("line")
     paired = rows.select("segment_id", "line", "values", F.lead("values").over(after).alias("below"), (F.row_number().over(after) - 1).alias("place"))
@@ -78,7 +83,19 @@ def find_headers(rows: DataFrame) -> DataFrame:
     scored = cut(scored.withColumn("score", F.col("score") + 0.1 * (F.col("depth") - 1)).where("usable"))
     first = best_header(scored, "segment_id", "place", "depth", HEADER_WITHIN).select("segment_id", F.col("place").alias("_start"), F.col("depth").alias("_depth"), "candidate")
     again = scored.where("depth = 1").join(first.select("segment_id", "_start", "_depth"), "segment_id").where(F.col("place") >= F.col("_start") + F.col("_depth")).select("candidate")
-    return candidates.join(first.select("candidate").union(again), "candidate", "left_semi").select("candidate", "segment_id", "line", "place", "depth", "headers")
+    shown = ["candidate", "segment_id", "line", "depth", "headers"]
+    found = candidates.join(first.select("candidate").union(again), "candidate", "left_semi").select(*shown, F.lit(None).cast(f"struct<{_typed(MAPPING)}>").alias("user"))
+    if mapped is None:
+        return found
+    right = mapped.where("problem IS NULL")
+    named = right.select(F.concat_ws("\n", "segment_id", "line", F.lit("user")).alias("candidate"), "segment_id", "line", F.lit(1).alias("depth"), "headers", "user")
+    later = scored.where("depth = 1").join(right.select("segment_id", F.col("line").alias("_from")), "segment_id").where(F.col("line") > F.col("_from")).select("candidate")
+    repeated = candidates.join(later, "candidate", "left_semi").select(*shown, F.lit(None).cast(f"struct<{_typed(MAPPING)}>").alias("user"))
+    return found.join(mapped.select("segment_id"), "segment_id", "left_anti").unionByName(named).unionByName(repeated)
+
+
+def _typed(columns: str) -> str:
+    return ", ".join(part.replace(" ", ":", 1) for part in columns.split(", "))
 
 
 def _joined(top: Column, bottom: Column) -> Column:
@@ -106,15 +123,29 @@ def inherit_headers(segments: DataFrame, tolerance: float = 3) -> DataFrame:
 
 def with_layout(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Transaction rows (candidate, values, cell_types, formulas) with the cells and flags of their header."""
-    mapped = map_headers(headers, "candidate")
+    mapped = map_headers(headers.where("user IS NULL"), "candidate")
     entry = F.struct("field", F.element_at("columns", 1).alias("column"))
     layout = mapped.groupBy("candidate").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.size("columns") == 1, entry)))).alias("columns"),
         F.array_sort(F.collect_list(F.when(F.size("columns") > 1, F.col("field")))).alias("ambiguous_fields"),
     )
     profiles = match_profiles(headers, "candidate").select("candidate", "profile", "source", F.col("currency").alias("default_currency"), F.col("signed").alias("signed_format"))
-    known = headers.select("candidate", "headers").join(layout, "candidate").join(profiles, "candidate", "left")
-    joined = rows.join(known, "candidate").na.fill({"profile": "generic.v1", "signed_format": False})
+    said = lambda name: F.col(f"user.{name}")
+    by_user = said("columns").isNotNull()
+    codes = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(said("direction_codes")), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))))
+    known = headers.select("candidate", "headers", "user").join(layout, "candidate", "left").join(profiles, "candidate", "left").withColumns(
+        {
+            "columns": F.coalesce(said("columns"), "columns"),
+            "ambiguous_fields": F.coalesce("ambiguous_fields", F.array().cast("array<string>")),
+            "profile": F.when(by_user, USER_PROFILE).otherwise(F.col("profile")),
+            "source": F.when(by_user, said("source")).otherwise(F.col("source")),
+            "default_currency": F.when(by_user, said("currency")).otherwise(F.col("default_currency")),
+            "signed_format": F.when(by_user, said("amount_signed")).otherwise(F.col("signed_format")),
+            "direction_codes": codes,
+            "confirmed": by_user,
+        }
+    )
+    joined = rows.join(known.drop("user"), "candidate").na.fill({"profile": "generic.v1", "signed_format": False})
     place = lambda f: F.try_element_at("columns", F.lit(f))
     fields = F.map_keys("columns")
     of_type = lambda kind: F.filter(fields, lambda f: F.coalesce(F.get("cell_types", F.element_at("columns", f)) == kind, F.lit(False)))
@@ -152,24 +183,15 @@ def enrich(records: DataFrame) -> DataFrame:
     return out.withColumn("hinted_fields", named).withColumns(filled)
 
 
-def import_statements(spark: SparkSession, path: str, allow_duplicates: bool = False) -> Import:
-    """All statement files under a path.
+def import_segments(rows: DataFrame, mappings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(raw rows with their disposition, records, mapped segments) of the rows of segments.
 
-    Files with the bytes of an earlier path are skipped unless allowed. A file that cannot be read has
-    its issue and no rows. Delimited text and XLSX workbooks are read; other known formats are named in
-    an issue. Every row is kept with its disposition; a file without records says so.
+    rows: (sha256, file_id, path, segment, line, end_line, values, cell_types, formats, formulas), from
+    files or from a table of segments that were extracted before. mappings: see confirmed_mappings().
     """
-    listed = read_files(spark, path).withColumn("f", file_format(F.col("path"), F.col("content"), F.col("length")))
-    occurrence = F.row_number().over(Window.partitionBy("sha256").orderBy("path"))
-    # Only names and digests meet in the window; the contents are read again where they are wanted.
-    files = cut(listed.select("path", "length", "sha256", "f.format", F.col("f.issue").alias("read_issue")).withColumn("occurrence", occurrence))
-    files = files.withColumns({"file_id": F.sha2(F.concat_ws(":", "sha256", "occurrence"), 256), "skipped": (F.col("occurrence") > 1) & F.lit(not allow_duplicates)})
-    wanted = lambda fmt: listed.join(files.where(~F.col("skipped") & (F.col("format") == fmt)).select("path"), "path", "left_semi")
-    text = csv_rows(wanted("csv")).withColumns({"segment": F.lit("csv"), "cell_types": F.transform("values", lambda _: F.lit("s")), "formats": F.array().cast("array<string>"), "formulas": F.create_map().cast("map<int,string>")})
-    read = cut(text.unionByName(workbook_rows(wanted("xlsx"))).join(files.select("path", "file_id"), "path"))
-
-    rows = read.where("issue IS NULL").withColumn("segment_id", F.concat_ws("\n", "file_id", "segment"))
-    headers = cut(find_headers(rows.select("segment_id", "line", "values")))
+    rows = rows.withColumn("segment_id", F.concat_ws("\n", "file_id", "segment"))
+    mapped = None if mappings is None else cut(confirmed_mappings(rows, mappings))
+    headers = cut(find_headers(rows.select("segment_id", "line", "values"), mapped))
     marks = headers.select("segment_id", F.col("line").alias("h_line"), "depth", "candidate")
     order = Window.partitionBy("segment_id").orderBy("line")
     numbered = rows.join(marks, (rows["segment_id"] == marks["segment_id"]) & (rows["line"] == marks["h_line"]), "left").drop(marks["segment_id"])
@@ -182,6 +204,27 @@ def import_statements(spark: SparkSession, path: str, allow_duplicates: bool = F
     records = enrich(normalize_rows(given)).withColumn("record_id", F.sha2(F.concat_ws("\n", "raw_id", F.col("candidate")), 256))
     kept = ["record_id", "raw_id", "file_id", "path", "segment", "line", "end_line", "headers", "columns", "profile", "source", "parse_status", "mapping_method", "transaction_at", "transaction_at_precision", "booking_at", "booking_at_precision", "amount", "signed_amount", "direction", "raw_direction", "currency", "balance", "transaction_status", "raw_status", *TEXT_FIELDS, "source_fields", "unmapped_headers", "hinted_fields", "issues"]
     records = cut(records.select(*kept))
+    return raw, records, mapped
+
+
+def import_statements(spark: SparkSession, path: str, allow_duplicates: bool = False, mappings: DataFrame | None = None) -> Import:
+    """All statement files under a path.
+
+    Files with the bytes of an earlier path are skipped unless allowed. A file that cannot be read has
+    its issue and no rows. Delimited text and XLSX workbooks are read; other known formats are named in
+    an issue. Every row is kept with its disposition; a file without records says so. mappings are the
+    user's, by the digest of the file's bytes and the name of the segment (see confirmed_mappings()).
+    """
+    listed = read_files(spark, path).withColumn("f", file_format(F.col("path"), F.col("content"), F.col("length")))
+    occurrence = F.row_number().over(Window.partitionBy("sha256").orderBy("path"))
+    # Only names and digests meet in the window; the contents are read again where they are wanted.
+    files = cut(listed.select("path", "length", "sha256", "f.format", F.col("f.issue").alias("read_issue")).withColumn("occurrence", occurrence))
+    files = files.withColumns({"file_id": F.sha2(F.concat_ws(":", "sha256", "occurrence"), 256), "skipped": (F.col("occurrence") > 1) & F.lit(not allow_duplicates)})
+    wanted = lambda fmt: listed.join(files.where(~F.col("skipped") & (F.col("format") == fmt)).select("path"), "path", "left_semi")
+    text = csv_rows(wanted("csv")).withColumns({"segment": F.lit("csv"), "cell_types": F.transform("values", lambda _: F.lit("s")), "formats": F.array().cast("array<string>"), "formulas": F.create_map().cast("map<int,string>")})
+    read = cut(text.unionByName(workbook_rows(wanted("xlsx"))).join(files.select("path", "file_id", "sha256"), "path"))
+
+    raw, records, mapped = import_segments(read.where("issue IS NULL").drop("issue"), mappings)
 
     issue = lambda df, code, raw_col=None: df.select("file_id", (F.col(raw_col) if raw_col else F.lit(None).cast("string")).alias("raw_id"), code.alias("code"))
     unread = {"pdf": "PDF_LAYOUT_UNSUPPORTED", "png": "OCR_REQUIRED", "jpeg": "OCR_REQUIRED", "xls": "DEPENDENCY_MISSING"}
@@ -198,9 +241,11 @@ def import_statements(spark: SparkSession, path: str, allow_duplicates: bool = F
         .union(issue(tried.join(records, "file_id", "left_anti"), F.lit("NO_TRANSACTIONS")))
         .union(records.select("file_id", "raw_id", F.explode("issues").alias("code")))
     )
+    if mapped is not None:
+        issues = issues.union(issue(mapped.where("problem IS NOT NULL"), F.lit("MAPPING_INVALID")))
     issues = cut(issues.withColumn("severity", F.when(F.col("code").isin(*WARNINGS, *FILE_WARNINGS), "warning").otherwise("error")))
     counted = records.groupBy("file_id").agg(F.count("*").alias("record_count"), F.count_if(F.col("parse_status") == "ready").alias("ready_count"))
     wrong = issues.where("severity = 'error'").select("file_id").distinct().withColumn("_wrong", F.lit(True))
     status = F.when(F.col("skipped"), "duplicate_file_skipped").when((F.col("record_count") > 0) & F.col("_wrong"), "partial").when(F.col("_wrong"), "failed").otherwise("completed")
     summary = files.join(counted, "file_id", "left").join(wrong, "file_id", "left").na.fill(0, ["record_count", "ready_count"]).na.fill(False, ["_wrong"]).withColumn("status", status)
-    return Import(summary.drop("_wrong", "skipped"), raw.drop("_active", "segment_id", "dated"), records, issues)
+    return Import(summary.drop("_wrong", "skipped"), raw.drop("_active", "segment_id", "dated"), records, issues, mapped)

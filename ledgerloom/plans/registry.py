@@ -11,7 +11,7 @@ from ..functions import privacy
 from ..functions.dates import date_struct
 from ..functions.money import with_money
 from ..lineage import cut
-from ..operators import analysis, browse, commands, duplicates, evidence, facts, normalize, observations, ocr_records, ocr, page_tables, pairing, refunds, review, totals
+from ..operators import analysis, browse, commands, duplicates, evidence, facts, ingest, normalize, observations, ocr_records, ocr, page_tables, pairing, refunds, review, totals
 from ..operators.predicates import eligible, flow_direction, within_window
 from ..streaming import ledger as streaming
 from .adapters import adapter, adapter_sql
@@ -923,6 +923,49 @@ def source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.source_duplicates(made)
 
 
+# --- import of segments --------------------------------------------------------------------------
+
+#: Each customer's orders as a segment of a statement. By the customer's number: headers by their names; a mapping
+#: with codes of its own; one that points beyond the row; one for the whole file over headers by their names.
+CUSTOMER_ROWS = """
+(SELECT CAST(o_custkey AS VARCHAR(20)) AS segment, o_custkey % 4 AS kind, o_orderkey,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS INT) AS line,
+  CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS day, CAST(o_totalprice AS DECIMAL(15,2)) AS price, o_orderstatus AS status FROM orders)"""
+
+
+@register(f"""
+WITH r AS {CUSTOMER_ROWS}, rows AS (
+  SELECT segment, kind, line, price, status, strftime(day, '%Y-%m-%d') AS day, o_orderkey % 2 = 1 AS odd FROM r
+  UNION ALL SELECT DISTINCT segment, kind, 1, NULL, NULL, NULL, NULL FROM r)
+SELECT segment, line, CASE WHEN kind = 2 THEN 'unmapped' WHEN line = 1 THEN 'header' ELSE 'transaction' END AS disposition,
+  CASE WHEN kind = 2 OR line = 1 THEN NULL WHEN kind = 0 THEN 'exact_alias' ELSE 'user_confirmed' END AS mapping_method,
+  CASE WHEN kind = 2 OR line = 1 THEN NULL ELSE day END AS transaction_at,
+  CASE WHEN kind = 2 OR line = 1 THEN NULL ELSE price::DOUBLE END AS amount,
+  CASE WHEN kind = 2 OR line = 1 THEN NULL WHEN kind = 3 THEN CASE WHEN odd THEN 'out' ELSE 'in' END WHEN status = 'F' THEN 'in' WHEN status = 'O' THEN 'out' ELSE 'none' END AS direction,
+  CASE WHEN kind = 2 OR line = 1 THEN NULL WHEN kind = 1 THEN 'USD' WHEN kind = 3 THEN 'HKD' ELSE 'CNY' END AS currency,
+  CASE WHEN kind = 2 THEN 'COLUMN_UNKNOWN' END AS problem
+FROM rows""")
+def mapped_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that were extracted before, read by header names or by the mappings of a user: every row, with its record."""
+    made = spark.sql("SELECT * FROM " + CUSTOMER_ROWS.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    kind = F.col("kind")
+    known, own = ["交易日期", "金额", "收/支", "币种"], ["d", "v", "k", "c"]
+    heads = made.select("segment", "kind").distinct().select("segment", "kind", F.lit(1).alias("line"), F.when(kind.isin(0, 3), F.array(*[F.lit(h) for h in known])).otherwise(F.array(*[F.lit(h) for h in own])).alias("values"))
+    words = F.when(kind == 0, F.when(F.col("status") == "F", "收入").when(F.col("status") == "O", "支出").otherwise("不计收支")).otherwise(F.col("status"))
+    sign = F.when((kind == 3) & (F.col("o_orderkey") % 2 == 1), "-").otherwise("")
+    cells = F.array(F.date_format("day", "yyyy-MM-dd"), F.concat(sign, F.col("price").cast("string")), words, F.when(kind == 0, "CNY").otherwise(""))
+    rows = made.select("segment", "kind", "line", cells.alias("values")).union(heads)
+    file = F.when(kind == 3, "whole").otherwise("parts")
+    rows = rows.select(file.alias("sha256"), file.alias("file_id"), file.alias("path"), "segment", "line", F.col("line").alias("end_line"), "values", F.transform("values", lambda _: F.lit("s")).alias("cell_types"), F.array().cast("array<string>").alias("formats"), F.create_map().cast("map<int,string>").alias("formulas"))
+    codes = F.expr("map('f ', 'in', 'O', 'out', 'p', 'none')")
+    columns = F.when(kind == 1, F.expr("map('transaction_at', 0, 'amount', 1, 'direction', 2)")).otherwise(F.expr("map('transaction_at', 0, 'amount', 4)"))
+    each = heads.where("kind IN (1, 2)").select(F.lit("parts").alias("sha256"), "segment", F.lit(1).alias("header_line"), columns.alias("columns"), F.lit("USD").alias("currency"), F.lit(False).alias("amount_signed"), codes.alias("direction_codes"), F.lit("own").alias("source"))
+    whole = spark.range(1).select(F.lit("whole").alias("sha256"), F.lit("*").alias("segment"), F.lit(1).alias("header_line"), F.expr("map('transaction_at', 0, 'amount', 1)").alias("columns"), F.lit("HKD").alias("currency"), F.lit(True).alias("amount_signed"), F.lit(None).cast("map<string,string>").alias("direction_codes"), F.lit("own").alias("source"))
+    raw, records, mapped = ingest.import_segments(rows, each.union(whole))
+    read = records.select("raw_id", "mapping_method", "transaction_at", F.col("amount").cast("double").alias("amount"), "direction", "currency")
+    return raw.select("raw_id", "segment", "segment_id", "line", "disposition").join(read, "raw_id", "left").join(mapped.select("segment_id", "problem"), "segment_id", "left").drop("raw_id", "segment_id")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import ingest
+from ledgerloom.operators import ingest, mapping
 from ledgerloom.sources import workbooks
 
 WECHAT = "交易时间,交易类型,交易对方,商品,收/支,金额(元),支付方式,当前状态,交易单号,商户单号,备注\n2026-01-01 12:00:00,商户消费,某超市,苹果与牛奶,支出,58.00,建设银行储蓄卡(1234),支付成功,order10001,merchant10001,/\n"
@@ -114,3 +115,46 @@ def test_headers_are_inherited_along_pages(spark):
     rows = [("f", 1, "a", 1, [1.0, 9.0], 2, True, False), ("f", 2, "b", 2, [2.0, 8.0], 2, False, True), ("f", 3, "c", 3, [2.0, 9.0], 2, False, True), ("f", 4, "d", 5, [2.0, 9.0], 2, False, True), ("f", 5, "e", 6, [2.0, 9.0], 2, False, True), ("g", 1, "x", 1, [1.0], 1, False, True)]
     found = {r.segment_id: r.inherited for r in ingest.inherit_headers(spark.createDataFrame(rows, schema)).collect()}
     assert found == {"a": None, "b": "a", "c": "a", "d": None, "e": None, "x": None}
+
+
+MAPPED = "note\nd,v,k\n2026-01-01,5,J\n2026-01-02,6,x\n交易日期,金额,收/支\n2026-01-03,7,支出\n"
+
+
+def test_mappings_of_a_user(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "m.csv").write_text(MAPPED)
+    digest = hashlib.sha256(MAPPED.encode()).hexdigest()
+    columns = {"transaction_at": 0, "amount": 1, "direction": 2}
+    schema = f"sha256 string, segment string, {mapping.MAPPING}"
+
+    def read(*said):
+        given = spark.createDataFrame([(digest, s, *m) for s, *m in said], schema)
+        found = ingest.import_statements(spark, str(tmp_path), mappings=given)
+        return found, {r.code for r in found.issues.collect()}
+
+    good = (2, columns, "USD", False, {" j": "in"}, "shop")
+    found, codes = read(("*", 1, {}, None, None, None, None), ("csv", *good))
+    rows = {r.line: r for r in found.records.collect()}
+    assert {n: (r.profile, r.mapping_method, r.source, r.direction, r.currency) for n, r in rows.items()} == {
+        3: ("user.confirmed.v1", "user_confirmed", "shop", "in", "USD"),
+        4: ("user.confirmed.v1", "user_confirmed", "shop", None, "USD"),
+        6: ("generic.v1", "exact_alias", "未知来源", "out", "CNY"),
+    }
+    assert {r.line: r.disposition for r in found.raw_rows.collect()} == {1: "preamble", 2: "header", 3: "transaction", 4: "transaction", 5: "header", 6: "transaction"}
+    assert "MAPPING_INVALID" not in codes
+    wrong = {
+        "HEADER_LINE_MISSING": (9, *good[1:]),
+        "COLUMN_UNKNOWN": (2, columns | {"colour": 1}, *good[2:]),
+        "COLUMN_REPEATED": (2, columns | {"currency": 1}, *good[2:]),
+        "FIELDS_MISSING": (2, {"transaction_at": 0}, *good[2:]),
+        "DIRECTION_CODE_UNKNOWN": (2, columns, None, False, {"J": "up"}, None),
+    }
+    raw = ingest.csv_rows(ingest.read_files(spark, str(tmp_path))).withColumns({"sha256": F.lit(digest), "file_id": F.lit("f")})
+    for problem, said in wrong.items():
+        given = spark.createDataFrame([(digest, "csv", *said)], schema)
+        of = mapping.confirmed_mappings(raw.withColumns({"segment": F.lit("csv"), "segment_id": F.lit("s")}), given)
+        assert [r.problem for r in of.collect()] == [problem]
+    found, codes = read(("*", *wrong["COLUMN_UNKNOWN"]))
+    assert found.records.count() == 0 and {"MAPPING_INVALID", "HEADER_UNRECOGNIZED", "NO_TRANSACTIONS"} <= codes
+    assert [r.problem for r in read(("csv", *good), ("csv", *good))[0].mappings.collect()] == ["SEGMENT_MAPPED_TWICE"]
