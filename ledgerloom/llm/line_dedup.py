@@ -27,6 +27,8 @@ SHORT_TO, LONG_FROM = 14, 10
 RUNS = 12
 #: Of the greatest hashes, so many of which are compared, this share of the line with fewer has to be in common.
 SKETCHED, LEAST_SHARE = 16, 0.3
+#: Rounds of leaders: a quoted passage leads lines together that are unlike it, and the first leader may be one.
+LEADERS = 3
 #: Lines of so many words have keys of words left out, two words from the third number on.
 FEWEST, MOST, TWO_FROM = 4, 7, 6
 #: Longer words, as of scripts without spaces, count as their character trigrams.
@@ -162,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keys = spots.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), F.col("line").alias("id"))
     sketches = spots.where("keys IS NOT NULL").select(F.col("line").alias("id"), "sketch")
-    linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer).withColumnRenamed("node", "line")
+    linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer, LEADERS).withColumnRenamed("node", "line")
     places = spots.groupBy("line", "check").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     # Lines that link with no other are told apart by both hashes.
     own = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))
@@ -175,6 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = gone.select("spot.id", "spot.text_hash", "spot.at").groupBy("id", "text_hash").agg(F.collect_set("at").alias("_ld_at"))
     # Saved, so that Spark knows whether it is small enough to go to the documents.
     dropped = scratch.save(dropped.withColumnsRenamed({"id": "_ld_i", "text_hash": "_ld_h"}))
+    scratch.keep(scratch.count)
 
     d = docs.withColumns({"_ld_id": F.col(id_col), "_ld_hash": F.xxhash64(text_col)})
     joined = d.join(dropped, F.col("_ld_id").eqNullSafe(F.col("_ld_i")) & (F.col("_ld_hash") == F.col("_ld_h")), "left")

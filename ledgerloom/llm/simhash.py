@@ -104,6 +104,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     scratch = Scratch(spark)
     found = scratch.save(fingerprints(docs, id_col, text_col, shingle))
+    prints = scratch.count
     distinct = scratch.save(found.groupBy("fp").agg(F.min("id").alias("least")))
     keys = distinct.select(F.explode(ring_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("id"))
     linked = link_components(keys, in_chain, scratch)
@@ -112,4 +113,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     # One row per fingerprint: a fingerprint with very many documents is split on their side by Spark.
     named = scratch.save(group.join(least, "component").select("fp", "component_id"))
+    scratch.keep(prints, scratch.count)
     return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
