@@ -58,6 +58,7 @@ def link_components(
     sketches: DataFrame | None = None,
     confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
     rounds: int = 1,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of the items that link with another one.
 
@@ -65,19 +66,20 @@ def link_components(
     sketches may link; sketches: (id, sketch), rows of one id alike (None: the id is its own sketch).
     confirmer gets the items (id) that share a bucket at all and gives a function that keeps those of
     the candidate pairs (src, dst) that do link (None: all). More rounds of leaders find dense groups
-    that no single item links with; the result is the same.
+    that no single item links with; the result is the same. known: (node, component) of links found before;
+    keys then name each item's component in a column, and buckets inside one component are left out.
     """
+    if known is None:
+        keys = keys.withColumn("component", F.col("id"))
     # Partial minima come before the shuffle, so that one bucket with very many items is no hot group.
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket")
+    shared = keys.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = scratch.save(keys.join(scratch.save(shared), "bucket", "left_semi").distinct())
     if sketches is None:
         rest = rest.withColumn("sketch", F.col("id"))
     else:
         needed = scratch.save(rest.select("id").distinct())
         rest = scratch.save(rest.join(sketches.join(needed, "id", "left_semi").dropDuplicates(["id"]), "id"))
-    rest = rest.withColumn("component", F.col("id"))
     confirm = confirmer(rest.select("id").distinct()) if confirmer else lambda pairs: pairs
-    known = None
     for _ in range(rounds):
         leaders = rest.groupBy("bucket").agg(F.min(F.struct("id", "sketch", "component")).alias("low"))
         stars = rest.join(leaders, "bucket").where((F.col("component") != F.col("low.component")) & close(F.col("bucket"), F.col("sketch"), F.col("low.sketch")))

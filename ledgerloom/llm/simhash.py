@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import Scratch, id_back, id_text
-from .linking import link_components
+from .linking import connected_components, link_components
 
 BITS, SEGMENTS, RADIUS = 64, 5, 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -76,6 +76,20 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
+def leader_links(distinct: DataFrame) -> DataFrame:
+    """(src, dst): the links of fingerprints (fp) to the least one with which they have two equal segments.
+
+    They join most of a dense group, whose members then need not meet in each of their 64 buckets.
+    """
+    pairs = [(i, j) for i in range(SEGMENTS) for j in range(i)]
+    fp = F.col("fp")
+    keys = [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(fp, i), 13)).bitwiseOR(_segment(fp, j)) for k, (i, j) in enumerate(pairs)]
+    named = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    leaders = named.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("bucket", "low")
+    near = (fp != F.col("low")) & (F.bit_count(fp.bitwiseXOR(F.col("low"))) <= RADIUS)
+    return named.join(leaders, "bucket").where(near).select(fp.alias("src"), F.col("low").alias("dst")).distinct()
+
+
 def in_chain(bucket: Column, a: Column, b: Column) -> Column:
     """Whether the chain that starts at the bucket's segment holds all the way round."""
     x = a.bitwiseXOR(b)
@@ -106,8 +120,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch.save(fingerprints(docs, id_col, text_col, shingle))
     prints = scratch.count
     distinct = scratch.save(found.groupBy("fp").agg(F.min("id").alias("least")))
-    keys = distinct.select(F.explode(ring_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("id"))
-    linked = link_components(keys, in_chain, scratch)
+    known = connected_components(leader_links(distinct), scratch)
+    placed = distinct.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    keys = placed.select(F.explode(ring_keys(F.col("fp"))).alias("bucket"), F.col("fp").alias("id"), "component")
+    linked = link_components(keys, in_chain, scratch, known=known)
     group = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     group = scratch.save(group)
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
