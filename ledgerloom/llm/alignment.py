@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same bytes.
 
-A task tokenises each text once with both vocabularies; from there on Spark's array functions work:
+A task tokenises each text once with both vocabularies and compares the ends of a batch's tokens:
 
-* the ends that both tokenizers share (array_intersect) cut a text's tokens into groups;
+* the ends that both tokenizers share cut a text's tokens into groups, which Spark's array functions write;
 * the union of their ends names the links: each stretch between neighbouring ends lies in one token of
   either side, and those two overlap; no other pair does;
 * the number of documents that hold an id pair linked is a grouped count over each document's distinct
@@ -35,7 +35,7 @@ from .tandem_runs import ranges
 from .vocab import _byte_letters, chunks
 
 #: Tokens of known words that a worker keeps; beyond, it starts anew with the next batch.
-KEPT_TOKENS = 5_000_000
+KEPT_TOKENS = 2_000_000
 #: Pairs in a slice of counts that is broadcast: 32 MB as rows.
 SLICE = 2_000_000
 #: The piece vocabulary's sign for a space.
@@ -144,30 +144,42 @@ def encoders(byte_bpe: str, piece_bpe: str) -> BothEncoders:
     return BothEncoders(byte_bpe, piece_bpe)
 
 
-def tokenise(docs: DataFrame, id_col: str, text_col: str, byte_bpe: str, piece_bpe: str) -> DataFrame:
-    """id as text, a, a_ends, b, b_ends: token ids and their ends in bytes."""
+def overlaps(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], b_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of a batch of texts, whose tokens a and b give as counts, ids and ends: the place in the text of each group's
+    last token, for a and for b, and the linked id pairs in order; each with its number per text."""
+    n = len(a[0])
+    owners = [np.repeat(np.arange(n, dtype=np.int64), side[0]) for side in (a, b)]
+    keys = [owner << 32 | side[2] for owner, side in zip(owners, (a, b))]
+    common, cuts = np.intersect1d(*keys, assume_unique=True), np.union1d(*keys)
+    per_text = lambda at: np.bincount(at >> 32, minlength=n)
+    lasts = [np.searchsorted(key, common) - (np.cumsum(side[0]) - side[0])[common >> 32] for key, side in zip(keys, (a, b))]
+    # The byte before a cut lies in the first token that ends there or later.
+    ids_a, ids_b = (side[1][np.searchsorted(key, cuts)].astype(np.int64) for key, side in zip(keys, (a, b)))
+    links = ids_a << b_bits | ids_b
+    links = links[np.lexsort((links, cuts >> 32))]
+    return [*((per_text(common), x.astype(np.int32)) for x in lasts), (per_text(cuts), links)]
+
+
+def tokenise(docs: DataFrame, id_col: str, text_col: str, byte_bpe: str, piece_bpe: str, b_bits: int) -> DataFrame:
+    """id as text; a, b: token ids; last_a, last_b: the places of each group's last token; links: id pairs, a << b_bits | b, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoders(byte_bpe, piece_bpe)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in chunks(texts, 1_000_000):
+                sides = both.batch(texts[start:end])
                 columns = [batch.column("id").slice(start, end - start)]
-                for counts, ids, ends in both.batch(texts[start:end]):
-                    offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-                    columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "a_ends", "b", "b_ends"])
+                for counts, values in [*(side[:2] for side in sides), *overlaps(*sides, b_bits)]:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values)))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "last_a", "last_b", "links"])
 
-    numbers = T.ArrayType(T.IntegerType(), containsNull=False)
-    schema = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(c, numbers) for c in ("a", "a_ends", "b", "b_ends")]])
+    whole = lambda kind: T.ArrayType(kind, containsNull=False)
+    fields = [*[T.StructField(c, whole(T.IntegerType())) for c in ("a", "b", "last_a", "last_b")], T.StructField("links", whole(T.LongType()))]
+    schema = T.StructType([T.StructField("id", T.StringType()), *fields])
     return docs.select(id_text(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
-def token_at(ends: Column) -> Column:
-    """The place of the token that holds each byte, byte by byte."""
-    return let(F.concat(F.array(F.lit(0)), ends), lambda starts: F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - starts[i]))))
-
-
 def group_text(sides: list[tuple[Column, Column]], ends: Column) -> Column:
     """'a1,a2|b1;a3|b2,b3': sides has the ids as texts and, after a -1, the place of each group's last token."""
 
@@ -178,22 +190,13 @@ def group_text(sides: list[tuple[Column, Column]], ends: Column) -> Column:
     return F.array_join(F.transform(ends, lambda _, k: F.concat(part(*sides[0], k), F.lit("|"), part(*sides[1], k))), ";")
 
 
-def align(tokens: DataFrame, b_bits: int, keep: Callable[[Column], Column]) -> DataFrame:
-    """tokens as id, n_a, n_b, n_groups, n_links, groups (what keep makes of their text) and links: the linked
-    id pairs, a << b_bits | b, in order."""
-    shared = tokens.select("id", "a", "a_ends", "b", "b_ends", F.array_intersect("a_ends", "b_ends").alias("common"), F.array_union("a_ends", "b_ends").alias("cuts"))
-    a, b, common, cuts, zero = F.col("a"), F.col("b"), F.col("common"), F.col("cuts"), F.lit(0).cast("long")
-
-    def both(at_a: Column, at_b: Column) -> Column:
-        links = F.transform(cuts, lambda e: F.coalesce(F.shiftleft(a[at_a[e - 1]].cast("long"), b_bits).bitwiseOR(b[at_b[e - 1]].cast("long")), zero))
-        lasts = [F.concat(F.array(F.lit(-1)), x) for x in (F.transform(common, lambda e: at_a[e - 1]), F.transform(common, lambda e: at_b[e - 1]))]
-        texts = [x.cast("array<string>") for x in (a, b)]
-        groups = let(lasts[0], lambda la: let(lasts[1], lambda lb: let(texts[0], lambda ta: let(texts[1], lambda tb: group_text([(ta, la), (tb, lb)], common)))))
-        return F.struct(groups.alias("groups"), links.alias("links"))
-
-    made = let(token_at(F.col("a_ends")), lambda at_a: let(token_at(F.col("b_ends")), lambda at_b: both(at_a, at_b)))
-    linked = shared.select("id", *[F.size(x).cast("long").alias(n) for x, n in (("a", "n_a"), ("b", "n_b"), ("common", "n_groups"), ("cuts", "n_links"))], made.alias("made"))
-    return linked.select(*linked.columns[:-1], keep(F.col("made.groups")).alias("groups"), F.sort_array("made.links").alias("links"))
+def align(tokens: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """tokens as id, n_a, n_b, n_groups, n_links, groups (what keep makes of their text) and links."""
+    lasts = [F.concat(F.array(F.lit(-1)), F.col(c)) for c in ("last_a", "last_b")]
+    texts = [F.col(c).cast("array<string>") for c in ("a", "b")]
+    groups = let(lasts[0], lambda la: let(lasts[1], lambda lb: let(texts[0], lambda ta: let(texts[1], lambda tb: group_text([(ta, la), (tb, lb)], F.col("last_a"))))))
+    sizes = [F.size(x).cast("long").alias(n) for x, n in (("a", "n_a"), ("b", "n_b"), ("last_a", "n_groups"), ("links", "n_links"))]
+    return tokens.select("id", *sizes, keep(groups).alias("groups"), "links")
 
 
 def align_tokenizers(
@@ -212,9 +215,9 @@ def align_tokenizers(
     scratch = Scratch(spark)
     paths = byte_bpe or public_tokenizers.path("byte_bpe_50k.json"), piece_bpe or public_tokenizers.path("piece_bpe_32k.model")
     both = encoders(*paths)
-    tokens = tokenise(docs, id_col, text_col, *paths)
     b_bits = len(both.b_bytes).bit_length()
-    saved = scratch.save(align(tokens, b_bits, keep).withColumn("row", F.monotonically_increasing_id()))
+    tokens = tokenise(docs, id_col, text_col, *paths, b_bits)
+    saved = scratch.save(align(tokens, keep).withColumn("row", F.monotonically_increasing_id()))
 
     counted = scratch.save(saved.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("held")))
     a_of = F.shiftright("pair", b_bits)
