@@ -2,7 +2,8 @@
 
 Equal normalised lines are one item. Candidates are lines that share a key, are about as long and have
 enough of their greatest features in common; they are verified by edit similarity, and one occurrence of
-each connected group stays.
+each connected group stays. Lines that quote one passage and are unlike otherwise still meet pair by pair: each pair
+once, if its letters leave it a chance.
 
 A line's features are its different pairs of neighbouring words, hashed and sorted. Its keys are runs of hashes
 that follow each other in that order, taken as a ring: two lines share one if their features agree
@@ -14,6 +15,8 @@ of unlike ones a line (figures in the README).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ RUNS = 12
 SKETCHED, LEAST_SHARE = 16, 0.3
 #: Rounds of leaders: a quoted passage leads lines together that are unlike it, and the first leader may be one.
 LEADERS = 3
+#: Characters that are counted each, before pairs that no leader brought together are compared.
+LETTERS = " abcdefghijklmnopqrstuvwxyz"
 #: Lines of so many words have keys of words left out, two words from the third number on.
 FEWEST, MOST, TWO_FROM = 4, 7, 6
 #: Longer words, as of scripts without spaces, count as their character trigrams.
@@ -94,6 +99,20 @@ def agree(a: Column, b: Column, similarity: float) -> Column:
     return near & (ones(a, b) >= LEAST_SHARE * F.least(ones(a, a), ones(b, b)))
 
 
+def letters(norm: Column) -> Column:
+    """How often a line has each of the letters of LETTERS, and all other characters."""
+    counts = [F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in LETTERS]
+    return F.array(*counts, reduce(Column.__sub__, counts, F.length(norm)))
+
+
+def within_letters(a: Column, b: Column, least: float) -> Column:
+    """Whether two lines have enough letters in common, at any place, for the similarity: a line that is so many
+    edits away has all but as many of the letters, so this leaves out no similar pair."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, v: s + v)
+    longest = F.greatest(total(a), total(b))
+    return longest - total(F.zip_with(a, b, lambda p, q: F.least(p, q))) <= F.floor(longest * (1 - least) + 1e-9)
+
+
 def similar(a: Column, b: Column, least: float) -> Column:
     """Whether 1 - edit distance / greater length is at least so much.
 
@@ -151,9 +170,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fuzzy = lambda c: F.when(F.col("fuzzy"), F.col(c)).alias(c)
     spots = scratch.save(judged.select("line", "check", place.alias("spot"), fuzzy("sketch"), fuzzy("keys")))
 
+    held: list[DataFrame] = []
+
     def confirmer(needed: DataFrame):
         needed = scratch.save(needed.withColumnRenamed("id", "line"))
         texts = scratch.save(lines().select("line", "norm").join(needed, "line", "left_semi").dropDuplicates(["line"]))
+        held.append(texts)
         named = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"{end}_norm"))
 
         def confirm(pairs: DataFrame) -> DataFrame:
@@ -164,7 +186,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keys = spots.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), F.col("line").alias("id"))
     sketches = spots.where("keys IS NOT NULL").select(F.col("line").alias("id"), "sketch")
-    linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer, LEADERS).withColumnRenamed("node", "line")
+    counted = lambda ids: held[-1].withColumnRenamed("line", "id").join(ids, "id", "left_semi").select("id", letters(F.col("norm")).alias("detail"))
+    finer = counted, lambda a, b: within_letters(a, b, similarity)
+    linked = link_components(keys, lambda bucket, a, b: agree(a, b, similarity), scratch, sketches, confirmer, LEADERS, None, finer).withColumnRenamed("node", "line")
     places = spots.groupBy("line", "check").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     # Lines that link with no other are told apart by both hashes.
     own = F.struct(F.coalesce("component", "line").alias("line"), F.when(F.col("component").isNull(), F.col("check")).alias("check"))

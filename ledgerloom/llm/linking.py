@@ -6,7 +6,8 @@ components of the links come out exactly, in two steps:
 1. each item is compared with the leader of each of its buckets, its least item, which joins a dense
    group by as many links as it has members; the leader has then met its whole bucket and leaves it;
 2. of buckets whose items are in several components, those outside the largest one are compared with
-   all, behind a sketch that the join itself checks.
+   all, behind a sketch that the join itself checks. A caller may have a pair made in one of its buckets only, and
+   give a bound on the items themselves that the join checks as well.
 
 A pair inside one component is never made.
 """
@@ -59,6 +60,7 @@ def link_components(
     confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
     rounds: int = 1,
     known: DataFrame | None = None,
+    finer: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """(node, component) of the items that link with another one.
 
@@ -68,6 +70,8 @@ def link_components(
     the candidate pairs (src, dst) that do link (None: all). More rounds of leaders find dense groups
     that no single item links with; the result is the same. known: (node, component) of links found before;
     keys then name each item's component in a column, and buckets inside one component are left out.
+    finer, if close says the same in every bucket: what gives items (id) a detail (id, detail), and whether two
+    details may link. Step 2 then holds pairs to it too, and makes each in the least bucket that both were in.
     """
     if known is None:
         keys = keys.withColumn("component", F.col("id"))
@@ -80,6 +84,7 @@ def link_components(
         needed = scratch.save(rest.select("id").distinct())
         rest = scratch.save(rest.join(sketches.join(needed, "id", "left_semi").dropDuplicates(["id"]), "id"))
     confirm = confirmer(rest.select("id").distinct()) if confirmer else lambda pairs: pairs
+    whole = rest
     for _ in range(rounds):
         leaders = rest.groupBy("bucket").agg(F.min(F.struct("id", "sketch", "component")).alias("low"))
         stars = rest.join(leaders, "bucket").where((F.col("component") != F.col("low.component")) & close(F.col("bucket"), F.col("sketch"), F.col("low.sketch")))
@@ -91,7 +96,15 @@ def link_components(
     rest = scratch.save(rest.join(largest, "bucket"))
     once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.component") < F.col("b.component"))
     apart = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & once & close(F.col("a.bucket"), F.col("a.sketch"), F.col("b.sketch"))
-    left = rest.where("component <> largest").alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst")).distinct()
+    if finer:
+        # A bucket that both were in and are not now is one component, or one of them led it and has met the other there.
+        detail, may = finer
+        ids = scratch.save(rest.select("id").distinct())
+        own = whole.join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+        rest = scratch.save(rest.join(own.join(detail(ids), "id"), "id"))
+        apart &= (F.col("a.bucket") == F.array_min(F.array_intersect("a.own", "b.own"))) & may(F.col("a.detail"), F.col("b.detail"))
+    left = rest.where("component <> largest").alias("a").join(rest.alias("b"), apart).select(F.col("b.id").alias("src"), F.col("a.id").alias("dst"))
+    left = left if finer else left.distinct()
     # Every pair of a bucket is now in one component or has been compared.
     return connected_components(_edges(known).union(confirm(left).select("src", "dst")), scratch)
 
