@@ -2,7 +2,8 @@
 
 A task tokenises each text once with both vocabularies and compares the ends of a batch's tokens:
 
-* the ends that both tokenizers share cut a text's tokens into groups, which Spark's array functions write;
+* the ends that both tokenizers share cut a text's tokens into groups, each written once, which Spark's array
+  functions count and join;
 * the union of their ends names the links: each stretch between neighbouring ends lies in one token of
   either side, and those two overlap; no other pair does;
 * the number of documents that hold an id pair linked is a grouped count over each document's distinct
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..shipping import ship
-from .common import Scratch, id_back, id_text, let
+from .common import Scratch, id_back, id_text
 from .tandem_runs import ranges
 from .vocab import _byte_letters, chunks
 
@@ -61,6 +62,7 @@ class BothEncoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int32) for xs in (self.a_bytes, self.b_bytes))
+        self.id_texts = pa.array([f"{i}{c}" for xs, end in ((self.a_bytes, "|"), (self.b_bytes, "")) for i in range(len(xs)) for c in (",", end)], pa.string())
         self.by_word = not any(" " in p.lstrip(" ") for p in (x.decode(errors="replace") for x in self.b_bytes))
         self._forget()
 
@@ -160,43 +162,46 @@ def overlaps(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], b_bits: int)
     return [*((per_text(common), x.astype(np.int32)) for x in lasts), (per_text(cuts), links)]
 
 
+def group_texts(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], lasts: list[tuple[np.ndarray, np.ndarray]], texts: pa.Array, first_b: int) -> pa.Array:
+    """Each group's 'a1,a2|b1,b2', of all texts of a batch in order: texts has what an id writes inside of a group, at
+    2 * id, and at its end, at 2 * id + 1; those of b from first_b on. Texts' tokens are in groups without a rest."""
+    ends = [last + np.repeat(np.cumsum(side[0]) - side[0], n) + 1 for side, (n, last) in zip((a, b), lasts)]
+    sizes = [np.diff(end, prepend=0) for end in ends]
+    codes = np.empty(len(a[1]) + len(b[1]), np.int32)
+    before = ends[0], ends[1] - sizes[1]  # of the other side, before a group's own tokens of b and of a
+    for side, end, size, other, first in zip((a, b), ends, sizes, before[::-1], (0, first_b)):
+        code = side[1] * 2 + first
+        code[end - 1] += 1
+        codes[np.arange(len(code)) + np.repeat(other, size)] = code
+    taken = texts.take(pa.array(codes))
+    cuts = np.frombuffer(taken.buffers()[1], np.int32)[np.append(0, ends[0] + ends[1])]
+    return pa.StringArray.from_buffers(len(ends[0]), pa.py_buffer(cuts), taken.buffers()[2])
+
+
 def tokenise(docs: DataFrame, id_col: str, text_col: str, byte_bpe: str, piece_bpe: str, b_bits: int) -> DataFrame:
-    """id as text; a, b: token ids; last_a, last_b: the places of each group's last token; links: id pairs, a << b_bits | b, in order."""
+    """id as text; n_a, n_b: how many tokens; groups: each group's text; links: id pairs, a << b_bits | b, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoders(byte_bpe, piece_bpe)
+        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in chunks(texts, 1_000_000):
-                sides = both.batch(texts[start:end])
-                columns = [batch.column("id").slice(start, end - start)]
-                for counts, values in [*(side[:2] for side in sides), *overlaps(*sides, b_bits)]:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "a", "b", "last_a", "last_b", "links"])
-
-    whole = lambda kind: T.ArrayType(kind, containsNull=False)
-    fields = [*[T.StructField(c, whole(T.IntegerType())) for c in ("a", "b", "last_a", "last_b")], T.StructField("links", whole(T.LongType()))]
-    schema = T.StructType([T.StructField("id", T.StringType()), *fields])
-    return docs.select(id_text(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
-
-
-def group_text(sides: list[tuple[Column, Column]], ends: Column) -> Column:
-    """'a1,a2|b1;a3|b2,b3': sides has the ids as texts and, after a -1, the place of each group's last token."""
-
-    def part(ids: Column, last: Column, k: Column) -> Column:
-        n = last[k + 1] - last[k]
-        return F.when(n == 1, ids[last[k + 1]]).otherwise(F.array_join(F.slice(ids, last[k] + 2, n), ","))
+                a, b = both.batch(texts[start:end])
+                *lasts, links = overlaps(a, b, b_bits)
+                groups = group_texts(a, b, lasts, both.id_texts, 2 * len(both.a_bytes))
+                columns = [batch.column("id").slice(start, end - start), pa.array(a[0]), pa.array(b[0]), lists(lasts[0][0], groups), lists(links[0], pa.array(links[1]))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "groups", "links"])
 
-    return F.array_join(F.transform(ends, lambda _, k: F.concat(part(*sides[0], k), F.lit("|"), part(*sides[1], k))), ";")
+    whole = lambda name, kind: T.StructField(name, T.ArrayType(kind, containsNull=False))
+    fields = [T.StructField("id", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b")], whole("groups", T.StringType()), whole("links", T.LongType())]
+    return docs.select(id_text(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, T.StructType(fields))
 
 
 def align(tokens: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
     """tokens as id, n_a, n_b, n_groups, n_links, groups (what keep makes of their text) and links."""
-    lasts = [F.concat(F.array(F.lit(-1)), F.col(c)) for c in ("last_a", "last_b")]
-    texts = [F.col(c).cast("array<string>") for c in ("a", "b")]
-    groups = let(lasts[0], lambda la: let(lasts[1], lambda lb: let(texts[0], lambda ta: let(texts[1], lambda tb: group_text([(ta, la), (tb, lb)], F.col("last_a"))))))
-    sizes = [F.size(x).cast("long").alias(n) for x, n in (("a", "n_a"), ("b", "n_b"), ("last_a", "n_groups"), ("links", "n_links"))]
-    return tokens.select("id", *sizes, keep(groups).alias("groups"), "links")
+    sizes = [F.size(x).cast("long").alias(n) for x, n in (("groups", "n_groups"), ("links", "n_links"))]
+    return tokens.select("id", "n_a", "n_b", *sizes, keep(F.array_join("groups", ";")).alias("groups"), "links")
 
 
 def align_tokenizers(
