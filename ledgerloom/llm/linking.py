@@ -16,40 +16,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of edges (src, dst): component is the least node reachable.
 
     Alternating stars: each node's greater neighbours move to its least neighbour (large star), then
-    the lesser ones do (small star), until nothing changes. Each round is two aggregations with
-    partial sums and two joins, written to the shared folder. Null nodes are not allowed; no edge
-    gives no row.
+    the lesser ones do (small star), until nothing changes. Each round is one job with two exchanges, each
+    followed by a window over the sorted neighbours of a node, and is written to the shared folder. Its rows
+    say whether it found anything but stars, and hold the roots as well, so that the round that finds
+    nothing more is the result. Null nodes are not allowed; no edge gives no row.
     """
-    ordered = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
-    current, state = scratch.save(ordered), None
+    edge = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    src, dst, low, node = F.col("src"), F.col("dst"), F.col("low"), F.col("node")
+    current, number = edges, None
     while True:
-        around = current.select("src", "dst").union(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = around.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = around.where("dst > src").join(least.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        # every edge of the large star points from the greater node to the lesser
-        lower = large.groupBy("src").agg(F.min("dst").alias("low"))
-        moved = large.join(lower.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        small = moved.union(lower.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
+        around = current.where(src != dst).select(F.explode(F.array(edge(src, dst), edge(dst, src))).alias("e")).select("e.*")
+        sorted_around = Window.partitionBy("src").orderBy("dst")
+        large = _once(around.withColumn("low", F.least("src", F.first("dst").over(sorted_around))), "dst", sorted_around)
+        # A node without a lesser neighbour is a root so far, which its first row tells.
+        root = F.col("first") & (src == low)
+        moved = F.when(dst > src, F.array(edge(dst, low), edge(low, low)))
+        large = large.select(F.explode(F.when(root, moved).otherwise(F.slice(moved, 1, 1))).alias("e"), (src != low).alias("open"))
+        lesser = large.select(F.col("e.src").alias("node"), F.col("e.dst").alias("dst"), "open")
+        sorted_lesser = Window.partitionBy("node").orderBy("dst", F.desc("open"))
+        small = _once(lesser.withColumn("low", F.first("dst").over(sorted_lesser)), "dst", sorted_lesser)
+        # The row of the least neighbour is the node's own edge, each other one is the edge of that neighbour.
+        current = scratch.save(small.select(F.when(dst == low, node).otherwise(dst).alias("src"), low.alias("dst"), (F.col("open") | (dst != low)).alias("open")))
+        if number:
+            scratch.drop(number)
         number = scratch.count
-        current = scratch.save(small)
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        scratch.drop(number)
-        if now == state:
+        if not current.agg(F.max("open")).first()[0]:
             break
-        state = now
-    # At the fixpoint every edge leads from a node to its component's least node.
-    roots = current.groupBy("src").agg(F.min("dst").alias("component"))
-    found = roots.union(roots.select(F.col("component").alias("src"), "component").distinct())
-    return scratch.save(found.select(F.col("src").alias("node"), "component"))
+    return current.select(src.alias("node"), dst.alias("component"))
+
+
+def _once(rows: DataFrame, name: str, window: WindowSpec) -> DataFrame:
+    """The rows of a window without those that repeat a value, and whether a row is its window's first."""
+    marked = rows.withColumn("before", F.lag(name).over(window))
+    return marked.where(F.col("before").isNull() | (F.col("before") != F.col(name))).withColumn("first", F.col("before").isNull()).drop("before")
 
 
 def link_components(
