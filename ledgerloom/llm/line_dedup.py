@@ -36,6 +36,9 @@ LEADERS = 3
 LETTERS = " abcdefghijklmnopqrstuvwxyz"
 #: Lines of so many words have keys of words left out, two words from the third number on.
 FEWEST, MOST, TWO_FROM = 4, 7, 6
+#: Lines of so many characters are aligned before they are compared as a whole; words may be shifted by so many
+#: places, by a block of so many at the start of a gap; gaps of up to so many characters are compared.
+ALIGNED_FROM, SHIFT, BLOCK, EXACT_GAP = 128, 6, 64, 64
 #: Longer words, as of scripts without spaces, count as their character trigrams.
 LONGEST_WORD = 20
 
@@ -113,12 +116,52 @@ def within_letters(a: Column, b: Column, least: float) -> Column:
     return longest - total(F.zip_with(a, b, lambda p, q: F.least(p, q))) <= F.floor(longest * (1 - least) + 1e-9)
 
 
-def similar(a: Column, b: Column, least: float) -> Column:
-    """Whether 1 - edit distance / greater length is at least so much.
+def aligned(a: Column, b: Column, allowed: Column) -> Column:
+    """At least the edit distance of two lines, given as their words: what one way of turning one into the other costs.
+
+    The words of a are met in turn: one that stands in b as far from the last pair of equal words as in a is paired
+    with it; failing that, one whose next word is the same too, a few places off. What is left between two
+    pairs is turned into what is left there of the other line. Once that costs more than allowed or too many words
+    have no pair, the rest is one gap.
+    """
+    pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda v, w: F.xxhash64(v, w))
+    # A space after each word of both lines leaves their distance as it is.
+    gap = lambda ws, start, end: F.when(end > start, F.concat(F.array_join(F.slice(ws, start + 1, end - start), " "), F.lit(" "))).otherwise("")
+    longest = lambda g: F.greatest(F.length(g["p"]), F.length(g["q"]))
+    turned = lambda g: F.when(longest(g) <= EXACT_GAP, F.levenshtein(g["p"], g["q"])).otherwise(longest(g))
+    state = lambda i, pa, pb, cost: F.struct(i.cast("int").alias("i"), pa.cast("int").alias("a"), pb.cast("int").alias("b"), cost.cast("int").alias("cost"))
+
+    def cost(x: Column, s: Column, i: Column, j: Column) -> Column:
+        gaps = F.struct(gap(x["a"], s["a"], i).alias("p"), gap(x["b"], s["b"], j).alias("q"))
+        return F.when((i == s["a"]) & (j == s["b"]), s["cost"]).otherwise(s["cost"] + let(gaps, turned))
+
+    def way(x: Column) -> Column:
+        def step(s: Column, w: Column) -> Column:
+            at = s["b"] + s["i"] - s["a"]
+            pair = F.get(x["as"], s["i"])
+            # Place by place: a slice would read the whole line.
+            places = [at + k for far in range(1, SHIFT + 1) for k in (far, -far)]
+            fits = lambda p: F.get(x["bs"], p) == pair
+            # A block that only a has ends where b was left; one that only b has is looked for at the start of a gap.
+            block = F.when(fits(s["b"]), s["b"]).when(s["i"] <= s["a"] + 1, F.get(F.filter(F.sequence(at + SHIFT + 1, at + BLOCK), fits), 0))
+            shifted = F.coalesce(*[F.when((p >= s["b"]) & fits(p), p) for p in places], block)
+            j = F.when(F.get(x["b"], at) == w, at).otherwise(shifted).cast("int")
+            moved = let(j, lambda j: F.when(j.isNull(), state(s["i"] + 1, s["a"], s["b"], s["cost"])).otherwise(state(s["i"] + 1, s["i"] + 1, j + 1, cost(x, s, s["i"], j))))
+            # So many words without a pair are hardly within what is allowed.
+            return F.when((s["cost"] > x["allowed"]) | (8 * (s["i"] - s["a"]) > x["allowed"]), s).otherwise(moved)
+
+        none = F.lit(0)
+        return F.aggregate(x["a"], state(none, none, none, none), step, lambda s: cost(x, s, F.size(x["a"]), F.size(x["b"])))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), pairs(a).alias("as"), pairs(b).alias("bs"), allowed.alias("allowed")), way)
+
+
+def similar(a: Column, b: Column, least: float, alike: bool = True) -> Column:
+    """Whether 1 - edit distance / greater length is at least so much. alike: most pairs are, so it pays to align long ones.
 
     Lines with as many words are within the sum of their differing words' lengths of each other; if
-    that is too much, or the words are not as many, the equal words at either end are taken off, which
-    leaves the edit distance as it is, and the rest is compared.
+    that is too much, or the words are not as many, one way of turning longer lines into each other may be near enough. If
+    not, the equal words at either end are taken off, which leaves the edit distance as it is, and the rest is compared.
     """
 
     def judged(x: Column) -> Column:
@@ -141,7 +184,10 @@ def similar(a: Column, b: Column, least: float) -> Column:
         tail = first(equal(F.reverse(x["a"]), F.reverse(x["b"])))
         ends = let(head, lambda h: F.struct(h.alias("head"), F.least(tail, F.least(n, m) - h).alias("tail")))
         near = F.abs(F.length(a) - F.length(b)) <= allowed
-        return F.when(~near, False).when((n == m) & (by_words <= allowed), True).otherwise(let(ends, rest))
+        whole = let(ends, rest)
+        if alike:
+            whole = F.when((longest >= ALIGNED_FROM) & (aligned(x["a"], x["b"], allowed) <= allowed), True).otherwise(whole)
+        return F.when(~near, False).when((n == m) & (by_words <= allowed), True).otherwise(whole)
 
     return let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), judged)
 
@@ -178,9 +224,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held.append(texts)
         named = lambda end: texts.select(F.col("line").alias(end), F.col("norm").alias(f"{end}_norm"))
 
+        # Those of the first leaders are mostly similar, what is left after them mostly not.
+        alike = iter([True])
+
         def confirm(pairs: DataFrame) -> DataFrame:
             both = pairs.join(named("src"), "src").join(named("dst"), "dst")
-            return both.where(similar(F.col("src_norm"), F.col("dst_norm"), similarity)).select("src", "dst")
+            return both.where(similar(F.col("src_norm"), F.col("dst_norm"), similarity, next(alike, False))).select("src", "dst")
 
         return confirm
 
