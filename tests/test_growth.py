@@ -166,3 +166,12 @@ def test_private_values_that_begin_alike(spark):
     assert "_g" not in plan  # no join on how values begin
     masked = {r.id: r.t for r in privacy.mask_literals(rows, "id", "t", values, b"k").collect()}
     assert masked[1] == masked[2] and "order0001" not in masked[1] and masked[4] == "" and masked[5] is None
+
+
+def test_page_issues_deal_rows_out_once(spark):
+    from ledgerloom.operators.observations import merge_observations
+    from ledgerloom.plans.adapters import adapter
+
+    seen = adapter(spark, "/root/testdata/sf0.001", "page_views")
+    _, issues = merge_observations(seen, seen.select("page_id", "view", F.lit("X").alias("code")).limit(0))
+    assert issues._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and issues.count() > 0
