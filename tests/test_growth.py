@@ -169,9 +169,10 @@ def test_private_values_that_begin_alike(spark):
 
 
 def test_page_issues_deal_rows_out_once(spark):
+    from ledgerloom.lineage import cut
     from ledgerloom.operators.observations import merge_observations
     from ledgerloom.plans.adapters import adapter
 
-    seen = adapter(spark, "/root/testdata/sf0.001", "page_views")
+    seen = cut(adapter(spark, "/root/testdata/sf0.001", "page_views"))
     _, issues = merge_observations(seen, seen.select("page_id", "view", F.lit("X").alias("code")).limit(0))
     assert issues._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and issues.count() > 0
